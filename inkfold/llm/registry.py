@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import token_store
+from . import packing, token_store
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
