@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, token_store
+from . import langid, packing, simhash, token_store
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
+    "op3_language_id": langid.op3_language_id,
+    "op4_simhash": simhash.op4_simhash,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
