@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, packing, simhash, token_store
+from . import langid, packing, simhash, token_store, topk
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
     "op3_language_id": langid.op3_language_id,
     "op4_simhash": simhash.op4_simhash,
+    "op5_top_k": topk.op5_top_k,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_top_k": topk.OP5_SQL,
+}
