@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, maxent_lm, packing, simhash, token_store, topk
+from . import langid, maxent_lm, packing, simhash, substrings, token_store, topk
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
     "op3_language_id": langid.op3_language_id,
     "op4_simhash": simhash.op4_simhash,
     "op5_top_k": topk.op5_top_k,
+    "op7_substring_dedup": substrings.op7_substring_dedup,
     "op9_lm_score": maxent_lm.op9_lm_score,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
