@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions, written
@@ -72,24 +72,35 @@ def _sketch(s: np.ndarray) -> np.ndarray:
     return mix(least[at % len(have)] ^ (gap.astype(np.uint64) * _STEP)).astype(np.uint32)
 
 
+def row_key() -> Column:
+    """Of a document: equal only for repeated rows."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return src.select(row_key().alias("key"), "doc_id", "text")
+
+
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, id (digest of the set), n, sketch of every document; id and sketch are null without shingles."""
+    """key, doc_id, id (digest of the set), n, sketch of every document; id and sketch are null without shingles."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, w in worded(b.column(1), lower=True):
+            for i, j, w in worded(b.column(2), lower=True):
                 sets = shingle_sets(w, size)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(i, j - i),
+                        b.column(1).slice(i, j - i),
                         pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "id", "n", "sketch"],
+                    ["key", "doc_id", "id", "n", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(go, "doc_id long, id long, n long, sketch binary")
+    return _source(docs).mapInArrow(go, "key long, doc_id long, id long, n long, sketch binary")
 
 
 def paths(sets: DataFrame) -> DataFrame:
@@ -219,32 +230,21 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def exact_links(docs: DataFrame, clusters: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """Brute force within clusters (id, cluster, n, rep, copies): rows (a, b, links) - for b not null a spanning edge of
-    links, else the number of documents that a's set is linked to in one pair of blocks."""
+    """Brute force within clusters (id, cluster, n, key, copies), key being a row that has the set: rows (a, b, links) - for b
+    not null a spanning edge of links, else the number of documents that a's set is linked to in one pair of blocks."""
     spark = docs.sparkSession
-    key = F.xxhash64("id", "rep")
-    bits = spark.sparkContext.broadcast(filter_of(clusters.select(key.alias("h"))))  # fixed size
+    bits = spark.sparkContext.broadcast(filter_of(clusters.select(F.col("key").alias("h"))))  # fixed size
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, w in worded(b.column(1), lower=True):
-                sets = shingle_sets(w, size)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["rep", "id", "tokens"],
-                )
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = bits.value
         for b in batches:
-            keep = _in_filter(f, b.column(3).to_numpy().view(np.uint64))
-            yield b.filter(pa.array(keep)).select(["rep", "id", "tokens"])
+            b = b.filter(pa.array(_in_filter(f, b.column(0).to_numpy().view(np.uint64))))
+            for i, j, w in worded(b.column(1), lower=True):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(w, size)], pa.binary())], ["key", "tokens"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    sets = src.mapInArrow(load, "rep long, id long, tokens binary").where("id IS NOT NULL").withColumn("key", key)
-    sets = sets.mapInArrow(wanted, "rep long, id long, tokens binary").dropDuplicates(["rep", "id"])
+    sets = _source(docs).select("key", "text").mapInArrow(load, "key long, tokens binary").dropDuplicates(["key"])
     many = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("chunks"))
-    rows = sets.join(clusters, (sets["id"] == clusters["id"]) & sets["rep"].eqNullSafe(clusters["rep"])).select(clusters["id"], "cluster", "copies", "tokens").join(many, "cluster")
+    rows = sets.join(clusters, "key").select("id", "cluster", "copies", "tokens").join(many, "cluster")
     dealt = _block_pairs(rows, "cluster")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,30 +292,34 @@ def exact_links(docs: DataFrame, clusters: DataFrame, size: int = SHINGLE, thres
 
 
 def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """Every document with its class and its links: doc_id, class_id (the least doc_id of the class), n_links (documents whose
-    sets are at least ``threshold`` alike, copies included), n_shingles."""
+    """Every document with its class and its links: key, doc_id, class_id (the least doc_id of the class), n_links (documents
+    whose sets are at least ``threshold`` alike, copies included), n_shingles, keep (whether the row stays for its class: the
+    one with the least doc_id; a repeated row stays if its twin does)."""
     docs = docs.select("doc_id", "text")
     rows = written(sketches(docs, size), "sketches")
-    sets = written(
-        rows.where("id IS NOT NULL").groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets"
-    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key")))
+    grouped_sets = rows.where("id IS NOT NULL").groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), first.alias("first"), F.count("*").alias("copies"))
+    sets = written(grouped_sets, "sets")
     walks = written(paths(sets), "paths")
     label = components(cluster_edges(buckets(walks), sets))
-    clusters = written(label.select("id", F.col("label").alias("cluster")).join(sets.select("id", "n", "rep", "copies"), "id"), "clusters")
+    clusters = written(label.select("id", F.col("label").alias("cluster")).join(sets.select("id", "n", F.col("first.key").alias("key"), "copies"), "id"), "clusters")
     found = written(exact_links(docs, clusters, size, threshold), "links")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     label = components(found.where("b IS NOT NULL").select("a", "b"))
-    reps = sets.select("id", "rep", "copies").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    least = reps.groupBy("label").agg(F.min("rep").alias("class_id"))
-    known = reps.join(least, "label").join(links, "id", "left").select("id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
-    return rows.select("doc_id", "id", F.col("n").alias("n_shingles")).join(known, "id", "left").select(
+    reps = sets.select("id", "first", "copies").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    least = reps.groupBy("label").agg(F.min("first").alias("least"))
+    known = reps.join(least, "label").join(links, "id", "left").select("id", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    out = rows.select("key", "doc_id", "id", F.col("n").alias("n_shingles")).join(known, "id", "left")
+    return out.select(
+        "key",
         "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         "n_shingles",
+        (F.col("least").isNull() | (F.col("least.key") == F.col("key"))).alias("keep"),
     )
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all of ``documents``: five-word shingles, similarity 0.8 or more."""
-    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("key")
