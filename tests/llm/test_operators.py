@@ -1,0 +1,321 @@
+"""Each operator against brute force on a small fixture with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from inkfold.llm import chosen_path, components, langid, licenses, maxent_lm, packing, sentencepieces, simhash, substrings, token_store, topk
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, score int, at string, shard string, id string"
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def texts():
+    rng = random.Random(5)
+    voc = {"en": ["the", "of", "and", "whale", "shore", "light,", "ing", "ship"], "fr": ["le", "été", "où", "garçon", "forêt", "ça", "eaux", "nuit"]}
+    say = lambda k, n: " ".join(rng.choice(voc[k]) + (str(rng.randrange(60)) if rng.random() < 0.4 else "") for _ in range(n))
+    shared = say("en", 60)
+    out = [(say(k, rng.randrange(3, 200)), k) for k in ("en", "fr") * 12]
+    base = say("en", 150).split()
+    for i in range(12):  # near copies
+        w = list(base)
+        w[i * 7] = f"changed{i}"
+        out.append((" ".join(w), "en"))
+    out += [(say("fr", 40) + "\n" + shared + "\n" + say("fr", 30), "fr") for _ in range(4)]
+    out += [("Is on. " * 60, "en"), ("a b", "en"), ("", "en"), (None, None), ("?!", "fr"), ("  odd \t white space ", None), ("x" * 5000 + " " + say("en", 9000), "en")]
+    out += [("This work.\nReleased under the MIT Licence.", "en"), ("MIT License\n\nCopyright (c) 2020 A\n\n" + licenses.TEXTS[0][1].replace("sublicense", "sublicence"), "en")]
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    t = texts()
+    out = [(3 * i, x, k, "s", len(x or ""), "k", 1, "a", "b", "c") for i, (x, k) in enumerate(t)]
+    out += [out[0], out[0]]  # a row thrice
+    out.append((901, *out[25][1:]))  # a copy under another id
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t, lower=False):
+    t = t or ""
+    if lower:
+        t = re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    return SPACE.findall(t)
+
+
+def test_token_store(spark, docs, rows, none, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    lib.encode_special_tokens = True
+    token_store.write(docs, str(tmp_path / "a"), path, 2, parts=3)
+    got = sorted(tuple(r)[:4] + (bytes(r["ids"]),) for r in token_store.read(spark, str(tmp_path / "a")).collect())
+    got.sort(key=lambda r: r[1])
+    want = [np.array([*lib.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4") for r in sorted(rows, key=lambda r: r[0])]
+    assert [r[0] for r in got] == sorted(r[0] for r in rows)
+    assert [r[4] for r in got] == [x.tobytes() for x in want]
+    assert [r[1] for r in got] == [0, *np.cumsum([len(x) for x in want])[:-1].tolist()]
+    assert [r[3] for r in got] == [zlib.crc32(x) for x in want]
+    assert [len(x) for x in token_store.lookup(spark, str(tmp_path / "a"), 0)] == [len(want[0])] * 3
+    token_store.write(none, str(tmp_path / "b"), path, 2)
+    assert token_store.read(spark, str(tmp_path / "b")).count() == 0
+    null = spark.createDataFrame([(None, "a b"), (None, None), (4, "c")], "doc_id long, text string")
+    token_store.write(null, str(tmp_path / "c"), path, 2)
+    assert token_store.read(spark, str(tmp_path / "c"), False).count() == 3
+
+
+def test_sentencepiece(spark, docs, rows, none):
+    from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    got = sentencepieces.encode(docs, path).collect()
+    assert len(got) == len(rows) and all(r["round_trip"] for r in got)
+    assert sentencepieces.encode(none, path).count() == 0
+    m = sentencepiece_model_pb2.ModelProto()
+    m.ParseFromString(open(path, "rb").read())
+    m.trainer_spec.model_type = 1  # the library's Viterbi search; its floats hold scores up to 2**24 exactly
+    for p in m.pieces:
+        if p.score < -1e8:
+            p.score = -40_000
+    proto = m.SerializeToString()
+    lib, own = SentencePieceProcessor(model_proto=proto), sentencepieces.Encoder(sentencepieces.Model(proto))
+    sample = [t for t, _ in texts() if t and len(t) < 900] + ["日本 語 😀", "  two  spaces ", "\n\na\nb", "ß—é"]
+    for t, ids in zip(sample, own.batch(sample)):
+        assert ids.tolist() == lib.encode(t), t
+        assert sentencepieces.decode(own.model, ids.tolist()) == t
+
+
+def test_language(spark, docs, rows, none):
+    out = langid.held_out(F.col("doc_id"), 4, 2)
+    got = langid.predict(docs, langid.fit(docs, ~out)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        letters = any(c.isalpha() for c in r["text"] or "")
+        assert (r["lang_pred"] == "und") == (not letters)
+        if letters and r["lang"] and len(words(r["text"])) > 5:
+            assert r["lang_pred"] == r["lang"] and 0 <= r["score"] <= 1
+    assert langid.predict(none, langid.fit(none, F.lit(True))).count() == 0
+    assert {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
+    for k in (1, 2, 3, 7, 40):
+        assert len(np.unique(langid.codewords(k), axis=0)) == k
+
+
+def test_simhash(spark, docs, rows, none):
+    got = simhash.edited_prints(docs).collect()
+    order = sorted(((r[0], r[1] or "") for r in rows))
+    want = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        k = len(t) // 4
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - k] + u[:k]).encode()).hexdigest()))
+    assert sorted(tuple(r)[:3] for r in got) == sorted(want)
+    assert all(0 <= r["near_edited"] <= 1 for r in got)
+    assert simhash.edited_prints(none).count() == 0
+    one = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    assert [r["near_next"] for r in simhash.edited_prints(one).collect()] == [1.0]
+    assert simhash.edited_prints(spark.createDataFrame([(None, "a"), (None, "b"), (2, None)], "doc_id long, text string")).count() == 3
+    prints = [r["fingerprint"] for r in simhash.fingerprint_table(docs).collect()]
+    near = {(r["a"], r["b"]): r["distance"] for r in simhash.within(simhash.fingerprint_table(docs), 12, 14).collect()}
+    brute = {(a, b): d for a in set(prints) for b in set(prints) if a < b and (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= 12}
+    assert near == brute and brute
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(1)
+    v = rng.integers(-200, 200, (700, 8))
+    v[300:600] = v[300]  # a third alike
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, [1] * 5)]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    got = {}
+    for r in topk.top_k(df, df.where("id % 50 = 0"), 5, shard_rows=90, block_rows=4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 700, 50):
+        s = v @ v[q]
+        want = sorted((-int(s[i]), i) for i in range(700) if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -m) for k, (m, i) in enumerate(want)]
+    assert 900 not in got
+    bad = spark.createDataFrame([(0, [1.0, None]), (1, [float("nan")]), (2, None), (3, [float("inf")]), (4, []), (5, [0.5, -0.001])], "id long, e array<float>")
+    assert [(r["id"], r["v"]) for r in bad.select("id", topk.quantized(F.col("e")).alias("v")).where("v is not null").collect()] == [(5, [128, -1])]
+    assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
+
+
+def brute_classes(rows):
+    sets = []
+    for r in rows:
+        w = words(r[1], True)
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    label, links = list(range(len(rows))), [0] * len(rows)
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links[a] += 1
+                links[b] += 1
+                x, y = label[a], label[b]
+                label = [min(x, y) if k in (x, y) else k for k in label]
+    least = {}
+    for k, r in zip(label, rows):
+        least[k] = min(least.get(k, r[0]), r[0])
+    return sorted((r[0], least[k], n) for r, k, n in zip(rows, label, links))
+
+
+def test_jaccard(spark, docs, rows, none, monkeypatch):
+    want = brute_classes(rows)
+    got = chosen_path.near_classes(docs).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == want
+    assert {r["doc_id"] for r in got if r["keep"]} == {c for _, c, _ in want}
+    # small blocks: clusters dealt over many tasks
+    monkeypatch.setattr(chosen_path, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(chosen_path, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(chosen_path, "LIMIT", 2)
+    got = chosen_path.near_classes(docs).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == want
+    assert chosen_path.near_classes(none).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
+    label = {x: x for e in edges for x in e}
+    for a, b in edges:
+        x, y = label[a], label[b]
+        label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+    got = {r["id"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    alone = {x for x in label if all(x not in e or e[0] == e[1] for e in edges)}
+    assert got.keys() == label.keys() - alone
+    assert len({(label[k], v) for k, v in got.items()}) == len(set(got.values())) == len({label[k] for k in got})
+
+
+def test_substrings(spark, docs, rows, none, monkeypatch):
+    count = Counter(tuple(w[i : i + 35]) for r in rows for w in [words(r[1])] for i in range(len(w) - 34))
+    want = []
+    for r in rows:
+        w = words(r[1])
+        gone = set()
+        for i in range(len(w) - 34):
+            if count[tuple(w[i : i + 35])] > 1:
+                gone |= set(range(i, i + 35))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        want.append((r[0], len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    got = [tuple(r) for r in substrings.dedup(docs).collect()]
+    assert sorted(got) == sorted(want) and any(x[2] for x in want)
+    full = substrings.dedup(docs, with_text=True)
+    for r in full.collect():
+        assert hashlib.sha256(" ".join(words(r["text"])).encode()).hexdigest() == r["kept_sha256"]
+    monkeypatch.setattr(substrings, "MOST_RUNS", 2)
+    got = [tuple(r) for r in substrings.dedup(docs, batches=5).collect()]
+    assert sorted(got) == sorted(want)
+    assert substrings.dedup(none).count() == 0
+
+
+def test_run_index(spark, tmp_path):
+    ix = substrings.RunIndex(spark, str(tmp_path))
+    make = lambda *h: spark.createDataFrame([(x, 1) for x in h], "h long, n long")
+    assert ix.hits(make(1)).count() == 0
+    ix.append(make(1, 2, 3))
+    ix.append(make(3, 4, 4))
+    assert sorted(r["h"] for r in ix.hits(make(2, 4, 9)).collect()) == [2, 4]
+    ix.compact()
+    assert len(ix.runs) == 1 and sorted(r["h"] for r in ix.repeated().collect()) == [3, 4]
+
+
+def test_licenses(spark, docs, rows, none):
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    by = {r[0]: r[1] for r in rows}
+    full = [i for i, t in by.items() if t and t.startswith("MIT License")]
+    line = [i for i, t in by.items() if t and "Released under the MIT" in t]
+    assert [i for i, r in got.items() if r["license_id"]] == full and got[full[0]]["license_id"] == "MIT"
+    assert [i for i, r in got.items() if r["notices"]] == line and got[line[0]]["notices"] == "MIT"
+    assert licenses.scan(none).count() == 0
+
+
+def test_language_model(spark, docs, rows, none):
+    held = langid.held_out(F.col("doc_id"), 5, 1)
+    got = maxent_lm.train_and_score(docs, held).collect()
+    tok = lambda t: [*words(t, True), None]
+    test = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    count = Counter(x for r in rows if not test(r[0]) for x in tok(r[1]))
+    n, v = sum(count.values()), len(count)
+    want = sorted((r[0], len(tok(r[1])), sum(count[x] > 0 for x in tok(r[1])), n) for r in rows)
+    assert sorted(tuple(r)[:4] for r in got) == want
+    base = {r[0]: sum(np.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in tok(r[1])) for r in rows}
+    for r in got:
+        assert abs(r["base_score"] - base[r["doc_id"]]) < 1e-6 * abs(base[r["doc_id"]])
+        assert r["score"] < 0
+    small = maxent_lm.train_and_score(docs, held).agg(F.sum("score")).first()[0]
+    assert small == pytest.approx(sum(r["score"] for r in got))
+    assert maxent_lm.train_and_score(none, held).count() == 0
+
+
+def test_language_model_is_a_distribution():
+    """Shares of all known tokens and one unseen token of each class add up to one for any history."""
+    from inkfold.llm.maxent_lm import CLASSES, SINGLES, Lexicon
+
+    mass, types = np.zeros(CLASSES), np.zeros(CLASSES)
+    mass[0], types[0], mass[SINGLES], types[SINGLES] = 5, 1, 7, 3
+    lx = Lexicon(12, 4, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(65536, np.int16), mass, types)
+    inside = lambda k: (mass[k] + 0.5 * types[k] + (0.5 if k >= SINGLES else 0)) / 10 ** lx.log_class[k]
+    assert inside(0) == pytest.approx(1) and inside(SINGLES) == pytest.approx(1) and inside(SINGLES + 1) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("cap", [64, 4096])
+def test_packing(spark, docs, rows, none, cap):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    lib.encode_special_tokens = True
+    got = packing.pack(docs, path, 1, cap).collect()
+    want = []
+    for r in rows:
+        ids = np.array([*lib.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(r[0], k // cap, k, len(ids[k : k + cap]), zlib.crc32(ids[k : k + cap].tobytes())) for k in range(0, len(ids), cap)]
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for s in seqs.values():
+        at = 0
+        for o, n in sorted(s):
+            assert o == at
+            at += n
+        assert at <= cap
+    assert len(seqs) <= -(-sum(w[3] for w in want) // cap) * 1.05 + 1
+    assert packing.pack(none, path, 1, cap).count() == 0
+
+
+def test_planner_random():
+    rng = random.Random(2)
+    for _ in range(40):
+        cap = rng.choice([10, 50, 400])
+        counts = {k: rng.randrange(1, 30) for k in rng.sample(range(1, cap + 1), rng.randrange(1, min(cap, 25)))}
+        p = packing.Planner(dict(counts), cap)
+        fill, seen = Counter(), Counter()
+        spans = {}
+        for length, lo, hi, seq, off, each in p.plan():
+            assert lo == seen[length]
+            seen[length] = hi
+            for r in range(hi - lo):
+                s = seq + r // each
+                fill[s] += length
+                spans.setdefault(s, []).append((off + r % each * length, length))
+        assert seen == Counter(counts) and max(fill.values()) <= cap
+        for s in spans.values():
+            at = 0
+            for o, n in sorted(s):
+                assert o == at
+                at += n
+        assert len(fill) <= -(-sum(k * n for k, n in counts.items()) // cap) * 1.3 + 2
