@@ -29,8 +29,8 @@ from . import tokens
 from .spread import shard_of, split_points
 
 VERSION = 1
-#: The dictionary is trained on so many documents at most, of so many characters at most; the bound is fixed, so that
-#: the driver holds at most 16 MB. Frames need no dictionary that has seen their words.
+#: The dictionary is trained on about so many documents, twice that at most, of so many characters at most; the bound is fixed, so that
+#: the driver holds at most 32 MB. Frames need no dictionary that has seen their words.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 2_000, 8_000, 64 << 10
 BLOCK_BYTES = 256 << 10
 LEVEL = 3
@@ -46,15 +46,11 @@ def _train(samples: list[bytes]) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
-    """A dictionary from the serialised ids of a bounded sample, the documents whose ids hash lowest."""
-    rows = (
-        docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-        .select(F.xxhash64("doc_id").alias("h"), "text")
-        .orderBy("h", "text")
-        .limit(SAMPLE_DOCS)
-        .select("text")
-        .collect()
-    )
+    """A dictionary from the serialised ids of a bounded sample, documents of which an id's hash is low."""
+    short = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select(F.xxhash64("doc_id").alias("h"), "text")
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    some = short.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))  # about SAMPLE_DOCS rows or fewer
+    rows = some.orderBy("h", "text").limit(2 * SAMPLE_DOCS).select("text").collect()
     enc = tokens.TextEncoder(path, keep_space=True)
     return _train([x.tobytes() for x in enc.batch([r["text"] for r in rows], end_id)])
 

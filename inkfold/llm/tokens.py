@@ -1,8 +1,9 @@
 """Whole texts to token ids by the ``tokenizers`` library, with a bounded cache of words.
 
 A text is cut at white space into chunks which the tokenizer's own pattern never joins, so that a text's ids are its
-chunks' ids in a row. Unknown chunks of a batch are encoded together, held apart by a special token; texts with
-characters on which the two libraries' ideas of white space differ, or with the special token itself, go whole.
+chunks' ids in a row. Plain texts (words with one space or one newline between them) are cut by ``str.split``, others by a
+pattern. Unknown chunks of a text are encoded together, held apart by a special token; texts with characters on which the
+two libraries' ideas of white space differ, or with the special token itself, go whole.
 """
 
 from __future__ import annotations
@@ -14,11 +15,27 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Chunks kept by each Python worker (about 200 bytes each).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
 #: Characters that are white space to Python's ``\\s`` only.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
+#: White space besides space and newline, and the places where two white-space characters meet.
+_UNPLAIN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+_UNPLAIN_WIDE = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 _BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_SPACED = re.compile(r"\S+")
+
+
+def plain(text: str) -> bool:
+    """Whether words are parted by one space or newline, with none at either end."""
+    if text[0] in " \n" or text[-1] in " \n":
+        return False
+    for x in _UNPLAIN:
+        if x in text:
+            return False
+    if not text.isascii():
+        for x in _UNPLAIN_WIDE:
+            if x in text:
+                return False
+    return True
 
 
 class TextEncoder:
@@ -33,56 +50,72 @@ class TextEncoder:
         self.apart = Tokenizer.from_file(path)
         self.sep, self.sep_id = end_of_text, self.apart.token_to_id(end_of_text)
         self.dtype = np.dtype("<u2" if self.plain.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cut = _BYTE_LEVEL if keep_space else _SPACED
-        self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.keep_space = keep_space
+        #: chunks as they stand, and words with a space before them
+        self.bare: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.cache_words, self.missed = cache_words, 0
+        self.newline = self._whole("\n") if keep_space else b""
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.plain.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
+    def _encode(self, chunks: list[str]) -> list[bytes]:
         if self.sep_id is None:
-            return {c: self._whole(c) for c in chunks}
-        for i in range(0, len(chunks), 4096):
-            part = chunks[i : i + 4096]
-            ids = np.asarray(self.apart.encode_batch_fast([self.sep.join(part) + self.sep], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.flatnonzero(ids == self.sep_id)
-            if len(ends) != len(part):
-                out.update((c, self._whole(c)) for c in part)
-                continue
-            raw, w, at = ids.tobytes(), self.dtype.itemsize, 0
-            for c, e in zip(part, (ends * w).tolist()):
-                out[c] = raw[at:e]
-                at = e + w
+            return [self._whole(c) for c in chunks]
+        ids = np.asarray(self.apart.encode_batch_fast([self.sep.join(chunks) + self.sep], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(ids == self.sep_id)
+        if len(ends) != len(chunks):
+            return [self._whole(c) for c in chunks]
+        raw, w, at, out = ids.tobytes(), self.dtype.itemsize, 0, []
+        for e in (ends * w).tolist():
+            out.append(raw[at:e])
+            at = e + w
         return out
 
+    def _look(self, chunks: list[str], cache: dict[str, bytes], before: str) -> list[bytes]:
+        """The ids of each chunk with ``before`` in front of it."""
+        try:
+            return list(map(cache.__getitem__, chunks))
+        except KeyError:
+            new = [c for c in dict.fromkeys(chunks) if c not in cache]
+            got = dict(zip(new, self._encode([before + c for c in new])))
+            if len(self.bare) + len(self.spaced) + len(new) <= self.cache_words:
+                cache.update(got)
+                return list(map(cache.__getitem__, chunks))
+            self.missed += len(new)
+            out = [got[c] if c in got else cache[c] for c in chunks]
+            if self.missed > self.cache_words:  # other words than those kept are common now
+                self.bare.clear()
+                self.spaced.clear()
+                self.missed = 0
+            return out
+
+    def _text(self, text: str) -> bytes:
+        if self.sep in text or any(x in text for x in _ODD):
+            return self._whole(text)
+        if not self.keep_space:
+            return b"".join(self._look(text.split(), self.bare, ""))
+        if not plain(text):
+            return b"".join(self._look(_BYTE_LEVEL.findall(text), self.bare, ""))
+        lines = [line.split(" ") for line in text.split("\n")]
+        heads = self._look([x[0] for x in lines], self.bare, "")
+        rest = self._look([w for x in lines for w in x[1:]], self.spaced, " ")
+        if len(lines) == 1:
+            return heads[0] + b"".join(rest)
+        out, at = [], 0
+        for head, x in zip(heads, lines):
+            out.append(head)
+            out += rest[at : at + len(x) - 1]
+            at += len(x) - 1
+            out.append(self.newline)
+        out.pop()
+        return b"".join(out)
+
     def batch(self, texts: Iterable[str | None], end_id: int | None = None) -> list[np.ndarray]:
         """The ids of each text, then the end id."""
         tail = b"" if end_id is None else np.asarray([end_id], self.dtype).tobytes()
-        out: list[np.ndarray] = []
-        cache = self.cache
-        for text in texts:
-            if not text:
-                out.append(np.frombuffer(tail, self.dtype))
-                continue
-            if self.sep in text or _ODD.search(text):
-                out.append(np.frombuffer(self._whole(text) + tail, self.dtype))
-                continue
-            chunks = self.cut.findall(text)
-            try:
-                got = list(map(cache.__getitem__, chunks))
-            except KeyError:
-                new = self._learn([c for c in dict.fromkeys(chunks) if c not in cache])
-                if len(cache) + len(new) > self.cache_words:
-                    cache.clear()
-                    new = self._learn(list(dict.fromkeys(chunks)))
-                cache.update(new)
-                got = list(map(cache.__getitem__, chunks))
-                if len(cache) > self.cache_words:
-                    cache.clear()
-            out.append(np.frombuffer(b"".join(got) + tail, self.dtype))
-        return out
+        return [np.frombuffer((self._text(t) if t else b"") + tail, self.dtype) for t in texts]
 
 
 _encoders: dict[tuple, TextEncoder] = {}
