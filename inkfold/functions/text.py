@@ -33,14 +33,13 @@ def rstrip(c: Column) -> Column:
 
 def split_lines(c: Column) -> Column:
     """Lines of a text; a line end at the very end opens no further line."""
-    parts = F.split(c, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, f"(?:{LINE_END})\\z", ""), LINE_END, -1))
 
 
 def expand_tabs(c: Column, stop: int = 8) -> Column:
     """Tabs as spaces up to the next stop."""
-    first = F.split(c, "\t", -1)
-    grown = F.aggregate(F.slice(first, 2, F.size(first)), first[0], lambda a, x: F.concat(a, F.repeat(F.lit(" "), F.lit(stop) - F.length(a) % stop), x))
+    none = F.lit(None).cast("string")
+    grown = F.aggregate(F.split(c, "\t", -1), none, lambda a, x: F.when(a.isNull(), x).otherwise(F.concat(a, F.repeat(F.lit(" "), F.lit(stop) - F.length(a) % stop), x)))
     return F.when(F.instr(c, "\t") > 0, grown).otherwise(c)
 
 

@@ -20,8 +20,7 @@ def front_matter(fields: dict[str, Column]) -> Column:
 def wrapped_markdown(docs: DataFrame) -> DataFrame:
     """Text laid out on fixed-pitch pages as markdown with an anchor for each row. Everything of a document is made inside its
     own row: no shuffle, whatever its size. doc_id, pages, blocks, chars, markdown, sha256_markdown, sha256_input."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(F.col("doc_id"), t.alias("text"), texts.pages_of(t).alias("pages"))
+    d = texts.with_pages(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")))
 
     def row(page: Column) -> Column:
         def one(s: Column, i: Column) -> Column:
@@ -34,18 +33,19 @@ def wrapped_markdown(docs: DataFrame) -> DataFrame:
 
     marker = lambda p: T.page_marker(p, F.lit(float(texts.WIDTH)), F.lit(float(texts.HEIGHT)), F.lit("point"))
     body = F.array_join(F.transform("pages", lambda rows, p: F.concat(marker(p + 1), F.lit("\n\n"), F.array_join(F.transform(rows, row(p + 1)), ""))), "")
-    kept = F.filter(F.flatten("pages"), lambda s: s != "")
+    d = d.withColumn("body", body).withColumn("kept", F.filter(F.flatten("pages"), lambda s: s != ""))
     d = d.select(
         "doc_id",
         "text",
         F.size("pages").cast("long").alias("pages"),
-        F.size(kept).cast("long").alias("blocks"),
-        F.aggregate(kept, F.lit(0).cast("long"), lambda a, s: a + F.length(s)).alias("chars"),
-        body.alias("body"),
+        F.size("kept").cast("long").alias("blocks"),
+        F.aggregate("kept", F.lit(0).cast("long"), lambda a, s: a + F.length(s)).alias("chars"),
+        "body",
     )
     front = front_matter({"format": F.lit(FORMAT), "generator": F.lit("inkfold"), "source": F.lit("document"), "provider": F.lit("plain-text"), "doc_id": F.col("doc_id"), **{k: F.col(k) for k in ("pages", "blocks", "chars")}})
     md = F.concat(front, F.regexp_replace("body", r"\s+$", ""), F.lit("\n"))
-    return d.select("doc_id", "pages", "blocks", "chars", md.alias("markdown"), F.sha2(md, 256).alias("sha256_markdown"), F.sha2("text", 256).alias("sha256_input"))
+    d = d.withColumn("markdown", md)
+    return d.select("doc_id", "pages", "blocks", "chars", "markdown", F.sha2("markdown", 256).alias("sha256_markdown"), F.sha2("text", 256).alias("sha256_input"))
 
 
 def ordered(blocks: DataFrame, spliced: DataFrame, keys: list[str]) -> DataFrame:

@@ -22,28 +22,25 @@ def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(blocks_of(F.col(text_col))).alias("block_ix", "text"))
 
 
-def _wrapped(line: Column) -> Column:
-    t = T.rstrip(T.expand_tabs(line, TAB))
-    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.length(t) - 1) / COLUMNS), F.lit(0)).cast("int"))
-    return F.when(t == "", F.array(F.lit(""))).otherwise(F.transform(starts, lambda i: F.substring(t, i * COLUMNS + 1, F.lit(COLUMNS))))
+def with_pages(docs: DataFrame, text_col: str = "text", out: str = "pages") -> DataFrame:
+    """Adds pages as arrays of rows: a form feed ends a page, lines are cut hard, blank lines take a row; one page at least.
 
-
-def pages_of(text: Column) -> Column:
-    """Pages as arrays of rows: a form feed ends a page, lines are cut hard, blank lines take a row; one page at least."""
-
-    def paged(chunk: Column) -> Column:
-        rows = F.flatten(F.transform(T.split_lines(chunk), _wrapped))
-        many = F.ceil(F.size(rows) / ROWS).cast("int")
-        none = F.array().cast("array<array<string>>")
-        return F.when(F.size(rows) > 0, F.transform(F.sequence(F.lit(0), many - 1), lambda p: F.slice(rows, p * ROWS + 1, F.lit(ROWS)))).otherwise(none)
-
-    pages = F.flatten(F.transform(F.split(text, "\f", -1), paged))
-    return F.when(F.size(pages) > 0, pages).otherwise(F.array(F.array().cast("array<string>")))
+    Each step is a column of its own: an expression inside a lambda is worked out wherever it is named."""
+    d = docs.withColumn("_parts", F.split(F.coalesce(F.col(text_col), F.lit("")), "\f", -1))
+    d = d.withColumn("_lines", F.transform("_parts", lambda c: F.transform(T.split_lines(c), lambda x: T.rstrip(T.expand_tabs(x, TAB)))))
+    cut = lambda t: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(t) - 1, F.lit(0)) / COLUMNS).cast("int")), lambda i: F.substring(t, i * COLUMNS + 1, F.lit(COLUMNS)))
+    d = d.withColumn("_rows", F.transform("_lines", lambda c: F.flatten(F.transform(c, cut))))
+    d = d.withColumn("_rows", F.filter("_rows", lambda r: F.size(r) > 0))
+    paged = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / ROWS).cast("int")), lambda p: F.slice(r, p * ROWS + 1, F.lit(ROWS)))
+    d = d.withColumn("_pages", F.flatten(F.transform("_rows", paged)))
+    none = F.array(F.array().cast("array<string>"))
+    return d.withColumn(out, F.when(F.size("_pages") > 0, F.col("_pages")).otherwise(none)).drop("_parts", "_lines", "_rows", "_pages")
 
 
 def wrap_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, page, row, text) of all rows, blank ones included."""
-    pages = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(pages_of(F.coalesce(F.col(text_col), F.lit("")))).alias("p", "rows"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    pages = with_pages(src).select("doc_id", F.posexplode("pages").alias("p", "rows"))
     return pages.select("doc_id", (F.col("p") + 1).alias("page"), F.posexplode("rows").alias("row", "text"))
 
 
