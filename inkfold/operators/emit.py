@@ -56,13 +56,13 @@ def ordered(blocks: DataFrame, spliced: DataFrame, keys: list[str]) -> DataFrame
     s = spliced.select(*keys, "kind", "ix", F.coalesce(F.col("y").cast("double"), inf).alias("y"))
     w = Window.partitionBy(*keys)
     # the first block whose running maximum reaches an item is the first that is not above it
-    b = b.withColumn("k", F.row_number().over(w.orderBy("ix")) - 1).withColumn("top", F.max("y").over(w.orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)))
-    both = b.withColumn("is_block", F.lit(1)).unionByName(s.withColumns({"k": F.lit(None).cast("int"), "top": F.col("y"), "is_block": F.lit(0)}))
+    b = b.withColumn("_k", F.row_number().over(w.orderBy("ix")) - 1).withColumn("_top", F.max("y").over(w.orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)))
+    both = b.withColumn("_b", F.lit(1)).unionByName(s.withColumns({"_k": F.lit(None).cast("int"), "_top": F.col("y"), "_b": F.lit(0)}))
     # by running maximum: items before blocks at the same height, items without one after all blocks
-    late = (F.col("is_block") == 0) & (F.col("y") == inf)
-    walk = w.orderBy("top", "is_block", F.col("k").asc_nulls_first()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    both = both.withColumn("slot", F.when(F.col("is_block") == 1, F.col("k")).when(late, F.lit(2**31 - 1)).otherwise(F.coalesce(F.min("k").over(walk), F.lit(2**31 - 1))))
-    order = w.orderBy("slot", "is_block", F.when(F.col("is_block") == 0, F.col("y")), "kind", "ix")
+    late = (F.col("_b") == 0) & (F.col("y") == inf)
+    walk = w.orderBy("_top", "_b", F.col("_k").asc_nulls_first()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    both = both.withColumn("_slot", F.when(F.col("_b") == 1, F.col("_k")).when(late, F.lit(2**31 - 1)).otherwise(F.coalesce(F.min("_k").over(walk), F.lit(2**31 - 1))))
+    order = w.orderBy("_slot", "_b", F.when(F.col("_b") == 0, F.col("y")), "kind", "ix")
     return both.withColumn("pos", F.row_number().over(order) - 1).select(*keys, "kind", "ix", "pos")
 
 

@@ -15,7 +15,7 @@ def heading_parents(items: DataFrame, keys: list[str], ix: str = "ix", level: st
     out = items
     for k, c in last.items():
         out = out.withColumn(f"_l{k}", c)
-    above = lambda k: F.greatest(F.lit(-1), *(F.coalesce(f"_l{j}", F.lit(-1)) for j in range(1, k)))
+    above = lambda k: F.greatest(F.lit(-1), F.lit(-1), *(F.coalesce(f"_l{j}", F.lit(-1)) for j in range(1, k)))
     parent = F.when(F.col(level).isNull(), above(DEEPEST + 1))
     for k in range(1, DEEPEST + 1):
         parent = parent.when(F.col(level) == k, above(k))
