@@ -210,7 +210,7 @@ def continuity_edges(spark, sf):
     """Blocks of a document that go on in the next: score and evidence; equal heights and widths are taken as given."""
     d = table(spark, sf, "documents")
     u, c = T.case_counts(F.col("text"))
-    b = d.select("doc_id", T.case_voided(u, c).alias("voided"), F.posexplode(texts.blocks_of(F.col("text"))).alias("block_ix", "text"))
+    b = d.withColumn("voided", T.case_voided(u, c)).select("doc_id", "voided", F.posexplode(texts.blocks_of(F.col("text"))).alias("block_ix", "text"))
     t = F.col("text")
     b = b.select("doc_id", "block_ix", T.ends_hyphen(t).alias("h"), T.ends_terminal(t).alias("e"), T.starts_lowercase(t, F.col("voided")).alias("s"))
     w = Window.partitionBy("doc_id").orderBy("block_ix")

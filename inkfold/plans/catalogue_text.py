@@ -161,7 +161,7 @@ def block_metrics(spark, sf):
     """Counts and flags of every block; the case profile of its document decides whether case speaks."""
     d = table(spark, sf, "documents")
     u, c = T.case_counts(F.col("text"))
-    b = d.select("doc_id", T.case_voided(u, c).alias("voided"), F.posexplode(texts.blocks_of(F.col("text"))).alias("block_ix", "text"))
+    b = d.withColumn("voided", T.case_voided(u, c)).select("doc_id", "voided", F.posexplode(texts.blocks_of(F.col("text"))).alias("block_ix", "text"))
     t = F.col("text")
     return b.select("doc_id", "block_ix", F.length(t).cast("long").alias("char_count"), T.ends_terminal(t).alias("ends_terminal_punct"), T.ends_hyphen(t).alias("ends_hyphen"), T.starts_lowercase(t, F.col("voided")).alias("starts_lowercase"), T.digit_class(t).alias("digit_class"))
 
