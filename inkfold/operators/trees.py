@@ -69,3 +69,44 @@ def kendall(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     y = pairs.select(*keys, F.col(a).alias("a2"), F.col(b).alias("b2"))
     j = x.join(y, keys).where("a1 < a2").groupBy(*keys).agg(F.count("*").alias("pairs"), F.count_if(F.col("b1") > F.col("b2")).alias("discordant"))
     return j.withColumn("tau_pm", F.floor((F.col("pairs") - 2 * F.col("discordant")) * 1000 / F.col("pairs")).cast("long"))
+
+
+def conflicts(leaves: DataFrame, keys: list[str]) -> DataFrame:
+    """Sibling sections that disagree with geometry, page by page. leaves: keys, section (in stated order), page, band, col_x0, col_x1.
+    Two sections conflict on a page if they share a column - each covers most of the other - and their bands overlap by more than a
+    third of the shorter, or the earlier one starts lower. Sections are pre-aggregated, so pairs are of sections, not of leaves."""
+    col = F.struct(F.col("col_x0").alias("x0"), F.col("col_x1").alias("x1"))
+    s = leaves.groupBy(*keys, "page", "section").agg(F.min("band").alias("lo"), F.max("band").alias("hi"), F.collect_set(col).alias("cols"))
+    name = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("section", "lo", "hi", "cols")]
+    j = s.select(*keys, "page", *name("a")).join(s.select(*keys, "page", *name("b")), [*keys, "page"]).where("a_section < b_section")
+    inter = lambda a, b: F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])
+    same = F.exists("a_cols", lambda a: F.exists("b_cols", lambda b: (2 * inter(a, b) > a["x1"] - a["x0"]) & (2 * inter(a, b) > b["x1"] - b["x0"])))
+    shared = F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo") + 1
+    shorter = F.least(F.col("a_hi") - F.col("a_lo"), F.col("b_hi") - F.col("b_lo")) + 1
+    return j.where(same & (((shared > 0) & (3 * shared > shorter)) | (F.col("a_lo") > F.col("b_lo")))).select(*keys, "page", "a_section", "b_section")
+
+
+FURNITURE_RANK = {"pageHeader": 0, "pageNumber": 1, "pageFooter": 2}
+
+
+def furniture_order(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Furniture in order of page, role, top, left and index: adds pos (from 0). Without geometry top and left count as 0."""
+    rank = F.coalesce(*(F.when(F.col("role") == k, F.lit(v)) for k, v in FURNITURE_RANK.items()), F.lit(3))
+    w = Window.partitionBy(*keys).orderBy("page", rank, F.coalesce("y0", F.lit(0)), F.coalesce("x0", F.lit(0)), "block_ix")
+    return blocks.withColumn("pos", F.row_number().over(w) - 1)
+
+
+def review_reason(has_bands: Column, most_frames: Column, fallback_pages: Column, ties: Column, provider_sections: Column, most_band: Column, body_nodes: Column) -> Column:
+    """Why a tree deserves a second opinion, or why it does not (no_geometry, clean_single_column)."""
+    return (
+        F.when(~has_bands, "no_geometry")
+        .when(most_frames >= 2, "multi_frame")
+        .when(fallback_pages > 0, "coverage_fallback")
+        .when(ties > 0, "order_ties")
+        .when((provider_sections == "absent") & (most_band >= 1) & (body_nodes > 10), "sectionless_multiband")
+        .otherwise("clean_single_column")
+    )
+
+
+def deserves_review(reason: Column) -> Column:
+    return ~reason.isin("no_geometry", "clean_single_column")

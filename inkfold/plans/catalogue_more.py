@@ -120,7 +120,30 @@ def block_widths(spark, sf):
     return b.select("doc_id", "block_ix", T.cell_width(F.col("text")).alias("cells"), T.is_rtl(F.col("text")).alias("rtl"), T.norm(F.col("text")).alias("norm"))
 
 
-_FUNCS = (provider_read, provider_languages, provider_layout, provider_lines, canvas_rows, canvas_segments, tree_markdown, patch_apply, verify_stateful, block_widths)
+def section_conflicts(spark, sf):
+    """Event types as sections of a page for each user, hours as bands, three columns."""
+    e = table(spark, sf, "events")
+    leaf = e.select((F.col("user_id") % 20).alias("doc"), F.col("user_id").alias("page"), F.ascii("event_type").alias("section"), F.hour(F.col("ts").cast("timestamp")).alias("band"), (F.col("event_id") % 3 * 100).alias("col_x0"), (F.col("event_id") % 3 * 100 + 60 + F.col("event_id") % 2 * 70).alias("col_x1"))
+    return trees.conflicts(leaf.where("event_id % 40 < 12"), ["doc"])
+
+
+def furniture(spark, sf):
+    """Line items as running heads and feet of their order."""
+    l = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    role = F.element_at(F.array(*(F.lit(x) for x in ("pageFooter", "pageNumber", "pageHeader", "other"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    b = l.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), role.alias("role"), F.when(F.col("l_linenumber") % 2 == 0, F.col("q")).alias("y0"), F.lit(None).cast("double").alias("x0"), F.col("l_linenumber").alias("block_ix"))
+    return trees.furniture_order(b, ["doc_id"]).select("doc_id", "role", "block_ix", "pos")
+
+
+def review_reasons(spark, sf):
+    """Orders as trees: their line items give bands, frames, ties and nodes."""
+    l = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("band"), F.sum("l_quantity").alias("q"))
+    r = trees.review_reason(F.col("n") > 1, F.when(F.col("q") > 150, 2).otherwise(1), F.when(F.col("l_orderkey") % 11 == 0, 1).otherwise(0), F.when(F.col("l_orderkey") % 5 == 0, 1).otherwise(0), F.when(F.col("l_orderkey") % 2 == 0, "absent").otherwise("present"), F.col("band"), F.col("n") * 3)
+    l = l.withColumn("reason", r)
+    return l.select("l_orderkey", "reason", trees.deserves_review(F.col("reason")).alias("review"))
+
+
+_FUNCS = (section_conflicts, furniture, review_reasons, provider_read, provider_languages, provider_layout, provider_lines, canvas_rows, canvas_segments, tree_markdown, patch_apply, verify_stateful, block_widths)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 _CANVAS = f"""{L._TWO}, starts AS (SELECT page, frame_ix, coalesce(sum(cells + 3) OVER (PARTITION BY page ORDER BY frame_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS col_start FROM cells),
@@ -128,6 +151,17 @@ placed AS (SELECT h.page, h.row, h.frame_ix, h.text, s.col_start + mode((h.x0 -
 both_ AS (SELECT page, row, max(text) FILTER (frame_ix = 0) AS l, max(text) FILTER (frame_ix = 1) AS r, max(pos) FILTER (frame_ix = 0) AS la, max(pos) FILTER (frame_ix = 1) AS ra FROM placed GROUP BY 1, 2),
 canvas AS (SELECT page, row, coalesce(repeat(' ', CAST(la AS INTEGER)) || l, '') || CASE WHEN r IS NULL THEN '' ELSE repeat(' ', CAST(greatest(ra - coalesce(la + length(l), 0), CASE WHEN l IS NULL THEN 0 ELSE 1 END) AS INTEGER)) || r END AS text FROM both_)"""
 SQL = {
+    "section_conflicts": """WITH l AS (SELECT user_id % 20 AS doc, user_id AS page, ascii(event_type) AS section, hour(ts) AS band, event_id % 3 * 100 AS x0, event_id % 3 * 100 + 60 + event_id % 2 * 70 AS x1 FROM events WHERE event_id % 40 < 12),
+s AS (SELECT doc, page, section, min(band) AS lo, max(band) AS hi FROM l GROUP BY ALL), c AS (SELECT DISTINCT doc, page, section, x0, x1 FROM l)
+SELECT a.doc, a.page, a.section AS a_section, b.section AS b_section FROM s a JOIN s b ON a.doc = b.doc AND a.page = b.page AND a.section < b.section
+WHERE EXISTS (SELECT 1 FROM c x JOIN c y ON x.doc = a.doc AND x.page = a.page AND x.section = a.section AND y.doc = b.doc AND y.page = b.page AND y.section = b.section
+    WHERE 2 * (least(x.x1, y.x1) - greatest(x.x0, y.x0)) > x.x1 - x.x0 AND 2 * (least(x.x1, y.x1) - greatest(x.x0, y.x0)) > y.x1 - y.x0)
+  AND (a.lo > b.lo OR (least(a.hi, b.hi) >= greatest(a.lo, b.lo) AND 3 * (least(a.hi, b.hi) - greatest(a.lo, b.lo) + 1) > least(a.hi - a.lo, b.hi - b.lo) + 1))""",
+    "furniture": """WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber AS block_ix, ['pageFooter', 'pageNumber', 'pageHeader', 'other'][l_linenumber % 4 + 1] AS role, CASE WHEN l_linenumber % 2 = 0 THEN max(l_quantity) ELSE 0 END AS y FROM lineitem GROUP BY 1, 2)
+SELECT doc_id, role, block_ix, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY list_position(['pageHeader', 'pageNumber', 'pageFooter', 'other'], role), y, block_ix) - 1 AS INTEGER) AS pos FROM b""",
+    "review_reasons": """WITH t AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1),
+r AS (SELECT l_orderkey, CASE WHEN n <= 1 THEN 'no_geometry' WHEN q > 150 THEN 'multi_frame' WHEN l_orderkey % 11 = 0 THEN 'coverage_fallback' WHEN l_orderkey % 5 = 0 THEN 'order_ties' WHEN l_orderkey % 2 = 0 AND n * 3 > 10 THEN 'sectionless_multiband' ELSE 'clean_single_column' END AS reason FROM t)
+SELECT l_orderkey, reason, reason NOT IN ('no_geometry', 'clean_single_column') AS review FROM r""",
     "provider_read": f"WITH {_BLOCKS} SELECT doc_id, block_ix, 1 AS page, text, 'body' AS zone FROM blocks",
     "provider_languages": "SELECT doc_id, lang AS languages FROM documents",
     "provider_layout": f"WITH {_LAYOUT} SELECT doc_id, block_ix, zone, CAST(length(trim(s)) AS BIGINT) AS chars FROM nb",
