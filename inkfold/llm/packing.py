@@ -24,6 +24,8 @@ from . import tokens
 CAPACITY = 4096
 #: Ranks are dealt within (length, salt); so many salts in all at most, besides one for each length.
 MOST_SALTS, LEAST_ROWS = 50_000, 256
+#: Words whose ids a worker keeps: fewer than the token store's, since stages before and after share its memory.
+CACHE_WORDS = 400_000
 
 
 class Planner:
@@ -136,7 +138,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) ->
     doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path, keep_space=False)
+        enc = tokens.encoder(path, keep_space=False, cache_words=CACHE_WORDS)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 out: list[tuple] = []

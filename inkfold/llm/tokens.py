@@ -121,8 +121,8 @@ class TextEncoder:
 _encoders: dict[tuple, TextEncoder] = {}
 
 
-def encoder(path: str, keep_space: bool) -> TextEncoder:
-    """One encoder for each Python worker."""
+def encoder(path: str, keep_space: bool, cache_words: int = CACHE_WORDS) -> TextEncoder:
+    """One encoder for each Python worker; it outlives the task, and so does the memory of its words."""
     if (key := (path, keep_space)) not in _encoders:
-        _encoders[key] = TextEncoder(path, keep_space)
+        _encoders[key] = TextEncoder(path, keep_space, cache_words=cache_words)
     return _encoders[key]
