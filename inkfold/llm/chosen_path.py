@@ -36,8 +36,8 @@ RUNS, DEPTH, LIMIT = 16, 4, 64
 COORDS = 64
 #: Coordinates of 64 that a pair must share to be compared exactly.
 AGREE = 32
-#: Sets of a bucket that are compared by their coordinates in one task; tokens of a block in the exact comparison.
-BUCKET_ROWS, BLOCK_TOKENS = 512, 200_000
+#: Sets of a bucket that are compared by their coordinates in one task; tokens and sets of a block in the exact comparison.
+BUCKET_ROWS, BLOCK_TOKENS, BLOCK_ROWS = 512, 200_000, 1_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -243,7 +243,7 @@ def exact_links(docs: DataFrame, clusters: DataFrame, size: int = SHINGLE, thres
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(w, size)], pa.binary())], ["key", "tokens"])
 
     sets = _source(docs).select("key", "text").mapInArrow(load, "key long, tokens binary").dropDuplicates(["key"])
-    many = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("chunks"))
+    many = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("*") / BLOCK_ROWS)).cast("int").alias("chunks"))
     rows = sets.join(clusters, "key").select("id", "cluster", "copies", "tokens").join(many, "cluster")
     dealt = _block_pairs(rows, "cluster")
 
