@@ -36,6 +36,8 @@ ROWS = 1 << 14
 HEAD = 1 << 18
 ROUNDS, BATCH, RATE = 2, 8_192, 0.25
 BLOCKS = 64
+#: Bytes of text whose distinct words are counted together.
+SLICE = 2 << 20
 
 END, START = np.uint64(0xE4D0F7EC5A1B3C2D), np.uint64(0x57A27D0F9E3779B1)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -118,7 +120,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, w in worded(b.column(0), lower=True):
+            for _, _, w in worded(b.column(0), lower=True, most=SLICE):
                 tok, tail, _ = tokens_of(w)
                 h, first, n = np.unique(tok, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tail[first]), pa.array(n.astype(np.int64))], ["h", "tail", "n"])
@@ -183,7 +185,7 @@ def train_round(docs: DataFrame, lex, weights: np.ndarray) -> np.ndarray:
         square = np.full(ROWS + 1, 1e-2, np.float32)
         met = np.zeros(ROWS + 1, np.int64)
         for b in batches:
-            for _, _, words in worded(b.column(0), lower=True):
+            for _, _, words in worded(b.column(0), lower=True, most=SLICE):
                 tok, tail, off = tokens_of(words)
                 rows = features_of(tok, off)
                 cls = lx.class_of(lx.find(tok), tail).astype(np.int64)
@@ -247,7 +249,7 @@ def score_parts(docs: DataFrame, lex, weights: np.ndarray) -> DataFrame:
         log_base, log_class = lx.log_base, lx.log_class
         alone = np.arange(CLASSES) < SINGLES
         for b in batches:
-            for i, j, words in worded(b.column(2), lower=True):
+            for i, j, words in worded(b.column(2), lower=True, most=SLICE):
                 tok, tail, off = tokens_of(words)
                 rows = features_of(tok, off)
                 at = lx.find(tok)

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -237,7 +238,7 @@ def dedup(docs: DataFrame, index: RunIndex | None = None, window: int = WINDOW,
                         sha[d] = hashlib.sha256(_simple(w.text(d - i))).hexdigest()
             text = b.column(ti)
             if not with_text:
-                text = pa.array([t if m else None for t, m in zip(text, maybe.tolist())], pa.string())
+                text = pc.if_else(pa.array(maybe), text, pa.scalar(None, text.type))
             cols = [text if k == ti else b.column(k) for k in range(b.num_columns) if k != ki]
             yield pa.RecordBatch.from_arrays([*cols, b.column(ki), pa.array(count), pa.array(sha, pa.string())], [*[n for n in b.schema.names if n != "key"], "_key", "_words", "_sha"])
 

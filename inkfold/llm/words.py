@@ -12,8 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Texts are worked on in slices of about so many bytes; a longer text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+#: Texts are worked on in slices of about so many bytes, so that two workers fit beside a small heap; a longer text makes a
+#: slice of its own.
+SLICE_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,8 +138,8 @@ def slices(off: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def worded(col: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+def worded(col: pa.Array, lower: bool = False, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
     """The words of a text column, slice by slice: (first row, end row, words)."""
     data, off = text_buffers(col)
-    for i, j in slices(off):
+    for i, j in slices(off, most):
         yield i, j, Words(data[off[i] : off[j]], off[i : j + 1] - off[i], lower)
