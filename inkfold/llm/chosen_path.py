@@ -3,12 +3,13 @@
 Sets are the distinct hashes of all runs of five words of a text (of all its words, if it has one to four). Documents with the
 same set are one class from the start. The others are split recursively: a run follows one path, each step of which samples a
 coordinate (by the path so far) and splits a bucket by the token that is least there - two sets share it with a probability
-of their similarity. Buckets of ``LIMIT`` sets or fewer go no deeper, nor does any after ``DEPTH`` steps; the search is
-repeated ``RUNS`` times, so that a pair of similarity 0.8 that needs the full depth is met with probability
-1 - (1 - 0.8**4)**16 = 0.9998, and every pair that needs less of it more surely.
+of their similarity. Coordinates are minima of the whole set under 64 hash functions, so that they are independent however few
+tokens a set has, and each run has ``DEPTH`` of them to itself. Buckets of ``LIMIT`` sets or fewer go no deeper, nor does any
+after ``DEPTH`` steps; the search is repeated ``RUNS`` times, so that a pair of similarity 0.8 that needs the full depth is met
+with probability 1 - (1 - 0.8**4)**16 = 0.9998, and every pair that needs less of it more surely.
 
-Within buckets, pairs that agree in enough of 64 byte-wide coordinates join a cluster (a pair of similarity 0.8 fails that
-with a probability below 1e-6). Each cluster is then brute-forced once, with its exact sets, in blocks: a large cluster is
+Within buckets, pairs that agree in enough of the 64 coordinates, taken byte-wide, join a cluster (a pair of similarity 0.8 fails
+that with a probability of 2e-8). Each cluster is then brute-forced once, with its exact sets, in blocks: a large cluster is
 dealt over pairs of blocks of about ``BLOCK_TOKENS`` tokens, so that neither a task nor its memory grows with it, and only counts
 of links and a spanning forest leave a task, never all pairs.
 
@@ -33,12 +34,15 @@ from .words import Words, mix, runs, worded
 
 SHINGLE, THRESHOLD = 5, 0.8
 RUNS, DEPTH, LIMIT = 16, 4, 64
-COORDS = 64
+#: Coordinates of a sketch: DEPTH for each run.
+COORDS = RUNS * DEPTH
 #: Coordinates of 64 that a pair must share to be compared exactly.
 AGREE = 32
 #: Sets of a bucket that are compared by their coordinates in one task; tokens and sets of a block in the exact comparison.
 BUCKET_ROWS, BLOCK_TOKENS, BLOCK_ROWS = 512, 200_000, 1_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_rng = np.random.Generator(np.random.PCG64(20240301))
+_XOR, _ODD = _rng.integers(0, 2**64 - 1, COORDS, np.uint64), _rng.integers(0, 2**63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(w: Words, size: int = SHINGLE) -> list[np.ndarray]:
@@ -62,14 +66,23 @@ def _digest(s: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(v) ^ np.uint64(len(s)), np.bitwise_xor.reduce(v)], np.uint64)).view(np.int64)[0]) if len(s) else 0
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
-    """The least token of each of COORDS parts of hash space; an empty part borrows from the next that is not."""
-    part = (s >> np.uint64(58)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    have, least = part[first], s[first]
-    at = np.searchsorted(have, np.arange(COORDS))
-    gap = np.where(at < len(have), have[at % len(have)], have[0] + COORDS) - np.arange(COORDS)
-    return mix(least[at % len(have)] ^ (gap.astype(np.uint64) * _STEP)).astype(np.uint32)
+def _sketches(sets: list[np.ndarray]) -> list[bytes | None]:
+    """Of each set the hash of its least token under each of COORDS hash functions; None for an empty one."""
+    full = [i for i, s in enumerate(sets) if len(s)]
+    out: list[bytes | None] = [None] * len(sets)
+    if not full:
+        return out
+    tokens = mix(np.concatenate([sets[i] for i in full]))
+    first = np.cumsum([0, *[len(sets[i]) for i in full[:-1]]])
+    m = np.empty((len(full), COORDS), np.uint32)
+    v = np.empty_like(tokens)
+    for k in range(COORDS):
+        np.bitwise_xor(tokens, _XOR[k], out=v)
+        v *= _ODD[k]
+        m[:, k] = mix(np.minimum.reduceat(v, first))
+    for r, i in enumerate(full):
+        out[i] = m[r].tobytes()
+    return out
 
 
 def row_key() -> Column:
@@ -95,7 +108,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                         b.column(1).slice(i, j - i),
                         pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([_sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array(_sketches(sets), pa.binary()),
                     ],
                     ["key", "doc_id", "id", "n", "sketch"],
                 )
@@ -113,10 +126,13 @@ def paths(sets: DataFrame) -> DataFrame:
             row = np.arange(len(m))
             for r in range(RUNS):
                 p = np.full(len(m), mix(np.array([r + 1], np.uint64) * _STEP)[0])
+                left = np.tile(np.arange(r * DEPTH, (r + 1) * DEPTH), (len(m), 1))  # the run's coordinates not yet taken
                 steps = []
-                for _ in range(DEPTH):
-                    at = (p % np.uint64(COORDS)).astype(np.int64)
-                    p = mix(p * _STEP + m[row, at])
+                for d in range(DEPTH):
+                    at = (p % np.uint64(DEPTH - d)).astype(np.int64)
+                    own = left[row, at]
+                    left[row, at] = left[:, DEPTH - d - 1]
+                    p = mix(p * _STEP + m[row, own])
                     steps.append(pa.array(p.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0), *steps], ["id", *names])
 

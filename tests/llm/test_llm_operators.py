@@ -188,6 +188,24 @@ def test_jaccard(spark, docs, rows, none, monkeypatch):
     assert chosen_path.near_classes(none).count() == 0
 
 
+def test_jaccard_short_pairs(spark, monkeypatch):
+    """Pairs of 8 to 30 words at 0.8 or just above, each alone with its partner."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = []
+    for k in range(2500):
+        n = 8 + k % 23
+        w = [word() for _ in range(n)]
+        rows.append((2 * k, " ".join(w)))
+        rows.append((2 * k + 1, " ".join(w + [word() for _ in range((n - 4) // 4)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in chosen_path.near_classes(df).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+    monkeypatch.setattr(chosen_path, "LIMIT", 1)  # all paths to their end
+    got = {r["doc_id"]: r["class_id"] for r in chosen_path.near_classes(df).collect()}
+    assert sum(got[2 * k + 1] != 2 * k for k in range(2500)) <= 4
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
