@@ -71,16 +71,17 @@ class Tree:
             a, b = self.span[node]
             score = self.rows[a:b] @ q
             at = np.flatnonzero(score >= bar) if bar is not None else np.arange(b - a)
+            if own is not None:
+                at = at[ids[self.order[a:b][at]] != own]
             if len(at) > 4 * k:  # all that reach the kth best of these
-                keep = np.partition(score[at], len(at) - k - 1)[len(at) - k - 1]
+                keep = np.partition(score[at], len(at) - k)[len(at) - k]
                 at = at[score[at] >= keep]
             for s, i in zip(score[at].tolist(), ids[self.order[a:b][at]].tolist()):
-                if own is None or i != own:
-                    item = (s, -i)
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
+                item = (s, -i)
+                if len(best) < k:
+                    heapq.heappush(best, item)
+                elif item > best[0]:
+                    heapq.heapreplace(best, item)
             if len(best) == k and (bar is None or best[0][0] > bar):
                 bar = best[0][0]
         return sorted(best, reverse=True)

@@ -155,6 +155,18 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_top_k_repeated_id():
+    """A query whose own id has many rows, all of them nearer than any other."""
+    rng = np.random.default_rng(4)
+    v = rng.integers(-50, 50, (100, 4))
+    v[:30] = [90, 90, 90, 90]
+    ids = np.array([7] * 30 + list(range(100, 170)))
+    for own, want in ((7, 30), (None, 0)):
+        s = v @ v[0]
+        best = sorted(((int(x), -int(i)) for x, i in zip(s[want:], ids[want:])), reverse=True)[:5]
+        assert topk.Tree(v).search(v[0], ids, own, 5, None) == best
+
+
 def brute_classes(rows):
     sets = []
     for r in rows:
