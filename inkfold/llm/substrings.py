@@ -2,13 +2,17 @@
 
 Every window of ``WINDOW`` words has an anchor: the least hash among its runs of ``ANCHOR`` words. Equal windows have equal
 anchors, and neighbouring windows mostly share theirs, so an index of anchors is a twelfth of an index of windows. The index is
-log-structured: each batch of documents becomes an immutable run of (hash, count), sorted by hash; a new batch is merge-joined
-with the runs there are; too many runs are merged into one.
+log-structured: each batch of documents becomes an immutable run of (hash, count), sorted by hash; too many runs are merged into
+one.
 
 Anchors met at two places or more are only candidates. They go into a Bloom filter of fixed size (``FILTER_BITS``, whatever the
 corpus holds); a second scan finds the windows whose anchor is in it and takes their own hashes (96 bits), which are counted
 exactly over all documents: that verifies them. A fuller filter means more rows to count, never another result.
 
+An index that the caller keeps also holds the hashes of all windows of the calls before, in sorted runs of their own; the
+candidates of a new call are merge-joined with every run, so that a window that history has even once is a repeat. The words of
+the earlier documents stay as they were given back. Without such an index there is no history, and no window runs are written.
+
 Windows are judged on the input, not on what is left. Null, empty and short texts keep all their words; rows with equal id and
 text are documents of their own, so that their windows repeat; an empty table gives no rows; other columns are not read.
 """
@@ -72,32 +76,34 @@ class Windows:
 
 
 class RunIndex:
-    """Sorted immutable runs of (h, n) in a folder of the shared store."""
+    """Sorted immutable runs of keys and n in a folder of the shared store; ``windows`` is the index of window hashes beside it."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, keys: str = "h long") -> None:
         self.spark, self.path = spark, path
+        self.schema, self.keys = f"{keys}, n long", [k.split()[0] for k in keys.split(",")]
+        self.windows = RunIndex(spark, f"{path}/windows", "h long, g int") if len(self.keys) == 1 else None
         self.runs: list[str] = []
         self.made = 0
 
     def _write(self, counted: DataFrame) -> str:
         out = f"{self.path}/run-{self.made}"
         self.made += 1
-        counted.sortWithinPartitions("h").write.parquet(out)
+        counted.sortWithinPartitions(*self.keys).write.parquet(out)
         return out
 
     def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("h long, n long").parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
 
     def append(self, hashes: DataFrame) -> None:
         """Makes the batch's hashes (h, n) a run; merges the runs if there are too many."""
-        self.runs.append(self._write(hashes.groupBy("h").agg(F.sum("n").alias("n"))))
+        self.runs.append(self._write(hashes.groupBy(*self.keys).agg(F.sum("n").alias("n"))))
         if len(self.runs) > MOST_RUNS:
             self.compact()
 
     def hits(self, hashes: DataFrame) -> DataFrame:
         """Merge-join of a new batch with every run: its hashes that the index already has."""
-        batch = hashes.select("h").distinct()
-        found = [batch.join(self._read(r).hint("merge"), "h", "left_semi") for r in self.runs]
+        batch = hashes.select(*self.keys).distinct()
+        found = [batch.join(self._read(r).hint("merge"), self.keys, "left_semi") for r in self.runs]
         out = found[0] if found else batch.limit(0)
         for f in found[1:]:
             out = out.union(f)
@@ -105,11 +111,11 @@ class RunIndex:
 
     def merged(self) -> DataFrame:
         if not self.runs:
-            return self.spark.createDataFrame([], "h long, n long")
+            return self.spark.createDataFrame([], self.schema)
         out = self._read(self.runs[0])
         for r in self.runs[1:]:
             out = out.union(self._read(r))
-        return out.groupBy("h").agg(F.sum("n").alias("n")) if len(self.runs) > 1 else out
+        return out.groupBy(*self.keys).agg(F.sum("n").alias("n")) if len(self.runs) > 1 else out
 
     def compact(self) -> None:
         old = self.runs
@@ -119,7 +125,7 @@ class RunIndex:
 
     def repeated(self) -> DataFrame:
         """Hashes met at more than one place."""
-        return self.merged().where(F.col("n") > 1).select("h")
+        return self.merged().where(F.col("n") > 1).select(*self.keys)
 
 
 def anchor_hashes(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -134,6 +140,25 @@ def anchor_hashes(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     return texts.mapInArrow(go, "h long, n long")
 
 
+def window_hashes(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(h, g, n) of every window of a column of texts; partial counts."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, w in worded(b.column(0)):
+                h1, h2 = _lanes(w.hashes(), w.word_off, window)
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.ones(len(h1), np.int64))], ["h", "g", "n"])
+
+    return texts.mapInArrow(go, "h long, g int, n long")
+
+
+def _lanes(h: np.ndarray, word_off: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 96 bits of each window: 64 and 32."""
+    h1, _ = runs(h, word_off, window)
+    h2, _ = runs(mix(h ^ _LANE), word_off, window)
+    return h1.view(np.int64), (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The slice of the filter a hash belongs to and its two bits there."""
     return (h >> np.uint64(58)).astype(np.int64), ((h >> np.uint64(29)) % np.uint64(_SLICE)).astype(np.int64), (mix(h) % np.uint64(_SLICE)).astype(np.int64)
@@ -189,16 +214,17 @@ def repeated_spans(docs: DataFrame, index: RunIndex, window: int = WINDOW, ancho
                 hit = np.flatnonzero(_in_filter(f, x.anchor))
                 if not len(hit):
                     continue
-                h1, _ = runs(x.h, x.word_off, window)
-                h2, _ = runs(mix(x.h ^ _LANE), x.word_off, window)
+                h1, h2 = _lanes(x.h, x.word_off, window)
                 doc = np.searchsorted(x.off, hit, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1[hit].view(np.int64)), pa.array((h2[hit] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(keys[i + doc]), pa.array((hit - x.off[doc]).astype(np.int32))],
+                    [pa.array(h1[hit]), pa.array(h2[hit]), pa.array(keys[i + doc]), pa.array((hit - x.off[doc]).astype(np.int32))],
                     ["h", "g", "key", "at"],
                 )
 
     cand = docs.select("key", "text").mapInArrow(go, "h long, g int, key long, at int")
     twice = cand.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h", "g")
+    if index.windows.runs:  # read at once: runs may be merged before the result is asked for
+        twice = twice.union(written(index.windows.hits(cand), "hits")).distinct()
     hit = cand.join(twice.hint("merge"), ["h", "g"])
     return hit.groupBy("key").agg(F.collect_set("at").alias("at")), bits
 
@@ -207,17 +233,22 @@ def dedup(docs: DataFrame, index: RunIndex | None = None, window: int = WINDOW,
     """doc_id, n_words, n_removed and kept_sha256; if asked for, the columns of ``docs`` with the kept text as text, and these
     three (a column of ``docs`` that bears a name of this operator's own is dropped).
 
-    The documents join the index in so many batches. A text of which nothing is removed keeps its own white space."""
+    The documents join the index in so many batches; windows that an index given here has from earlier calls (of the same
+    ``window`` and ``anchor``) count as repeats. A text of which nothing is removed keeps its own white space."""
     spark = docs.sparkSession
+    kept_index = index is not None
     index = index or RunIndex(spark, scratch_path(spark, "runs"))
     keep = [c for c in docs.columns if c.lower() not in ("key", "_key", "_words", "_sha", "at", "n_words", "n_removed", "kept_sha256")] if with_text else ["doc_id", "text"]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("text", F.col("text").cast("string"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    for k in range(batches):
-        part = rows.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == k).select("text")
+    parts = [rows.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == k).select("text") for k in range(batches)]
+    for part in parts:
         index.append(anchor_hashes(part, window, anchor))
     index.compact()
     spans, bits = repeated_spans(rows, index, window, anchor)
+    if kept_index:
+        for part in parts:
+            index.windows.append(window_hashes(part, window))
 
     def flag(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whether a text has a candidate window; the digest of those that have none."""

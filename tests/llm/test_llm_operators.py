@@ -253,6 +253,26 @@ def test_substrings(spark, docs, rows, none, monkeypatch):
     assert substrings.dedup(none).count() == 0
 
 
+def test_substrings_history(spark, none, tmp_path):
+    """Calls on one index: a window seen in an earlier call goes, though it is alone in its own."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    once = say(50)
+    calls = [
+        [(1, say(20) + " " + once + " " + say(20)), (2, say(60)), (3, "a b"), (4, None)],
+        [(5, once), (6, say(45)), (7, say(9) + " " + once + " " + say(9)), (8, "")],
+        [(9, say(30) + " " + once), (10, say(40))],
+        [(11, say(36))],
+        [(12, once + " " + say(3))],
+    ]
+    ix = substrings.RunIndex(spark, str(tmp_path / "ix"))
+    ix.windows.append(substrings.window_hashes(none.select("text")))
+    out = [substrings.dedup(spark.createDataFrame(c, "doc_id long, text string"), ix) for c in calls]  # asked for only later
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for d in out for r in d.collect()}
+    assert got == {1: (90, 0), 2: (60, 0), 3: (2, 0), 4: (0, 0), 5: (50, 50), 6: (45, 0), 7: (68, 50), 8: (0, 0), 9: (80, 50), 10: (40, 0), 11: (36, 0), 12: (53, 50)}
+    assert len(ix.windows.runs) <= substrings.MOST_RUNS
+
+
 def test_run_index(spark, tmp_path):
     ix = substrings.RunIndex(spark, str(tmp_path))
     make = lambda *h: spark.createDataFrame([(x, 1) for x in h], "h long, n long")
