@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from . import tokens
+from .memory import lean
 
 CAPACITY = 4096
 #: Ranks are dealt within (length, salt); so many salts in all at most, besides one for each length.
 MOST_SALTS, LEAST_ROWS = 50_000, 256
-#: Words whose ids a worker keeps: fewer than the token store's, since stages before and after share its memory.
-CACHE_WORDS = 400_000
 
 
 class Planner:
@@ -138,11 +137,11 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) ->
     doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path, keep_space=False, cache_words=CACHE_WORDS)
+        enc = tokens.encoder(path, keep_space=False)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 out: list[tuple] = []
-                ids = enc.batch(b.column(1).slice(i, 256).to_pylist(), end_id)
+                ids = enc.batch(b.column(1).slice(i, 256), end_id)
                 for doc, x in zip(b.column(0).slice(i, 256).to_pylist(), ids):
                     x = x.astype("<u4")
                     for p in range(-(-len(x) // capacity)):
@@ -153,7 +152,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return src.mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, shuffle_partitions
 from . import tokens
+from .memory import lean
 from .spread import shard_of, split_points
 
 VERSION = 1
@@ -73,7 +74,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int, parts: int | None =
         for b in batches:
             texts = b.column(1)
             for i in range(0, b.num_rows, 256):
-                ids = enc.batch(texts.slice(i, 256).to_pylist(), end_id)
+                ids = enc.batch(texts.slice(i, 256), end_id)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(i, 256),
@@ -112,10 +113,10 @@ def write(docs: DataFrame, out: str, path: str, end_id: int, parts: int | None =
         if held:
             yield flush()
 
-    frames = docs.withColumn("shard", shard_of(F.col("doc_id"), points)).mapInArrow(encode, "doc_id long, shard int, n long, crc long, frame binary")
+    frames = docs.withColumn("shard", shard_of(F.col("doc_id"), points)).mapInArrow(lean(encode), "doc_id long, shard int, n long, crc long, frame binary")
     laid = frames.repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "doc_id", "crc", "frame")
     laid.select("doc_id", "shard", "n", "frame").mapInArrow(
-        blocks,
+        lean(blocks),
         "shard int, block int, first_doc long, last_doc long, dict_sha256 string, start_in_shard long, doc_ids array<long>, offsets array<long>, n_tokens array<long>, payload binary",
     ).write.option("compression", "none").parquet(f"{out}/blocks")
     width = 2 if tokens.TextEncoder(path, True).dtype.itemsize == 2 else 4
@@ -169,7 +170,7 @@ def read(spark: SparkSession, out: str, with_ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     blocks = spark.read.parquet(f"{out}/blocks").select("shard", "dict_sha256", "start_in_shard", "doc_ids", "offsets", "n_tokens", "payload")
-    rows = blocks.mapInArrow(decode, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    rows = blocks.mapInArrow(lean(decode), "doc_id long, shard int, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     shards = spark.read.parquet(f"{out}/shards").select("shard", "tokens_before")  # one row for each shard
     keep = ["doc_id", (F.col("start") + F.col("tokens_before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
     return rows.join(F.broadcast(shards), "shard").select(*keep)

@@ -20,8 +20,10 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R1, _R2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space by byte.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -30,18 +32,29 @@ def _inverse(a: int) -> int:
     return pow(a, -1, 2**64)
 
 
+#: Powers that a process keeps; sums are taken in stretches of about so many places.
+STRETCH = 1 << 19
+
+
 class _Powers:
     def __init__(self, base: np.uint64) -> None:
         self.base, self.inv = base, np.uint64(_inverse(int(base)))
         self.up = self.down = np.ones(1, np.uint64)
 
+    def _made(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        both = []
+        for b in (self.base, self.inv):
+            p = np.full(size, b, np.uint64)
+            p[0] = 1
+            both.append(np.multiply.accumulate(p))
+        return both[0], both[1]
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """At least n powers of the base and of its inverse; more than a stretch are not kept."""
+        if n > 2 * STRETCH:
+            return self._made(n)
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            for name, b in (("up", self.base), ("down", self.inv)):
-                p = np.full(size, b, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
+            self.up, self.down = self._made(min(max(n, 2 * len(self.up), 1 << 16), 2 * STRETCH))
         return self.up, self.down
 
 
@@ -79,7 +92,7 @@ class Words:
     def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False) -> None:
         self.data = _LOWER[data] if lower else data
         self.off = off
-        solid = ~_SPACE[self.data]
+        solid = ~SPACE[self.data]
         n = len(data)
         if n:
             first = solid.copy()
@@ -103,18 +116,32 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        up, down = _P1.get(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * down[self.start]
-        return mix(h ^ ((self.end - self.start).astype(np.uint64) * _R2))
+        return lane(self.data, self.start, self.end, _BYTE)
 
     def text(self, i: int) -> bytes:
         return self.data[self.off[i] : self.off[i + 1]].tobytes()
 
 
+def lane(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of bytes, in order and apart, from random numbers for the bytes; worked out piece by piece."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + STRETCH, "right")))
+        a, e = int(start[i]), int(end[j - 1])
+        up, down = _P1.get(e - a + 1)
+        sums = np.zeros(e - a + 1, np.uint64)
+        np.cumsum(table[data[a:e]] * up[: e - a], out=sums[1:])
+        out[i:j] = (sums[end[i:j] - a] - sums[start[i:j] - a]) * down[start[i:j] - a]
+        i = j
+    return mix(out ^ ((end - start).astype(np.uint64) * _R2))
+
+
+def lanes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash of each stretch, as two numbers."""
+    return lane(data, start, end, _BYTE), lane(data, start, end, _BYTE2)
+
+
 def runs(h: np.ndarray, word_off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k words in a row that lie in one text, and n+1 offsets into them; texts of fewer words have none."""
     per = np.maximum(np.diff(word_off) - k + 1, 0)
@@ -122,11 +149,19 @@ def runs(h: np.ndarray, word_off: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     np.cumsum(per, out=off[1:])
     if not off[-1]:
         return np.zeros(0, np.uint64), off
-    up, down = _P2.get(len(h) + 1)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=sums[1:])
+    out = np.empty(off[-1], np.uint64)
     at = np.arange(off[-1]) + np.repeat(word_off[:-1] - off[:-1], per)
-    return mix((sums[at + k] - sums[at]) * down[at]), off
+    i = 0
+    while i < len(at):  # a stretch of words at a time
+        j = max(i + 1, int(np.searchsorted(at, at[i] + STRETCH - k, "right")))
+        a, e = int(at[i]), int(at[j - 1]) + k
+        up, down = _P2.get(e - a + 1)
+        sums = np.zeros(e - a + 1, np.uint64)
+        np.cumsum(h[a:e] * up[: e - a], out=sums[1:])
+        here = at[i:j] - a
+        out[i:j] = (sums[here + k] - sums[here]) * down[here]
+        i = j
+    return mix(out), off
 
 
 def slices(off: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
