@@ -1,19 +1,23 @@
 """A hashed maximum-entropy language model with class-factored soft-max.
 
-log P(token | history) = log P(class | history) + log P(token | class). The first factor is a soft-max over ``CLASSES`` whose
-logits sum weight rows found by hashing features of the history: the word before, the one before that and the third before
-(skips), and the pair of the last two. The second is the token's smoothed share of its class. The most frequent tokens have
-classes of their own; the others share classes by their last two bytes, cut into ranges of equal training mass, so that a word
-never seen has a class too and takes its unseen share.
+log P(token | history) = log P(class | history) + log P(member | class, history) + log P(token | member). Both soft-max have
+``WIDE`` outcomes whose logits sum weight rows found by hashing features of the history: for classes the word before, the one
+before that and the third before (skips), and the pair of the last two; for members the word before and that pair, each together
+with the class. The end token and the most frequent words are classes of their own; all others share classes by their last two
+bytes, cut into ranges of equal training mass, so that a word never seen has a class too. Within a class the most frequent words
+are members of their own, whose probability is the soft-max alone; the rest is the last member, in which a token has its smoothed
+share of the counts and an unseen one the unseen share.
 
 Training is distributed: in each round every task runs mini-batch Adagrad steps from the shared weights over its documents,
 and each weight row becomes the mean of the tasks' rows weighted by how often each task met it. The rounds' document sets are
 disjoint and cover all training documents. What is gathered (counts of all words, gradients of all tasks) grows with the input;
 what is broadcast does not: the weights, 65,536 suffixes, and the ``HEAD`` most frequent tokens. Counts of all other tokens
-are joined by a shuffle, exactly.
+are joined by a shuffle, exactly, so that the head's size changes where a count comes from and not what it is. The number of
+tasks, and so the averaging, follows ``spark.sql.shuffle.partitions``.
 
 Tokens: words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end token a document, known by a 64-bit hash. Null texts are
-empty; null ids are not held out; repeated rows are scored each; an empty table gives no rows.
+empty; null ids are not held out; repeated rows are scored each; an empty table gives no rows; other columns are not read. Memory
+grows with the longest text by some 40 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -29,10 +33,17 @@ from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions, written
 from .langid import held_out
+from .memory import lean
 from .words import Words, worded
 
-CLASSES, SINGLES = 64, 24
-ROWS = 1 << 14
+#: Classes, members of a class, and classes of one word.
+WIDE, SINGLES = 32, 12
+REST = WIDE - 1
+#: Hashed weight rows of the classes, then their bias; hashed rows of the members, then a bias for each class.
+ROWS, ROWS2 = 1 << 14, 1 << 15
+BIAS, MEMBER = ROWS, ROWS + 1
+BIAS2 = MEMBER + ROWS2
+ALL_ROWS = BIAS2 + WIDE
 HEAD = 1 << 18
 ROUNDS, BATCH, RATE = 2, 8_192, 0.25
 BLOCKS = 64
@@ -41,7 +52,9 @@ SLICE = 2 << 20
 
 END, START = np.uint64(0xE4D0F7EC5A1B3C2D), np.uint64(0x57A27D0F9E3779B1)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_SHIFT = np.uint64(64 - 14)
+_SHIFT, _SHIFT2 = np.uint64(64 - 14), np.uint64(64 - 15)
+#: Logit of a member that no word has.
+_NEVER = -20.0
 
 
 def tokens_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,16 +73,31 @@ def tokens_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tok, tail, off
 
 
-def features_of(tok: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """Weight rows of each token's history."""
-    first = off[:-1]
-    before, p = [], tok
-    for _ in range(3):
-        p = np.concatenate([[START], p[:-1]])
-        p[first] = START
-        before.append(p)
-    a, b, c = before
-    return [((x * k) >> _SHIFT).astype(np.uint16) for x, k in ((a, _C[0]), (b, _C[1]), (c, _C[2]))] + [(((a * _C[3]) ^ (b + _C[4])) * _C[0] >> _SHIFT).astype(np.uint16)]
+@dataclass
+class History:
+    """Weight rows of each token's history, and what the members' rows are hashed from."""
+
+    rows: list[np.ndarray]
+    before: np.ndarray
+    pair: np.ndarray
+
+    @classmethod
+    def of(cls, tok: np.ndarray, off: np.ndarray) -> History:
+        first = off[:-1]
+        before, p = [], tok
+        for _ in range(3):
+            p = np.concatenate([[START], p[:-1]])
+            p[first] = START
+            before.append(p)
+        a, b, c = before
+        pair = ((a * _C[3]) ^ (b + _C[4])) * _C[0]
+        rows = [((x * k) >> _SHIFT).astype(np.uint16) for x, k in ((a, _C[0]), (b, _C[1]), (c, _C[2]))]
+        return cls([*rows, (pair >> _SHIFT).astype(np.uint16)], a, pair)
+
+    def members(self, at: np.ndarray, classes: np.ndarray) -> list[np.ndarray]:
+        """Rows for the members of the tokens at these places, which have these classes."""
+        salt = (classes.astype(np.uint64) + np.uint64(1)) * _C[4]
+        return [(((x[at] ^ salt) * k) >> _SHIFT2).astype(np.uint16) for x, k in ((self.before, _C[1]), (self.pair, _C[2]))]
 
 
 @dataclass
@@ -81,9 +109,10 @@ class Lexicon:
     head: np.ndarray  # sorted hashes
     head_count: np.ndarray
     head_class: np.ndarray
+    head_member: np.ndarray
     suffix_class: np.ndarray  # of 65,536
-    mass: np.ndarray  # training tokens of each class
-    types: np.ndarray  # distinct training tokens of each class
+    member_mass: np.ndarray  # training tokens of each class and member
+    rest_types: np.ndarray  # distinct training tokens of each class's last member
 
     def __post_init__(self) -> None:
         self._slots = np.full(1 << 21, -1, np.int32)
@@ -100,19 +129,32 @@ class Lexicon:
             at[lost] = np.where(self.head[p] == tok[lost], p, -1)
         return at
 
-    def class_of(self, at: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        return np.where(at >= 0, self.head_class[at], self.suffix_class[tail]) if len(self.head) else self.suffix_class[tail]
+    def class_of(self, at: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and member of each token."""
+        if not len(self.head):
+            return self.suffix_class[tail].astype(np.int64), np.full(len(tail), REST)
+        known = at >= 0
+        return np.where(known, self.head_class[at], self.suffix_class[tail]).astype(np.int64), np.where(known, self.head_member[at], REST).astype(np.int64)
 
     @property
     def log_base(self) -> float:
         return math.log10(self.n + 0.5 * (self.distinct + 1))
 
     @property
-    def log_class(self) -> np.ndarray:
-        """log10 of the denominators of P(token | class); a class of one token has no unseen share."""
-        d = self.mass + 0.5 * (self.types + 1)
-        d[:SINGLES] = np.maximum(self.mass[:SINGLES] + 0.5, 0.5)
-        return np.log10(d)
+    def log_rest(self) -> np.ndarray:
+        """log10 of the denominators of P(token | last member) by class."""
+        return np.log10(self.member_mass[:, REST] + 0.5 * (self.rest_types + 1))
+
+    def start(self) -> np.ndarray:
+        """Weights before training: the logs of the shares."""
+        w = np.zeros((ALL_ROWS, WIDE), np.float32)
+        w[BIAS] = np.log(self.member_mass.sum(axis=1) + 0.5)
+        w[BIAS] -= w[BIAS].max()
+        member = np.log(self.member_mass + 0.5)
+        member -= member.max(axis=1, keepdims=True)
+        member[:, :REST][self.member_mass[:, :REST] == 0] = _NEVER
+        w[BIAS2:] = member
+        return w
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -125,7 +167,7 @@ def counts(docs: DataFrame) -> DataFrame:
                 h, first, n = np.unique(tok, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tail[first]), pa.array(n.astype(np.int64))], ["h", "tail", "n"])
 
-    return docs.mapInArrow(go, "h long, tail int, n long").groupBy("h").agg(F.min("tail").alias("tail"), F.sum("n").alias("n"))
+    return docs.mapInArrow(lean(go), "h long, tail int, n long").groupBy("h").agg(F.min("tail").alias("tail"), F.sum("n").alias("n"))
 
 
 def lexicon(seen: DataFrame, head: int = HEAD) -> Lexicon:
@@ -147,67 +189,136 @@ def lexicon(seen: DataFrame, head: int = HEAD) -> Lexicon:
         mass2[r["tail"]], types2[r["tail"]] = r["n"], r["k"]
     distinct, everything = int(types2.sum()), int(mass2.sum())
     # the end token and the most frequent others have classes of their own
-    by = [int(i) for i in np.lexsort((h, -n)) if h[i] != END][: SINGLES - 1]
-    singles = [int(i) for i in np.flatnonzero(h == END)] + by
+    often = np.lexsort((h, -n))
+    singles = [*np.flatnonzero(h == END).tolist(), *(int(i) for i in often[:SINGLES] if h[i] != END)][:SINGLES]
     for i in singles:
         mass2[tail[i]] -= n[i]
         types2[tail[i]] -= 1
     # suffixes in order of the last byte, cut into ranges of equal mass
     run = np.cumsum(mass2 + 1e-9)
-    suffix = SINGLES + np.minimum((run - mass2 / 2) / run[-1] * (CLASSES - SINGLES), CLASSES - SINGLES - 1).astype(np.int64)
+    suffix = SINGLES + np.minimum((run - mass2 / 2) / run[-1] * (WIDE - SINGLES), WIDE - SINGLES - 1).astype(np.int64)
     cls = suffix[tail] if len(tail) else np.zeros(0, np.int64)
-    mass, types = np.bincount(suffix, mass2, CLASSES), np.bincount(suffix, types2, CLASSES)
+    member = np.full(len(tail), REST)
+    mass, types = np.zeros((WIDE, WIDE)), np.bincount(suffix, types2, WIDE)
+    mass[:, REST] = np.bincount(suffix, mass2, WIDE)
     for k, i in enumerate(singles):
         cls[i] = k
-        mass[k], types[k] = n[i], 1
-    return Lexicon(everything, distinct, h, n, cls.astype(np.int16), suffix.astype(np.int16), mass, types)
-
-
-def _log_softmax(w: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], s: slice) -> np.ndarray:
-    z = np.take(w, rows[0][s], axis=0)
+        mass[k, REST], types[k] = n[i], 1
+    taken = np.zeros(WIDE, np.int64)
+    taken[:SINGLES] = REST
+    for i in often.tolist():  # the most frequent of each class, until all classes are full
+        c = cls[i]
+        if taken[c] < REST:
+            member[i] = taken[c]
+            mass[c, taken[c]] = n[i]
+            mass[c, REST] -= n[i]
+            types[c] -= 1
+            taken[c] += 1
+            if (taken == REST).all():
+                break
+    return Lexicon(everything, distinct, h, n, cls.astype(np.int16), member.astype(np.int16), suffix.astype(np.int16), mass, types)
+
+
+def _logits(w: np.ndarray, base: int, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    """Sums of weight rows, less the greatest of each token."""
+    part = w[base : base + (ROWS if base == 0 else ROWS2)]
+    z = np.take(part, rows[0], axis=0)
     for r in rows[1:]:
-        z += np.take(w, r[s], axis=0)
+        z += np.take(part, r, axis=0)
     z += bias
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Natural log of the share of each row's outcome ``at``."""
+    own = z[np.arange(len(z)), at]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+def _miss(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The gradient: shares less one for each row's outcome."""
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    z[np.arange(len(z)), at] -= 1
+    return z
+
+
+#: Rows met so often in a batch are summed one by one; the others all at once, occurrence by occurrence.
+_OFTEN = 6
+
+
+def sums_by(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids, how often each occurs, and the sum of its rows of g."""
+    order = np.argsort(ids, kind="stable")
+    sorted_ids = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
+    n = np.diff(np.append(first, len(ids)))
+    out = np.take(g, order[first], axis=0)
+    for k in range(1, _OFTEN):
+        at = np.flatnonzero((n > k) & (n <= _OFTEN))
+        if not len(at):
+            break
+        out[at] += np.take(g, order[first[at] + k], axis=0)
+    for at in np.flatnonzero(n > _OFTEN).tolist():
+        out[at] = np.take(g, order[first[at] : first[at] + n[at]], axis=0).sum(axis=0)
+    return sorted_ids[first], n, out
+
+
+class Steps:
+    """One task's Adagrad steps from the shared weights."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        self.w = weights.copy()
+        self.square = np.full(len(weights), 1e-2, np.float32)
+        self.met = np.zeros(len(weights), np.int64)
+
+    def _step(self, base: int, ids: np.ndarray, g: np.ndarray) -> None:
+        at, n, step = sums_by(ids, g)
+        at = at.astype(np.int64) + base
+        # steps are means times the root of their count
+        self.square[at] += np.einsum("ij,ij->i", step, step) / (n * step.shape[1])
+        step *= (RATE / np.sqrt(self.square[at] * n)).astype(np.float32)[:, None]
+        self.w[at] -= step
+        self.met[at] += n
+
+    def batch(self, hist: History, cls: np.ndarray, member: np.ndarray, s: slice) -> None:
+        rows = [r[s] for r in hist.rows]
+        g = _miss(_logits(self.w, 0, rows, self.w[BIAS]), cls[s])
+        inner = np.flatnonzero(cls[s] >= SINGLES)
+        if len(inner):
+            c = cls[s][inner]
+            rows2 = hist.members(inner + s.start, c)
+            g2 = _miss(_logits(self.w, MEMBER, rows2, self.w[BIAS2 + c]), member[s][inner])
+        for r in rows:
+            self._step(0, r, g)
+        self._step(BIAS, np.zeros(len(g), np.uint16), g)
+        if len(inner):
+            for r in rows2:
+                self._step(MEMBER, r, g2)
+            self._step(BIAS2, c.astype(np.uint16), g2)
 
 
 def train_round(docs: DataFrame, lex, weights: np.ndarray) -> np.ndarray:
-    """One round over ``docs`` (text alone): each task's steps from the same weights, then the weighted mean of their rows.
-    The last row of the weights is the bias."""
+    """One round over ``docs`` (text alone): each task's steps from the same weights, then the weighted mean of their rows."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(weights)  # (ROWS + 1) x CLASSES
-    per = -(-(ROWS + 1) // BLOCKS)
+    shared = spark.sparkContext.broadcast(weights)  # ALL_ROWS x WIDE
+    per = -(-ALL_ROWS // BLOCKS)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value.copy()
         lx: Lexicon = lex.value
-        square = np.full(ROWS + 1, 1e-2, np.float32)
-        met = np.zeros(ROWS + 1, np.int64)
+        steps = Steps(shared.value)
         for b in batches:
             for _, _, words in worded(b.column(0), lower=True, most=SLICE):
                 tok, tail, off = tokens_of(words)
-                rows = features_of(tok, off)
-                cls = lx.class_of(lx.find(tok), tail).astype(np.int64)
+                hist = History.of(tok, off)
+                cls, member = lx.class_of(lx.find(tok), tail)
                 for i in range(0, len(tok), BATCH):
-                    s = slice(i, min(i + BATCH, len(tok)))
-                    g = np.exp(_log_softmax(w[:ROWS], w[ROWS], rows, s))
-                    g[np.arange(len(g)), cls[s]] -= 1
-                    steps = []
-                    for r in rows:
-                        order = np.argsort(r[s], kind="stable")
-                        ids = r[s][order]
-                        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-                        n = np.diff(np.append(first, len(ids)))
-                        steps.append((ids[first], n, np.add.reduceat(g[order], first, axis=0) / np.sqrt(n)[:, None].astype(np.float32)))
-                    steps.append((np.array([ROWS]), np.array([len(g)]), g.sum(axis=0, keepdims=True) / np.float32(math.sqrt(len(g)))))
-                    for at, n, step in steps:
-                        square[at] += (step * step).mean(axis=1)
-                        w[at] -= RATE * step / np.sqrt(square[at])[:, None]
-                        met[at] += n
+                    steps.batch(hist, cls, member, slice(i, min(i + BATCH, len(tok))))
+        w, met = steps.w, steps.met
         if met.any():
             for k in range(BLOCKS):
-                a, e = k * per, min((k + 1) * per, ROWS + 1)
+                a, e = k * per, min((k + 1) * per, ALL_ROWS)
                 if a < e:
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([w[a:e].astype(np.float32).tobytes()], pa.binary()), pa.array([met[a:e].tobytes()], pa.binary())], ["block", "w", "met"])
 
@@ -216,7 +327,7 @@ def train_round(docs: DataFrame, lex, weights: np.ndarray) -> np.ndarray:
         for b in batches:
             for k, w, met in zip(*(b.column(i).to_pylist() for i in range(3))):
                 n = np.frombuffer(met, np.int64).astype(np.float64)
-                v = np.frombuffer(w, np.float32).reshape(-1, CLASSES) * n[:, None]
+                v = np.frombuffer(w, np.float32).reshape(-1, WIDE) * n[:, None]
                 if k in total:
                     total[k][0] += v
                     total[k][1] += n
@@ -227,12 +338,12 @@ def train_round(docs: DataFrame, lex, weights: np.ndarray) -> np.ndarray:
 
     schema = "block int, w binary, met binary"
     parts = min(BLOCKS, shuffle_partitions(spark))
-    got = docs.coalesce(max(1, shuffle_partitions(spark))).mapInArrow(go, schema).repartition(parts, "block").mapInArrow(mean, schema).collect()  # one row for each block
+    got = docs.coalesce(max(1, shuffle_partitions(spark))).mapInArrow(lean(go), schema).repartition(parts, "block").mapInArrow(lean(mean), schema).collect()  # one row for each block
     out = weights.copy()
     for r in got:
         a = r["block"] * per
         n = np.frombuffer(bytes(r["met"]), np.int64)
-        v = np.frombuffer(bytes(r["w"]), np.float32).reshape(-1, CLASSES)
+        v = np.frombuffer(bytes(r["w"]), np.float32).reshape(-1, WIDE)
         out[a : a + len(n)][n > 0] = v[n > 0]
     return out
 
@@ -246,23 +357,25 @@ def score_parts(docs: DataFrame, lex, weights: np.ndarray) -> DataFrame:
         lx: Lexicon = lex.value
         w = shared.value
         head_log = np.log10(lx.head_count + 0.5)
-        log_base, log_class = lx.log_base, lx.log_class
-        alone = np.arange(CLASSES) < SINGLES
+        log_base, log_rest = lx.log_base, lx.log_rest
         for b in batches:
             for i, j, words in worded(b.column(2), lower=True, most=SLICE):
                 tok, tail, off = tokens_of(words)
-                rows = features_of(tok, off)
+                hist = History.of(tok, off)
                 at = lx.find(tok)
-                cls = lx.class_of(at, tail).astype(np.int64)
+                cls, member = lx.class_of(at, tail)
                 known = at >= 0
                 own = np.where(known, head_log[at] if len(head_log) else 0.0, 0.0)
                 picked = np.empty(len(tok))
                 for k in range(0, len(tok), BATCH):
                     s = slice(k, min(k + BATCH, len(tok)))
-                    z = _log_softmax(w[:ROWS], w[ROWS], rows, s)
-                    picked[s] = z[np.arange(len(z)), cls[s]]
+                    picked[s] = _log_softmax(_logits(w, 0, [r[s] for r in hist.rows], w[BIAS]), cls[s])
+                    inner = np.flatnonzero(cls[s] >= SINGLES) + k
+                    if len(inner):
+                        c = cls[inner]
+                        picked[inner] += _log_softmax(_logits(w, MEMBER, hist.members(inner, c), w[BIAS2 + c]), member[inner])
                 picked /= math.log(10)
-                inside = np.where(alone[cls], 0.0, own - log_class[cls])
+                inside = np.where((cls >= SINGLES) & (member == REST), own - log_rest[cls], 0.0)
                 n = np.diff(off)
                 sums = lambda x: np.add.reduceat(x, off[:-1])  # noqa: E731  every document has its end token
                 doc = np.repeat(np.arange(j - i), n)[~known]
@@ -288,7 +401,7 @@ def score_parts(docs: DataFrame, lex, weights: np.ndarray) -> DataFrame:
                     ["uid", "doc_id", "n_tokens", "n_head", "base_part", "score_part", "tail", "tail_n"],
                 )
 
-    return docs.mapInArrow(go, schema)
+    return docs.mapInArrow(lean(go), schema)
 
 
 def train_and_score(docs: DataFrame, held: Column, rounds: int = ROUNDS) -> DataFrame:
@@ -300,9 +413,7 @@ def train_and_score(docs: DataFrame, held: Column, rounds: int = ROUNDS) -> Data
     seen = written(counts(learn.select("text")), "lm-counts")
     lx = lexicon(seen)
     lex = spark.sparkContext.broadcast(lx)
-    weights = np.zeros((ROWS + 1, CLASSES), np.float32)
-    weights[ROWS] = np.log(np.maximum(lx.mass, 0) + 0.5)
-    weights[ROWS] -= weights[ROWS].max()
+    weights = lx.start()
     for k in range(rounds):
         weights = train_round(learn.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == k).select("text"), lex, weights)
     parts = written(score_parts(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), lex, weights), "lm-scores")
