@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Unicode white space, and the characters that end a line.
 WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+#: The same white space as a string, for trimming.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Sentence ends, hyphens, and code-point ranges of script classes.
 TERMINAL = "[.!?…。！？؟۔]"
 HYPHEN = "[-‐‑­]"
@@ -29,11 +31,15 @@ def count_of(c: Column, inside: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^[{WS}]+", ""), f"[{WS}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{WS}]+$", "")
+    return F.rtrim(c, F.lit(SPACES))
+
+
+def lstrip(c: Column) -> Column:
+    return F.ltrim(c, F.lit(SPACES))
 
 
 def split_lines(c: Column) -> Column:
@@ -116,17 +122,31 @@ def uncoverable(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[\x{00}-\x{ff}]+", "")).cast("long")
 
 
+#: Closers of a text are looked for in so many last characters before the whole text is.
+_TAIL = 16
+
+
 def last_mark(c: Column) -> Column:
     """The last character after closing quotes, brackets and white space are gone."""
-    return F.right(F.regexp_replace(c, f"[{WS}\"\\x{{27}}\\p{{Pe}}\\p{{Pf}}]+$", ""), F.lit(1))
+    bare = lambda x: F.regexp_replace(x, f"[{WS}\"\\x{{27}}\\p{{Pe}}\\p{{Pf}}]+\\z", "")
+    tail = bare(F.right(c, F.lit(_TAIL)))
+    return F.right(F.when(tail != "", tail).otherwise(bare(c)), F.lit(1))
 
 
 def ends_terminal(c: Column) -> Column:
-    return last_mark(c).rlike(f"^{TERMINAL}$")
+    return is_terminal(last_mark(c))
 
 
 def ends_hyphen(c: Column) -> Column:
-    return last_mark(c).rlike(f"^{HYPHEN}$")
+    return is_hyphen(last_mark(c))
+
+
+def is_terminal(mark: Column) -> Column:
+    return mark.rlike(f"^{TERMINAL}$")
+
+
+def is_hyphen(mark: Column) -> Column:
+    return mark.rlike(f"^{HYPHEN}$")
 
 
 def starts_lowercase(c: Column, voided: Column) -> Column:
@@ -136,12 +156,14 @@ def starts_lowercase(c: Column, voided: Column) -> Column:
 
 
 def case_counts(c: Column) -> tuple[Column, Column]:
-    return count_of(c, r"\p{Lu}").cast("long"), count_of(c, r"\p{Lu}\p{Ll}").cast("long")
+    """Upper-case letters, and upper- and lower-case letters together."""
+    cased = F.regexp_replace(c, r"[^\p{Lu}\p{Ll}]+", "")
+    return F.length(F.regexp_replace(cased, r"\p{Ll}+", "")).cast("long"), F.length(cased).cast("long")
 
 
 def case_voided(upper: Column, cased: Column) -> Column:
     """No cased letters, or nine tenths of them upper case."""
-    return (cased == 0) | (10 * upper >= 9 * cased)
+    return 10 * upper >= 9 * cased
 
 
 def script_class(c: Column) -> Column:
@@ -156,4 +178,4 @@ def script_class(c: Column) -> Column:
 def digit_class(c: Column) -> Column:
     d = count_of(c, r"\p{Nd}")
     a = count_of(c, r"\p{Nd}\p{L}")
-    return F.when(d == 0, "none").when(d == a, "all").when(2 * d >= a, "high").otherwise("low")
+    return F.when(~c.rlike(r"\p{Nd}"), "none").when(d == a, "all").when(2 * d >= a, "high").otherwise("low")

@@ -24,7 +24,7 @@ def wrapped_markdown(docs: DataFrame) -> DataFrame:
 
     def row(page: Column) -> Column:
         def one(s: Column, i: Column) -> Column:
-            lead = F.length(s) - F.length(F.regexp_replace(s, f"^[{T.WS}]+", ""))
+            lead = F.length(s) - F.length(T.lstrip(s))
             y1 = F.lit(texts.MARGIN) + texts.LEADING * (i + 1)
             a = T.anchor(page, F.lit(texts.MARGIN) + texts.ADVANCE * lead, y1 - texts.SIZE, F.lit(texts.MARGIN) + texts.ADVANCE * F.length(s), y1, F.lit("p"))
             return F.when(s != "", F.concat(a, F.lit("\n"), T.clean(s), F.lit("\n\n"))).otherwise("")
@@ -43,7 +43,7 @@ def wrapped_markdown(docs: DataFrame) -> DataFrame:
         "body",
     )
     front = front_matter({"format": F.lit(FORMAT), "generator": F.lit("inkfold"), "source": F.lit("document"), "provider": F.lit("plain-text"), "doc_id": F.col("doc_id"), **{k: F.col(k) for k in ("pages", "blocks", "chars")}})
-    md = F.concat(front, F.regexp_replace("body", r"\s+$", ""), F.lit("\n"))
+    md = F.concat(front, F.rtrim(F.col("body"), F.lit(" \t\n\x0b\f\r")), F.lit("\n"))
     d = d.withColumn("markdown", md)
     return d.select("doc_id", "pages", "blocks", "chars", "markdown", F.sha2("markdown", 256).alias("sha256_markdown"), F.sha2("text", 256).alias("sha256_input"))
 

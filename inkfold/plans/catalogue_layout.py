@@ -15,24 +15,24 @@ PAGE = ["page"]
 
 
 def two_column(spark, sf) -> DataFrame:
-    """Conversations as two-column pages: users left, assistants right, a row for each turn."""
-    c = table(spark, sf, "conversations").where(F.col("role").isin("user", "assistant"))
-    t = F.substring(T.norm_ws(F.col("text")), 1, 36)
-    c = c.select(F.floor(F.col("conv_id") / 10).alias("page"), "conv_id", "turn", "role", T.rstrip(t).alias("text")).where("text <> ''")
-    row = F.row_number().over(Window.partitionBy("page", "role").orderBy("conv_id", "turn")) - 1
-    x0 = F.when(F.col("role") == "user", 72).otherwise(324)
-    c = c.withColumn("row", row).withColumn("atom_ix", (F.col("row") * 2 + F.when(F.col("role") == "user", 0).otherwise(1)).cast("long"))
+    """Conversations as two-column pages: assistants right, all others left, every turn in lines of 36 characters."""
+    c = table(spark, sf, "conversations").select(F.floor(F.col("conv_id") / 10).alias("page"), "conv_id", "turn", (F.col("role") == "assistant").cast("int").alias("side"), T.norm_ws(F.col("text")).alias("t")).where("t <> ''")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 36).cast("int")), lambda i: T.rstrip(F.substring("t", i * 36 + 1, F.lit(36))))
+    c = c.select("page", "conv_id", "turn", "side", F.posexplode(cut).alias("line", "text"))
+    row = F.row_number().over(Window.partitionBy("page", "side").orderBy("conv_id", "turn", "line")) - 1
+    x0 = F.when(F.col("side") == 0, 72).otherwise(324)
+    c = c.withColumn("row", row).withColumn("atom_ix", (F.col("row") * 2 + F.col("side")).cast("long"))
     y1 = (72 + 12 * (F.col("row") + 1)) * 1000
     return c.select("page", "atom_ix", F.lit("line").alias("kind"), "text", (x0 * 1000).cast("long").alias("x0"), (y1 - 10_000).cast("long").alias("y0"), ((x0 + 6 * F.length("text")) * 1000).cast("long").alias("x1"), y1.cast("long").alias("y1"))
 
 
-_TWO = r"""two AS (
-  SELECT page, CAST(row_number() OVER (PARTITION BY page, role ORDER BY conv_id, turn) - 1 AS BIGINT) AS row, role, text FROM (
-    SELECT conv_id // 10 AS page, conv_id, turn, role, rtrim(substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 36)) AS text FROM conversations WHERE role IN ('user', 'assistant'))
-  WHERE text <> ''
+_TWO = r"""turns AS (SELECT conv_id // 10 AS page, conv_id, turn, (role = 'assistant')::INT AS side, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations),
+cut36 AS (SELECT page, conv_id, turn, side, t, unnest(range(0, (length(t) - 1) // 36 + 1)) AS line FROM turns WHERE t <> ''),
+two AS (
+  SELECT page, CAST(row_number() OVER (PARTITION BY page, side ORDER BY conv_id, turn, line) - 1 AS BIGINT) AS row, side, rtrim(substr(t, line * 36 + 1, 36)) AS text FROM cut36
 ), atoms AS (
-  SELECT page, row * 2 + (role = 'assistant')::INT AS atom_ix, row, text, (CASE role WHEN 'user' THEN 72 ELSE 324 END) * 1000 AS x0, (72 + 12 * (row + 1)) * 1000 - 10000 AS y0,
-         (CASE role WHEN 'user' THEN 72 ELSE 324 END + 6 * length(text)) * 1000 AS x1, (72 + 12 * (row + 1)) * 1000 AS y1 FROM two
+  SELECT page, row * 2 + side AS atom_ix, row, text, (CASE side WHEN 0 THEN 72 ELSE 324 END) * 1000 AS x0, (72 + 12 * (row + 1)) * 1000 - 10000 AS y0,
+         (CASE side WHEN 0 THEN 72 ELSE 324 END + 6 * length(text)) * 1000 AS x1, (72 + 12 * (row + 1)) * 1000 AS y1 FROM two
 ), ext AS (SELECT page, min(x0) AS cx0, max(x1) AS cx1, count(DISTINCT row) AS k FROM atoms GROUP BY page),
 cover AS (SELECT DISTINCT a.page, a.row, unnest(range((a.x0 - cx0) // 2500, (a.x1 - cx0) // 2500 + 1)) AS bucket FROM atoms a JOIN ext USING (page)),
 occ AS (
@@ -153,7 +153,7 @@ def line_join_health(spark, sf):
     """Lines claimed and lines in all, for each document."""
     lines, b = _spans(spark, sf)
     n = lines.groupBy("doc_id").agg(F.count("*").alias("total"))
-    got = joins.span_join(lines, b.where(F.col("block_ix") % 3 != 1)).groupBy("doc_id").agg(F.count("*").alias("attached"))
+    got = joins.span_join(lines, b).groupBy("doc_id").agg(F.count("*").alias("attached"))
     return n.join(got, "doc_id", "left").select("doc_id", F.coalesce("attached", F.lit(0).cast("long")).alias("attached"), "total")
 
 
@@ -210,13 +210,13 @@ def continuity_edges(spark, sf):
     """Blocks of a document that go on in the next: score and evidence; equal heights and widths are taken as given."""
     d = table(spark, sf, "documents")
     u, c = T.case_counts(F.col("text"))
-    b = d.withColumn("voided", T.case_voided(u, c)).select("doc_id", "voided", F.posexplode(texts.blocks_of(F.col("text"))).alias("block_ix", "text"))
-    t = F.col("text")
-    b = b.select("doc_id", "block_ix", T.ends_hyphen(t).alias("h"), T.ends_terminal(t).alias("e"), T.starts_lowercase(t, F.col("voided")).alias("s"))
-    w = Window.partitionBy("doc_id").orderBy("block_ix")
-    b = b.withColumns({"dst_ix": F.lead("block_ix").over(w), "s": F.lead("s").over(w)}).where("dst_ix IS NOT NULL")
-    k = trees.continuation(F.col("h"), F.col("e"), F.col("s"), F.lit(True), F.lit(False), F.lit(True))
-    return b.select("doc_id", F.col("block_ix").alias("src_ix"), "dst_ix", k.alias("k")).select("doc_id", "src_ix", "dst_ix", F.col("k.score").alias("score"), F.col("k.evidence").alias("evidence")).where(F.col("score") >= trees.CONFIRM_LEAST)
+    b = d.withColumn("voided", T.case_voided(u, c)).withColumn("marks", F.transform(texts.blocks_of(F.col("text")), lambda t: F.struct(T.last_mark(t).alias("m"), T.starts_lowercase(t, F.col("voided")).alias("s"))))
+    # neighbours are in one row: no shuffle, and only edges leave it
+    after = lambda i, n: F.get("marks", i + 1)[n]
+    edge = lambda x, i: F.struct(i.alias("src_ix"), (i + 1).alias("dst_ix"), trees.continuation(T.is_hyphen(x["m"]), T.is_terminal(x["m"]), after(i, "s"), F.lit(True), F.lit(False), F.lit(True)).alias("k"))
+    edges = F.filter(F.transform(F.slice("marks", F.lit(1), F.greatest(F.size("marks") - 1, F.lit(0))), edge), lambda e: e["k"]["score"] >= trees.CONFIRM_LEAST)
+    e = b.select("doc_id", F.explode(edges).alias("e"))
+    return e.select("doc_id", "e.src_ix", "e.dst_ix", F.col("e.k.score").alias("score"), F.col("e.k.evidence").alias("evidence"))
 
 
 def heading_nesting(spark, sf):
@@ -359,7 +359,7 @@ SQL = {
     "page_gates": f"WITH {_WRAP} SELECT w.doc_id, w.page, count(*) FILTER (w.text <> '') AS atoms, CASE WHEN count(*) FILTER (w.text <> '') = 0 OR w.doc_id % 7 = 0 THEN 'no-geometry' WHEN count(*) FILTER (w.text <> '') > 4000 THEN 'too-dense' ELSE '' END AS declined FROM wrapped w GROUP BY 1, 2",
     "rect_round_modes": f"SELECT l_orderkey, l_linenumber, CAST(round_even({_K}, 0) AS BIGINT) AS even, CAST(floor(({_K}) * 1000 + 0.5) AS BIGINT) AS half_up, CAST(floor((floor(({_K}) * 1000 + 0.5) + 500) / 1000) AS BIGINT) AS back FROM lineitem",
     "span_join": f"WITH {_SPANS} SELECT doc_id, line_ix, block_ix FROM cuts",
-    "line_join_health": f"WITH {_SPANS} SELECT doc_id, count(*) FILTER (block_ix % 3 <> 1) AS attached, count(*) AS total FROM cuts GROUP BY 1",
+    "line_join_health": f"WITH {_SPANS} SELECT doc_id, count(*) AS attached, count(*) AS total FROM cuts GROUP BY 1",
     "table_zone_semi": f"WITH {_SPANS} SELECT c.doc_id, c.line_ix FROM cuts c JOIN paras p ON c.doc_id = p.doc_id AND c.block_ix = p.block_ix WHERE p.s LIKE '%|%'",
     "coverage_gate": "SELECT doc_id, true AS covered FROM documents",
     "kv_gap_clusters": f"WITH {_KV}, t AS (SELECT *, max(y1) OVER (PARTITION BY page ORDER BY y0, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM kv), c AS (SELECT *, CAST(sum(CASE WHEN y0 - top > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y0, event_id) AS BIGINT) AS cluster FROM t) SELECT page, cluster, count(*) AS pairs, min(y0) AS y0, max(y1) AS y1 FROM c GROUP BY 1, 2",

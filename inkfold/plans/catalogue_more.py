@@ -124,7 +124,7 @@ def section_conflicts(spark, sf):
     """Event types as sections of a page for each user, hours as bands, three columns."""
     e = table(spark, sf, "events")
     leaf = e.select((F.col("user_id") % 20).alias("doc"), F.col("user_id").alias("page"), F.ascii("event_type").alias("section"), F.hour(F.col("ts").cast("timestamp")).alias("band"), (F.col("event_id") % 3 * 100).alias("col_x0"), (F.col("event_id") % 3 * 100 + 60 + F.col("event_id") % 2 * 70).alias("col_x1"))
-    return trees.conflicts(leaf.where("event_id % 40 < 12"), ["doc"])
+    return trees.conflicts(leaf, ["doc"])
 
 
 def furniture(spark, sf):
@@ -151,7 +151,7 @@ placed AS (SELECT h.page, h.row, h.frame_ix, h.text, s.col_start + mode((h.x0 -
 both_ AS (SELECT page, row, max(text) FILTER (frame_ix = 0) AS l, max(text) FILTER (frame_ix = 1) AS r, max(pos) FILTER (frame_ix = 0) AS la, max(pos) FILTER (frame_ix = 1) AS ra FROM placed GROUP BY 1, 2),
 canvas AS (SELECT page, row, coalesce(repeat(' ', CAST(la AS INTEGER)) || l, '') || CASE WHEN r IS NULL THEN '' ELSE repeat(' ', CAST(greatest(ra - coalesce(la + length(l), 0), CASE WHEN l IS NULL THEN 0 ELSE 1 END) AS INTEGER)) || r END AS text FROM both_)"""
 SQL = {
-    "section_conflicts": """WITH l AS (SELECT user_id % 20 AS doc, user_id AS page, ascii(event_type) AS section, hour(ts) AS band, event_id % 3 * 100 AS x0, event_id % 3 * 100 + 60 + event_id % 2 * 70 AS x1 FROM events WHERE event_id % 40 < 12),
+    "section_conflicts": """WITH l AS (SELECT user_id % 20 AS doc, user_id AS page, ascii(event_type) AS section, hour(ts) AS band, event_id % 3 * 100 AS x0, event_id % 3 * 100 + 60 + event_id % 2 * 70 AS x1 FROM events),
 s AS (SELECT doc, page, section, min(band) AS lo, max(band) AS hi FROM l GROUP BY ALL), c AS (SELECT DISTINCT doc, page, section, x0, x1 FROM l)
 SELECT a.doc, a.page, a.section AS a_section, b.section AS b_section FROM s a JOIN s b ON a.doc = b.doc AND a.page = b.page AND a.section < b.section
 WHERE EXISTS (SELECT 1 FROM c x JOIN c y ON x.doc = a.doc AND x.page = a.page AND x.section = a.section AND y.doc = b.doc AND y.page = b.page AND y.section = b.section

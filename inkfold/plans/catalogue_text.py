@@ -162,8 +162,9 @@ def block_metrics(spark, sf):
     d = table(spark, sf, "documents")
     u, c = T.case_counts(F.col("text"))
     b = d.withColumn("voided", T.case_voided(u, c)).select("doc_id", "voided", F.posexplode(texts.blocks_of(F.col("text"))).alias("block_ix", "text"))
-    t = F.col("text")
-    return b.select("doc_id", "block_ix", F.length(t).cast("long").alias("char_count"), T.ends_terminal(t).alias("ends_terminal_punct"), T.ends_hyphen(t).alias("ends_hyphen"), T.starts_lowercase(t, F.col("voided")).alias("starts_lowercase"), T.digit_class(t).alias("digit_class"))
+    b = b.withColumn("mark", T.last_mark(F.col("text")))
+    t, m = F.col("text"), F.col("mark")
+    return b.select("doc_id", "block_ix", F.length(t).cast("long").alias("char_count"), T.is_terminal(m).alias("ends_terminal_punct"), T.is_hyphen(m).alias("ends_hyphen"), T.starts_lowercase(t, F.col("voided")).alias("starts_lowercase"), T.digit_class(t).alias("digit_class"))
 
 
 _VOID = "(length(regexp_replace({t}, '[^\\p{{Lu}}\\p{{Ll}}]', '', 'g')) = 0 OR 10 * length(regexp_replace({t}, '[^\\p{{Lu}}]', '', 'g')) >= 9 * length(regexp_replace({t}, '[^\\p{{Lu}}\\p{{Ll}}]', '', 'g')))"

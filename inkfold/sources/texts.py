@@ -46,7 +46,7 @@ def wrap_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def row_rects(rows: DataFrame) -> DataFrame:
     """Adds x0, y0, x1, y1 in points to rows that are not blank; the others go."""
-    lead = F.length("text") - F.length(F.regexp_replace("text", f"^[{T.WS}]+", ""))
+    lead = F.length("text") - F.length(T.lstrip(F.col("text")))
     x0 = F.lit(MARGIN) + ADVANCE * lead
     y1 = F.lit(MARGIN) + LEADING * (F.col("row") + 1)
     full = rows.where(F.col("text") != "")
