@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .memory import lean
+
 SAMPLE_DOCS = 2_000
 DIM, ORDERS = 8_192, (1, 2, 3)
 AMBIGUOUS = 0.1
@@ -158,7 +160,7 @@ def fit(docs: DataFrame, teach: Column, dim: int = DIM, most: int = SAMPLE_DOCS)
                     ["lang", "some", "at", "x"],
                 )
 
-    got = sorted((r["lang"], bytes(r["at"]), bytes(r["x"])) for r in sample.mapInArrow(go, "lang string, some boolean, at binary, x binary").collect() if r["some"])
+    got = sorted((r["lang"], bytes(r["at"]), bytes(r["x"])) for r in sample.mapInArrow(lean(go), "lang string, some boolean, at binary, x binary").collect() if r["some"])
     if not got:
         return None
     langs = sorted({g[0] for g in got})
@@ -170,9 +172,9 @@ def fit(docs: DataFrame, teach: Column, dim: int = DIM, most: int = SAMPLE_DOCS)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` with lang_pred, score and ambiguous; reads text and nothing else of a row."""
-    clash = [c for c in docs.columns if c in ("lang_pred", "score", "ambiguous")]
-    docs = docs.drop(*clash)
+    """The rows of ``docs`` with lang_pred, score and ambiguous; reads text and nothing else of a row. A column of ``docs`` with one
+    of these names, in any case, makes way."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")])
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # dim times bits numbers
 
@@ -197,7 +199,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*b.schema.names, "lang_pred", "score", "ambiguous"])
 
     schema = StructType([*docs.schema.fields, *StructType.fromDDL("lang_pred string, score double, ambiguous boolean").fields])
-    return docs.mapInArrow(go, schema)
+    return docs.mapInArrow(lean(go), schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

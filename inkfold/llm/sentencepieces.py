@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import lean
+
 CACHE_WORDS = 600_000
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -200,7 +202,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(go, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)
+    return src.mapInArrow(lean(go), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

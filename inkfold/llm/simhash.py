@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
+from .memory import lean
 from .spread import shard_of, split_points
 from .words import Words, mix, runs, slices, text_buffers
 
@@ -76,7 +77,7 @@ def fingerprint_table(docs: DataFrame, bits: int = BITS) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(as_hex(fingerprints(b.column(1), bits)), pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(go, "doc_id long, fingerprint string")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(go), "doc_id long, fingerprint string")
 
 
 def _block(fp: Column, lo: int, hi: int, bits: int) -> Column:
@@ -164,7 +165,7 @@ def edited_prints(docs: DataFrame, bits: int = BITS) -> DataFrame:
         if ids and not ended:  # nothing follows: no document has an id, or the first is the only one
             yield out(ids + ids[:1], texts + texts[:1])
 
-    return laid.mapInArrow(go, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return laid.mapInArrow(lean(go), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

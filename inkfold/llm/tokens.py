@@ -23,7 +23,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 
-from .words import SLICE_BYTES, SPACE, Words, lanes, mix, slices, text_buffers
+from .words import SLICE_BYTES, SPACE, Words, lanes, mix, slices, stretches, text_buffers
 
 #: Parts kept by each Python worker (about 50 bytes each); a table that holds more is emptied.
 CACHE_WORDS = 1_000_000
@@ -34,6 +34,8 @@ _CALL = 4_096
 #: Characters that are white space to Python's ``\\s`` only.
 _ODD = "\x1c\x1d\x1e\x1f"
 _WIDE = tuple(c.encode() for c in ("\x85", "\xa0", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", " ", " ", "　"))
+_LEAD = np.zeros(256, bool)
+_LEAD[[s[0] for s in _WIDE]] = True
 _BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Fixed value: the splitting pattern of the lower-casing vocabulary; its digits stand alone.
 _LOWER_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -290,7 +292,7 @@ class TextEncoder:
             bad[off[:-1][off[:-1] < len(data)]] |= space[off[:-1][off[:-1] < len(data)]]
             bad[off[1:][off[1:] > 0] - 1] |= space[off[1:][off[1:] > 0] - 1]
             out = np.diff(np.concatenate([[0], np.cumsum(bad)])[off]) > 0
-            if (data >= 0xC2).any():
+            if _LEAD[data].any():
                 raw = data.tobytes()
                 out |= self._holds(raw, off, _WIDE)
         raw = data.tobytes() if raw is None else raw
@@ -312,19 +314,11 @@ class TextEncoder:
 
     def _long(self, data: np.ndarray) -> np.ndarray:
         """A plain text of any length, in pieces that begin at words."""
-        out, at, before = [], 0, -1
-        while at < len(data):
-            end = min(at + SLICE_BYTES, len(data))
-            while end < len(data):  # go on to the next white space
-                stop = np.flatnonzero(SPACE[data[end : end + SLICE_BYTES]])
-                end = end + int(stop[0]) if len(stop) else min(end + SLICE_BYTES, len(data))
-                if len(stop):
-                    break
-            out.append(self._words(data[at:end], np.array([0, end - at]), before)[0])
-            before = int(data[end - 1])
-            if end < len(data):
-                before, end = int(data[end]), end + 1
-            at = end
+        out, before = [], -1
+        for a, e in stretches(data, SLICE_BYTES):
+            if a:  # white space
+                before, a = int(data[a]), a + 1
+            out.append(self._words(data[a:e], np.array([0, e - a]), before)[0])
         return np.concatenate(out) if out else np.zeros(0, self.dtype)
 
     def batch(self, texts: pa.Array | Iterable[str | None], end_id: int | None = None) -> list[np.ndarray]:

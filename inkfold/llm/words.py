@@ -8,12 +8,13 @@ buffers, without one Python object per text or word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in slices of about so many bytes, so that two workers fit beside a small heap; a longer text makes a
-#: slice of its own.
+#: slice of its own, or comes in pieces.
 SLICE_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -86,27 +87,30 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def _edges(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end; a stretch of bytes at a time."""
+    starts, ends = [], []
+    before = False
+    for a in range(0, len(data), 4 * STRETCH):
+        solid = ~SPACE[data[a : a + 4 * STRETCH]]
+        prev = np.concatenate([[before], solid[:-1]])
+        cut = np.zeros(len(solid), bool)
+        cut[off[(off >= a) & (off < a + len(solid))] - a] = True
+        starts.append(np.flatnonzero(solid & (~prev | cut)) + a)
+        ends.append(np.flatnonzero(prev & (~solid | cut)) + a)
+        before = bool(solid[-1])
+    if before:
+        ends.append(np.array([len(data)]))
+    return (np.concatenate(starts), np.concatenate(ends)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 class Words:
     """The words of some texts: byte places of each, and of which text they are."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False) -> None:
         self.data = _LOWER[data] if lower else data
         self.off = off
-        solid = ~SPACE[self.data]
-        n = len(data)
-        if n:
-            first = solid.copy()
-            first[1:] &= ~solid[:-1]
-            cuts = off[1:-1]
-            cuts = cuts[(cuts > 0) & (cuts < n)]
-            first[cuts] = solid[cuts]
-            last = solid.copy()
-            last[:-1] &= ~solid[1:]
-            last[cuts - 1] = solid[cuts - 1]
-            self.start = np.flatnonzero(first)
-            self.end = np.flatnonzero(last) + 1
-        else:
-            self.start = self.end = np.zeros(0, np.int64)
+        self.start, self.end = _edges(self.data, off)
         #: word numbers at which each text begins, n+1 of them
         self.word_off = np.searchsorted(self.start, off)
 
@@ -164,6 +168,63 @@ def runs(h: np.ndarray, word_off: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return mix(out), off
 
 
+@dataclass
+class Piece:
+    """Word hashes of some whole texts, or of a part of one long text."""
+
+    first: int  # row of the first text
+    end: int
+    h: np.ndarray
+    word_off: np.ndarray
+    base: int  # words of the text before h[0]
+    fresh: int  # words that no earlier piece had
+    size: int  # bytes
+
+
+def hashed(col: pa.Array, overlap: int, lower: bool = False, most: int | None = None) -> Iterator[Piece]:
+    """Word hashes of a text column, slice by slice. A text longer than a slice comes in pieces, each of which begins with the
+    last ``overlap`` words of the one before: runs of one more word than that are each in exactly one piece."""
+    most = most or SLICE_BYTES
+    data, off = text_buffers(col)
+    for i, j in slices(off, most):
+        part = data[off[i] : off[j]]
+        if len(part) <= most:
+            w = Words(part, off[i : j + 1] - off[i], lower)
+            yield Piece(i, j, w.hashes(), w.word_off, 0, len(w.start), len(part))
+            continue
+        kept, seen = np.zeros(0, np.uint64), 0
+        for a, e in stretches(part, most):
+            w = Words(part[a:e], np.array([0, e - a]), lower)
+            h = np.concatenate([kept, w.hashes()])
+            yield Piece(i, j, h, np.array([0, len(h)]), seen - len(kept), len(w.start), e - a)
+            seen += len(w.start)
+            kept = h[max(0, len(h) - overlap) :] if overlap else h[:0]
+
+
+def stretches(data: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about so many bytes of a text that end at white space or at its end."""
+    at = 0
+    while at < len(data):
+        end = min(at + most, len(data))
+        while end < len(data):
+            stop = np.flatnonzero(SPACE[data[end : end + most]])
+            end = end + int(stop[0]) if len(stop) else min(end + most, len(data))
+            if len(stop):
+                break
+        yield at, end
+        at = end
+
+
+def joined(data: np.ndarray) -> Iterator[bytes]:
+    """The words of a text joined by one space, in pieces of bounded size."""
+    some = False
+    for a, e in stretches(data, SLICE_BYTES):
+        words = data[a:e].tobytes().split()
+        if words:
+            yield (b" " if some else b"") + b" ".join(words)
+            some = True
+
+
 def slices(off: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of at most so many bytes together, or one text."""
     i, n = 0, len(off) - 1
