@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import bands, emit, joins, trees, votes
+from ..session import written
 from ..sources import texts
 from .catalogue_text import _BLOCKS, _VOID, _WRAP, _LAST, table
 
@@ -58,8 +59,9 @@ occ AS (
 
 
 def _banded(spark, sf):
-    a = two_column(spark, sf)
-    return a, bands.page_em(a, PAGE), bands.bands(a, PAGE)
+    """Atoms, em and bands; the bands are a written table, since every step after them reads them."""
+    b = written(bands.bands(two_column(spark, sf), PAGE), "bands")
+    return b.drop("band"), bands.page_em(b, PAGE), b
 
 
 def two_column_bands(spark, sf):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue_claims, catalogue_layout, catalogue_more, catalogue_text
+from . import catalogue_claims, catalogue_layout, catalogue_more, catalogue_pages, catalogue_text
 
-_ALL = (catalogue_text, catalogue_layout, catalogue_more, catalogue_claims)
+_ALL = (catalogue_text, catalogue_layout, catalogue_more, catalogue_claims, catalogue_pages)
 
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _ALL for k, v in m.SQL.items()}
