@@ -1,17 +1,18 @@
-"""SentencePiece encoding and decoding by a batched numpy Viterbi search.
+"""SentencePiece encoding and decoding by batched numpy searches over hashed pieces.
 
-A text's ids are the best-scoring segmentation under the model's pieces and scores. Words of equal length advance together:
-at each end place, the hashes of the substrings that end there probe the sorted hashes of the pieces, and the best sum so far
-is kept with its backpointer by a vectorised maximum; ties go to the longer last piece. Sums are exact (64-bit floats over
-whole scores). Characters without a piece cost ten more than the worst piece and become the byte pieces of their UTF-8 code.
+Words of equal length advance together; the hashes of their substrings probe the sorted hashes of the pieces. For a unigram model
+a Viterbi search keeps at each end place the best sum of scores with its backpointer by a vectorised maximum; ties go to the longer
+last piece; sums are exact (64-bit floats over whole scores), and characters without a piece cost ten more than the worst piece.
+For a merging model, whose scores are ranks of merges and no logarithms, sums mean nothing: there the pair of neighbours that makes
+the best-scored piece is merged, the leftmost first, until no pair makes one; all words of a batch merge once in each step. Either
+way characters without a piece become the byte pieces of their UTF-8 code, and the ids are the library's own for the model's type.
 
 No piece has a word mark after another character, and none a newline beside another, so that words and lines are searched
 alone, each distinct one once: a bounded cache keeps their ids. Decoding joins pieces and bytes, turns word marks to spaces
-and drops the one that encoding put in front. Null texts are empty and have no ids. A literal word mark (U+2581) in a text
-counts as a space, as in the library.
+and drops the one that encoding put in front. A literal word mark (U+2581) in a text counts as a space, as in the library.
 
-The model file at hand was trained for merging; the library in its merging mode ranks merges and so may cut a word otherwise.
-The segmentation here is the library's for the same pieces in its unigram mode, which the tests compare.
+Null texts are empty and have no ids; null ids are kept; repeated rows are encoded each; an empty table gives no rows; other columns
+are not read. A text's chunks are held in memory beside it.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .memory import lean
+from .words import mix
 
 CACHE_WORDS = 600_000
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SLOT = np.uint64(44)
 
 
 class Model:
@@ -56,12 +59,17 @@ class Model:
         self.keys, self.ids = keys[order], use[order]
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces have the same hash")
+        slot = (mix(self.keys) >> _SLOT).astype(np.int64)
+        self._slots = np.zeros(1 << 20, np.int64)
+        self._slots[slot] = np.arange(len(slot))
+        self._slots[np.flatnonzero(np.bincount(slot, minlength=1 << 20) > 1)] = -1
         score = np.array([m.pieces[i].score for i in use.tolist()], np.float64)
         self.scores, self.penalty = score[order], float(score.min()) - 10
         alone = [p for i in use.tolist() if MARK in (p := self.pieces[i]).lstrip(MARK) or "\n" in p]
         if alone:
             raise ValueError("a piece joins words or lines")
         self.prefix = m.normalizer_spec.add_dummy_prefix
+        self.merging = m.trainer_spec.model_type == 2
 
     @staticmethod
     def _hash(piece: str) -> np.uint64:
@@ -70,14 +78,73 @@ class Model:
             h = (h * int(_BASE) + ord(c) + 1) % 2**64
         return np.uint64(h)
 
-    def viterbi(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of one length."""
+    def _sums(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Prefix hashes of words of one length, by end place, and powers of the base."""
         n, size = len(words), len(words[0])
         code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, size)
         sums = np.zeros((size + 1, n), np.uint64)
         for e in range(size):
             sums[e + 1] = sums[e] * _BASE + code[:, e].astype(np.uint64) + np.uint64(1)
-        power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, _BASE)]))
+        return sums, np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, _BASE)]))
+
+    def _probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each hash the place among the sorted pieces, and whether it is one. A table over mixed bits tells the only place that
+        can be; where two pieces share a slot the sorted keys are searched."""
+        at = self._slots[(mix(h) >> _SLOT).astype(np.int64)]
+        many = np.flatnonzero(at < 0)
+        at = np.maximum(at, 0)
+        if len(many):
+            at[many] = np.minimum(np.searchsorted(self.keys, h[many]), len(self.keys) - 1)
+        return at, self.keys[at] == h
+
+    def ids_of(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words of one length."""
+        return self.merged(words) if self.merging else self.viterbi(words)
+
+    def merged(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words of one length by merging neighbours, the best-scored piece first."""
+        n, size = len(words), len(words[0])
+        sums, power = self._sums(words)
+        longest = min(size, self.longest)
+        score = np.full((n, size, longest + 1), -np.inf)
+        piece = np.full((n, size, longest + 1), -1, np.int32)
+        for length in range(1, longest + 1):
+            for i in range(size - length + 1):
+                at, hit = self._probe(sums[i + length] - sums[i] * power[length])
+                score[hit, i, length] = self.scores[at[hit]]
+                piece[hit, i, length] = self.ids[at[hit]]
+        after = np.tile(np.arange(1, size + 2), (n, 1))  # where the piece that starts here ends
+        after[:, size] = size
+        begins = np.ones((n, size), bool)
+        live, place = np.arange(n), np.arange(size)
+        while len(live) and size > 1:
+            nxt = after[live]
+            mid = nxt[:, :size]
+            end = np.take_along_axis(nxt, mid, axis=1)
+            length = end - place
+            fit = begins[live] & (mid < size) & (length <= longest)
+            value = np.where(fit, score[live[:, None], place, np.minimum(length, longest)], -np.inf)
+            best = value.argmax(axis=1)
+            go = value[np.arange(len(live)), best] > -np.inf
+            live, best = live[go], best[go]
+            mid, end = mid[go, best], end[go, best]
+            after[live, best] = end
+            begins[live, mid] = False
+        row, at = np.nonzero(begins)
+        ids = piece[row, at, np.minimum(after[row, at] - at, longest)]
+        cuts = np.searchsorted(row, np.arange(1, n))
+        out = [x.astype("<u4") for x in np.split(ids, cuts)]
+        for r in np.unique(row[ids < 0]).tolist():
+            whole: list[int] = []
+            for i, k in zip(at[row == r].tolist(), ids[row == r].tolist()):
+                whole += [k] if k >= 0 else self.byte_id[np.frombuffer(words[r][i].encode(), np.uint8)].tolist()
+            out[r] = np.array(whole, "<u4")
+        return out
+
+    def viterbi(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words of one length."""
+        n, size = len(words), len(words[0])
+        sums, power = self._sums(words)
         best = np.full((size + 1, n), -np.inf)
         best[0] = 0
         back = np.zeros((size + 1, n), np.int32)
@@ -85,8 +152,7 @@ class Model:
         for e in range(1, size + 1):
             for length in range(min(e, self.longest), 0, -1):
                 h = sums[e] - sums[e - length] * power[length]
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                hit = self.keys[at] == h
+                at, hit = self._probe(h)
                 sum_ = best[e - length] + np.where(hit, self.scores[at], self.penalty if length == 1 else -np.inf)
                 better = sum_ > best[e]
                 best[e] = np.where(better, sum_, best[e])
@@ -136,10 +202,10 @@ class Encoder:
         for c in new:
             by.setdefault(len(c), []).append(c)
         for size, words in by.items():
-            step = max(1, (1 << 20) // (size + 1))
+            step = max(1, (1 << 20) // (size * min(size, self.model.longest) + 1))
             for i in range(0, len(words), step):
                 part = words[i : i + step]
-                self.cache.update((c, ids.tobytes()) for c, ids in zip(part, self.model.viterbi(part)))
+                self.cache.update((c, ids.tobytes()) for c, ids in zip(part, self.model.ids_of(part)))
         get = self.cache.__getitem__
         return [np.frombuffer(b"".join(map(get, x)), "<u4") for x in cut]
 
