@@ -9,6 +9,7 @@ QUERIES = {
     "op2_sentencepiece": sentencepieces.op2_sentencepiece,
     "op3_language_id": langid.op3_language_id,
     "op4_simhash": simhash.op4_simhash,
+    "near_fingerprints": simhash.near_fingerprints,
     "op5_top_k": topk.op5_top_k,
     "op6_jaccard_join": chosen_path.op6_jaccard_join,
     "op7_substring_dedup": substrings.op7_substring_dedup,
