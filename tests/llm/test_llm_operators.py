@@ -8,10 +8,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from inkfold.llm.words import Words, mix, runs
 from inkfold.llm import chosen_path, components, langid, licenses, maxent_lm, packing, sentencepieces, simhash, substrings, token_store, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, score int, at string, shard string, id string"
@@ -88,6 +90,10 @@ def test_sentencepiece(spark, docs, rows, none):
     got = sentencepieces.encode(docs, path).collect()
     assert len(got) == len(rows) and all(r["round_trip"] for r in got)
     assert sentencepieces.encode(none, path).count() == 0
+    lib, own = SentencePieceProcessor(model_file=path), sentencepieces.Encoder(sentencepieces.Model(open(path, "rb").read()))
+    hard = [t for t, _ in texts() if t] + ["日本 語 😀", "  two  spaces ", "\n\na\nb", "ß—é", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "\u2581x y"]
+    for t, ids in zip(hard, own.batch(hard)):
+        assert ids.tolist() == lib.encode(t), t
     m = sentencepiece_model_pb2.ModelProto()
     m.ParseFromString(open(path, "rb").read())
     m.trainer_spec.model_type = 1  # the library's Viterbi search; its floats hold scores up to 2**24 exactly
@@ -117,6 +123,24 @@ def test_language(spark, docs, rows, none):
         assert len(np.unique(langid.codewords(k), axis=0)) == k
 
 
+@pytest.mark.parametrize("k", [1, 2, 4, 9])
+def test_language_decoding(k):
+    """Loss-weighted decoding against a plain sum over the bits of each codeword."""
+    rng = np.random.default_rng(k)
+    words_ = langid.codewords(k).astype(float)
+    assert len({tuple(w) for w in words_}) == k and (k < 2 or all(set(c) == {-1.0, 1.0} for c in words_.T))
+    bits = words_.shape[1]
+    m = langid.Model([f"l{i}" for i in range(k)], words_, rng.normal(size=(12, bits)), rng.normal(size=bits), rng.random(bits) + 0.1)
+    x = rng.normal(size=(50, 12))
+    best, share, close = m.decode(x)
+    for i in range(50):
+        margin = [sum(x[i][j] * m.weights[j][b] for j in range(12)) + m.bias[b] for b in range(bits)]
+        loss = [sum(m.trust[b] * np.log1p(np.exp(-margin[b] * w[b])) for b in range(bits)) for w in words_]
+        assert best[i] == min(range(k), key=lambda c: loss[c])
+        assert share[i] == pytest.approx(1 / sum(np.exp(min(loss) - v) for v in loss))
+        assert close[i] == (k > 1 and sorted(loss)[1] - min(loss) < langid.AMBIGUOUS)
+
+
 def test_simhash(spark, docs, rows, none):
     got = simhash.edited_prints(docs).collect()
     order = sorted(((r[0], r[1] or "") for r in rows))
@@ -130,10 +154,57 @@ def test_simhash(spark, docs, rows, none):
     one = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     assert [r["near_next"] for r in simhash.edited_prints(one).collect()] == [1.0]
     assert simhash.edited_prints(spark.createDataFrame([(None, "a"), (None, "b"), (2, None)], "doc_id long, text string")).count() == 3
-    prints = [r["fingerprint"] for r in simhash.fingerprint_table(docs).collect()]
-    near = {(r["a"], r["b"]): r["distance"] for r in simhash.within(simhash.fingerprint_table(docs), 12, 14).collect()}
-    brute = {(a, b): d for a in set(prints) for b in set(prints) if a < b and (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= 12}
-    assert near == brute and brute
+
+
+def plain_print(text):
+    """A fingerprint term by term."""
+    w = words(text, True)
+    votes = [0] * 128
+    hash_of = lambda t: int(Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])).hashes()[0])
+    h = np.array([hash_of(x) for x in w], np.uint64)
+    for k in (1, 2, 3):
+        for i in range(len(w) - k + 1):
+            term = h[i : i + 1] if k == 1 else runs(h[i : i + k], np.array([0, k]), k)[0]
+            for lane, v in enumerate((int(term[0]), int(mix(term ^ np.uint64(simhash._SALT))[0]))):
+                for b in range(64):
+                    votes[64 * lane + b] += k if (v >> b) & 1 else -k
+    return f"{sum(1 << i for i, v in enumerate(votes) if v > 0):032x}"
+
+
+def test_fingerprints_are_votes(spark, monkeypatch):
+    from inkfold.llm import words as W
+
+    some = ["a b c d a b", "", None, "One two  THREE", "x", "é ß 日本 and so on and so on"]
+    assert simhash.as_hex(simhash.fingerprints(pa.array(some))) == [plain_print(t) for t in some]
+    long = " ".join(f"w{i % 37}" for i in range(900))
+    whole = simhash.as_hex(simhash.fingerprints(pa.array([long, "a b"])))
+    monkeypatch.setattr(W, "SLICE_BYTES", 100)  # texts in pieces
+    assert simhash.as_hex(simhash.fingerprints(pa.array([long, "a b"]))) == whole == [plain_print(long), plain_print("a b")]
+
+
+@pytest.mark.parametrize(("radius", "blocks", "rows_of"), [(3, None, 1_024), (12, 14, 5), (0, None, 7), (1, 4, 2)])
+def test_near_prints(spark, monkeypatch, radius, blocks, rows_of):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", rows_of)
+    rng = random.Random(radius)
+    base = [rng.getrandbits(128) for _ in range(40)]
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(128), n))
+    all_ = base + [flip(base[0], rng.randrange(1, radius + 2)) for _ in range(40)] + [flip(base[i], radius + i % 3) for i in range(20)] + [0, 1, 2**128 - 1]
+    names = sorted({f"{x:032x}" for x in all_})
+    got = {r["fingerprint"]: r for r in simhash.near_prints(spark.createDataFrame([(n,) for n in names + names[:5] + [None]], "fingerprint string"), radius, blocks).collect()}
+    near = lambda a, b: a != b and (int(a, 16) ^ int(b, 16)).bit_count() <= radius
+    assert {n: got[n]["n_near"] for n in names} == {a: sum(near(a, b) for b in names) for a in names} and len(got) == len(names)
+    label = {n: n for n in names}
+    for a in names:
+        for b in names:
+            if near(a, b):
+                label = {k: min(label[a], label[b]) if v in (label[a], label[b]) else v for k, v in label.items()}
+    assert len({(label[n], got[n]["class_print"]) for n in names}) == len(set(label.values())) == len({r["class_print"] for r in got.values()})
+
+
+def test_near_documents(spark, docs, rows, none):
+    got = simhash.near_documents(docs).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
+    assert simhash.near_documents(none).count() == 0
 
 
 def test_top_k(spark):
@@ -156,17 +227,33 @@ def test_top_k(spark):
 
 
 def test_top_k_repeated_id():
-    """A query whose own id has many rows, all of them nearer than any other."""
+    """A query whose own id has many rows, all of them nearer than any other; and one such candidate."""
     rng = np.random.default_rng(4)
     v = rng.integers(-50, 50, (100, 4))
     v[:30] = [90, 90, 90, 90]
     ids = np.array([7] * 30 + list(range(100, 170)))
-    for own, want in ((7, 30), (None, 0)):
+    for own, want in ((7, 30), (None, 29)):
         s = v @ v[0]
         best = sorted(((int(x), -int(i)) for x, i in zip(s[want:], ids[want:])), reverse=True)[:5]
         assert topk.Tree(v).search(v[0], ids, own, 5, None) == best
 
 
+def test_top_k_repeated_rows(spark):
+    """Ids with several rows, alike and different, among queries and candidates; cells of few rows; every id once."""
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.integers(-9, 9, 3).tolist()) for i in list(range(60)) + [0, 0, 3, 3, 50, 50, 7] * 3]
+    rows += [rows[0], rows[0], rows[50], rows[3]]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    got = topk.top_k(df, df.where("id % 50 = 0"), 5, shard_rows=20, block_rows=2, most_cells=8).collect()
+    for q in (0, 50):
+        score = {}
+        for i, v in rows:
+            if i != q:
+                score[i] = max(score.get(i, -(10**9)), max(int(np.dot(v, w)) for j, w in rows if j == q))
+        want = sorted((-s, i) for i, s in score.items())[:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
 def brute_classes(rows):
     sets = []
     for r in rows:
@@ -246,7 +333,7 @@ def test_substrings(spark, docs, rows, none, monkeypatch):
     assert sorted(got) == sorted(want) and any(x[2] for x in want)
     full = substrings.dedup(docs, with_text=True)
     for r in full.collect():
-        assert hashlib.sha256(" ".join(words(r["text"])).encode()).hexdigest() == r["kept_sha256"]
+        assert hashlib.sha256(" ".join(words(r["row"]["text"])).encode()).hexdigest() == r["kept_sha256"]
     monkeypatch.setattr(substrings, "MOST_RUNS", 2)
     got = [tuple(r) for r in substrings.dedup(docs, batches=5).collect()]
     assert sorted(got) == sorted(want)
@@ -313,14 +400,63 @@ def test_language_model(spark, docs, rows, none):
 
 
 def test_language_model_is_a_distribution():
-    """Shares of all known tokens and one unseen token of each class add up to one for any history."""
-    from inkfold.llm.maxent_lm import CLASSES, SINGLES, Lexicon
-
-    mass, types = np.zeros(CLASSES), np.zeros(CLASSES)
-    mass[0], types[0], mass[SINGLES], types[SINGLES] = 5, 1, 7, 3
-    lx = Lexicon(12, 4, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(65536, np.int16), mass, types)
-    inside = lambda k: (mass[k] + 0.5 * types[k] + (0.5 if k >= SINGLES else 0)) / 10 ** lx.log_class[k]
-    assert inside(0) == pytest.approx(1) and inside(SINGLES) == pytest.approx(1) and inside(SINGLES + 1) == pytest.approx(1)
+    """Shares of all known tokens and one unseen token of a class's last member add up to one."""
+    from inkfold.llm.maxent_lm import REST, SINGLES, WIDE, Lexicon
+
+    mass, types = np.zeros((WIDE, WIDE)), np.zeros(WIDE)
+    mass[SINGLES, 0], mass[SINGLES, REST], types[SINGLES] = 9, 7, 3
+    none = np.zeros(0, np.int64)
+    lx = Lexicon(16, 5, none.astype(np.uint64), none, none, none, np.full(65536, SINGLES), mass, types)
+    for c in (SINGLES, SINGLES + 1):
+        assert (mass[c, REST] + 0.5 * types[c] + 0.5) / 10 ** lx.log_rest[c] == pytest.approx(1)
+    w = lx.start()
+    assert (w[maxent_lm.BIAS2 + SINGLES, 1:REST] == maxent_lm._NEVER).all()
+
+
+def test_language_model_scores(spark, docs, rows):
+    """Scores under given weights against sums made token by token."""
+    from inkfold.llm.maxent_lm import BIAS, BIAS2, MEMBER, REST, SINGLES
+
+    learn = docs.select("text")
+    seen = maxent_lm.written(maxent_lm.counts(learn), "lm-test")
+    lx = maxent_lm.lexicon(seen)
+    assert (lx.head_member < REST).any() and lx.n == lx.member_mass.sum()
+    rng = np.random.default_rng(2)
+    w = (lx.start() + rng.normal(scale=0.3, size=(maxent_lm.ALL_ROWS, maxent_lm.WIDE))).astype(np.float32)
+    parts = maxent_lm.score_parts(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), spark.sparkContext.broadcast(lx), w)
+    got = sorted((r["doc_id"], r["n_tokens"], r["score_part"]) for r in parts.collect())
+    want = []
+    for r in rows:
+        raw = np.frombuffer((r[1] or "").encode(), np.uint8)
+        if len(raw) > 3_000:
+            want.append((r[0], None, None))
+            continue
+        tok, tail, off = maxent_lm.tokens_of(Words(raw, np.array([0, len(raw)]), True))
+        hist = maxent_lm.History.of(tok, off)
+        total = 0.0
+        for i, (h, t) in enumerate(zip(tok, tail)):
+            at = int(lx.find(tok[i : i + 1])[0])
+            c, m = (int(lx.head_class[at]), int(lx.head_member[at])) if at >= 0 else (int(lx.suffix_class[t]), REST)
+            z = w[BIAS].astype(float) + sum(w[int(x[i])].astype(float) for x in hist.rows)
+            total += z[c] - np.log(np.exp(z).sum())
+            if c >= SINGLES:
+                z = w[BIAS2 + c].astype(float) + sum(w[MEMBER + int(x[0])].astype(float) for x in hist.members(np.array([i]), np.array([c])))
+                total += z[m] - np.log(np.exp(z).sum())
+                if m == REST:
+                    total += np.log(10) * ((np.log10(lx.head_count[at] + 0.5) if at >= 0 else 0.0) - lx.log_rest[c])
+        want.append((r[0], len(tok), total / np.log(10)))
+    for g, x in zip(got, sorted(want, key=lambda x: (x[0], x[1] or 0))):
+        assert x[1] is None or (g[:2] == x[:2] and g[2] == pytest.approx(x[2], rel=1e-4))
+
+
+def test_gradient_sums():
+    rng = np.random.default_rng(1)
+    ids = np.minimum(rng.zipf(1.4, 3_000), 500).astype(np.uint16)
+    g = rng.normal(size=(3_000, 8)).astype(np.float32)
+    at, n, total = maxent_lm.sums_by(ids, g)
+    full = np.zeros((501, 8))
+    np.add.at(full, ids, g)
+    assert np.array_equal(at, np.unique(ids)) and np.array_equal(n, np.bincount(ids)[at]) and np.allclose(total, full[at], atol=1e-3)
 
 
 @pytest.mark.parametrize("cap", [64, 4096])
