@@ -1,20 +1,24 @@
 """Jaccard self-join of word shingles by chosen paths.
 
 Sets are the distinct hashes of all runs of five words of a text (of all its words, if it has one to four). Documents with the
-same set are one class from the start. The others are split recursively: a run follows one path, each step of which samples a
-coordinate (by the path so far) and splits a bucket by the token that is least there - two sets share it with a probability
-of their similarity. Coordinates are minima of the whole set under 64 hash functions, so that they are independent however few
-tokens a set has, and each run has ``DEPTH`` of them to itself. Buckets of ``LIMIT`` sets or fewer go no deeper, nor does any
-after ``DEPTH`` steps; the search is repeated ``RUNS`` times, so that a pair of similarity 0.8 that needs the full depth is met
-with probability 1 - (1 - 0.8**4)**16 = 0.9998, and every pair that needs less of it more surely.
-
-Within buckets, pairs that agree in enough of the 64 coordinates, taken byte-wide, join a cluster (a pair of similarity 0.8 fails
-that with a probability of 2e-8). Each cluster is then brute-forced once, with its exact sets, in blocks: a large cluster is
+same set are one class from the start. Each set is embedded as 64 tokens, the minima of the whole set under 64 hash functions,
+so that two sets share each token with a probability of their similarity, however few shingles they have. The embedded sets are
+then split recursively (Christiani, Pagh 2017; Christiani, Pagh, Sivertsen 2018): a node of the recursion samples one of the 64
+coordinates by a hash of its path, and another with probability ``SECOND``, and sends a set to one child for each of them, that of
+the token which the set has there. Two sets at 0.8 so share 0.8 * (1 + SECOND) children of a node, one on average, and their
+common path seldom dies out. Nodes of ``LIMIT`` sets or fewer go no deeper, nor does any after ``DEPTH`` steps. The search is
+repeated in ``RUNS`` runs with a root coordinate of their own each: a pair at 0.8 that needs the full depth is missed with
+probability 2e-4, and every pair that needs less of it more seldom; the tests measure recall for 8 to 30 words.
+
+Within the buckets left, pairs that agree in enough of the 64 tokens, taken byte-wide, join a cluster (a pair of similarity 0.8
+fails that with a probability of 2e-8). Each cluster is then brute-forced once, with its exact sets, in blocks: a large cluster is
 dealt over pairs of blocks of about ``BLOCK_TOKENS`` tokens, so that neither a task nor its memory grows with it, and only counts
-of links and a spanning forest leave a task, never all pairs.
+of links and a spanning forest leave a task, never all pairs. The counts are part of the result, so within a cluster all pairs of
+different sets are compared, as products of tables.
 
 Classes are the connected components of the links. Null and empty texts have no shingles and stay alone; documents with equal
-sets are linked; repeated rows are documents of their own; an empty table gives no rows; other columns are not read.
+sets are linked; repeated rows are documents of their own; null ids count as the greatest; an empty table gives no rows; other
+columns are not read. Sets and rows are known by 128 bits. A text's set is held in memory whole: some 60 bytes for each word.
 """
 
 from __future__ import annotations
@@ -29,13 +33,14 @@ from pyspark.sql import functions as F
 from ..session import shuffle_partitions, written
 from .components import components
 from .groups import grouped
+from .memory import lean
 from .substrings import _in_filter, filter_of
 from .words import Words, mix, runs, worded
 
 SHINGLE, THRESHOLD = 5, 0.8
-RUNS, DEPTH, LIMIT = 16, 4, 64
-#: Coordinates of a sketch: DEPTH for each run.
-COORDS = RUNS * DEPTH
+RUNS, DEPTH, LIMIT = 12, 4, 64
+#: Tokens of an embedded set; how often a node samples a second one; tasks that a crowded node's sets are dealt over.
+COORDS, SECOND, SALTS = 64, 0.25, 32
 #: Coordinates of 64 that a pair must share to be compared exactly.
 AGREE = 32
 #: Sets of a bucket that are compared by their coordinates in one task; tokens and sets of a block in the exact comparison.
@@ -43,6 +48,10 @@ BUCKET_ROWS, BLOCK_TOKENS, BLOCK_ROWS = 512, 200_000, 1_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.Generator(np.random.PCG64(20240301))
 _XOR, _ODD = _rng.integers(0, 2**64 - 1, COORDS, np.uint64), _rng.integers(0, 2**63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: The coordinate that each run's root samples: drawn without replacement, so that no run repeats another.
+_ROOTS = _rng.permutation(COORDS)[:RUNS]
+#: Paths expanded at a time.
+_PATHS = 4_096
 
 
 def shingle_sets(w: Words, size: int = SHINGLE) -> list[np.ndarray]:
@@ -60,10 +69,13 @@ def shingle_sets(w: Words, size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def _digest(s: np.ndarray) -> int:
-    """Of a whole set."""
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a whole set."""
     v = mix(s + _STEP)
-    return int(mix(np.array([np.add.reduce(v) ^ np.uint64(len(s)), np.bitwise_xor.reduce(v)], np.uint64)).view(np.int64)[0]) if len(s) else 0
+    u = mix(v ^ _STEP)
+    both = np.array([np.add.reduce(v) ^ np.uint64(len(s)), np.add.reduce(u) ^ np.bitwise_xor.reduce(v)], np.uint64)
+    one, two = mix(both).view(np.int64).tolist()
+    return one, two
 
 
 def _sketches(sets: list[np.ndarray]) -> list[bytes | None]:
@@ -86,8 +98,9 @@ def _sketches(sets: list[np.ndarray]) -> list[bytes | None]:
 
 
 def row_key() -> Column:
-    """Of a document: equal only for repeated rows."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """Of a document: 128 bits, equal only for repeated rows."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(part("doc_id"), F.lit(","), part("text")).cast("binary")))
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -96,63 +109,137 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """key, doc_id, id (digest of the set), n, sketch of every document; id and sketch are null without shingles."""
+    """key, doc_id, id and id2 (digest of the set), n, sketch of every document; ids and sketch are null without shingles."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, w in worded(b.column(2), lower=True):
                 sets = shingle_sets(w, size)
+                digests = [_digest(s) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(i, j - i),
                         b.column(1).slice(i, j - i),
-                        pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()),
+                        pa.array([d[0] for d in digests], pa.int64()),
+                        pa.array([d[1] for d in digests], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(_sketches(sets), pa.binary()),
                     ],
-                    ["key", "doc_id", "id", "n", "sketch"],
+                    ["key", "doc_id", "id", "id2", "n", "sketch"],
                 )
 
-    return _source(docs).mapInArrow(go, "key long, doc_id long, id long, n long, sketch binary")
+    return _source(docs).mapInArrow(lean(go), "key binary, doc_id long, id long, id2 long, n long, sketch binary")
 
 
-def paths(sets: DataFrame) -> DataFrame:
-    """id and, for each run, the path after each step."""
-    names = [f"p{d}" for d in range(1, DEPTH + 1)]
+def distinct_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows, and one row for each set: id, n, sketch, first (least document), copies. Where two sets share the 64 bits of id
+    they get ids from all their bits."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key")))
+    while True:
+        grouped_sets = rows.where("id IS NOT NULL").groupBy("id").agg(
+            F.first("n").alias("n"), F.first("sketch").alias("sketch"), first.alias("first"), F.count("*").alias("copies"), F.min("id2").alias("lo"), F.max("id2").alias("hi")
+        )
+        sets = written(grouped_sets, "sets")
+        clash = sets.where("lo <> hi").select("id")
+        if clash.isEmpty():
+            return rows, sets.drop("lo", "hi")
+        again = rows.join(clash.withColumn("clash", F.lit(True)), "id", "left")
+        rows = written(again.withColumn("id", F.when(F.col("clash"), F.xxhash64("id", "id2")).otherwise(F.col("id"))).drop("clash"), "sketches")
+
+
+def _child(path: np.ndarray, token: np.ndarray, coord: np.ndarray) -> np.ndarray:
+    """The path to the child that holds this token at this coordinate."""
+    return mix(path * _STEP + mix(token.astype(np.uint64) ^ _XOR[coord]))
+
+
+def children(path: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of nodes (one path hash each) and the embedded set at each: which node, and the path, of every child."""
+    h = mix(path ^ _STEP)
+    one = (h % np.uint64(COORDS)).astype(np.int64)
+    more = np.flatnonzero((h >> np.uint64(40)) < np.uint64(int(SECOND * 2**24)))
+    two = (one[more] + 1 + ((h[more] >> np.uint64(16)) % np.uint64(COORDS - 1)).astype(np.int64)) % COORDS
+    at, coord = np.concatenate([np.arange(len(path)), more]), np.concatenate([one, two])
+    return at, _child(path[at], tokens[at, coord], coord)
+
+
+def _tokens_of(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(-1, COORDS)
+
+
+_NODE = "p long, id long"
+
+
+def _nodes(p: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(ids)], ["p", "id"])
+
+
+def roots(sets: DataFrame) -> DataFrame:
+    """(p, id): the child of each run's root."""
+    start = mix((np.arange(RUNS, dtype=np.uint64) + np.uint64(1)) * _STEP)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m, ids = _tokens_of(b.column(1)), b.column(0).to_numpy()
+            for r, c in enumerate(_ROOTS):
+                yield _nodes(_child(start[r], m[:, c], c), ids)
+
+    return sets.select("id", "sketch").mapInArrow(lean(go), _NODE)
+
+
+def deeper(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(p, id): the children of the nodes (p, id)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, COORDS)
-            row = np.arange(len(m))
-            for r in range(RUNS):
-                p = np.full(len(m), mix(np.array([r + 1], np.uint64) * _STEP)[0])
-                left = np.tile(np.arange(r * DEPTH, (r + 1) * DEPTH), (len(m), 1))  # the run's coordinates not yet taken
-                steps = []
-                for d in range(DEPTH):
-                    at = (p % np.uint64(DEPTH - d)).astype(np.int64)
-                    own = left[row, at]
-                    left[row, at] = left[:, DEPTH - d - 1]
-                    p = mix(p * _STEP + m[row, own])
-                    steps.append(pa.array(p.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), *steps], ["id", *names])
-
-    return sets.select("id", "sketch").mapInArrow(go, "id long, " + ", ".join(f"{n} long" for n in names))
-
-
-def buckets(walks: DataFrame) -> DataFrame:
-    """(bucket, id, size): where each path ends, without buckets of one set and with one of those that hold the same sets."""
+            m, ids, paths = _tokens_of(b.column(1)), b.column(0).to_numpy(), b.column(2)
+            own = np.repeat(np.arange(len(ids)), np.diff(paths.offsets.to_numpy()))
+            at_path = paths.flatten().to_numpy().view(np.uint64)
+            for i in range(0, len(own), _PATHS):
+                row = own[i : i + _PATHS]
+                at, p = children(at_path[i : i + _PATHS], m[row])
+                yield _nodes(p, ids[row[at]])
+
+    # a set is at a few nodes of a level, so the lists are short
+    at = nodes.groupBy("id").agg(F.collect_list("p").alias("ps")).join(sets.select("id", "sketch"), "id").select("id", "sketch", "ps")
+    return at.mapInArrow(lean(go), _NODE)
+
+
+def sized(nodes: DataFrame) -> DataFrame:
+    """(p, id, size): the nodes (a written table) with as many sets as come there, without those of one. Crowded nodes, at most eight
+    for each partition, are salted, so that no task gets all rows of a node."""
+    spark = nodes.sparkSession
+    sizes = written(nodes.groupBy("p").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    most = max(LIMIT, total // (8 * shuffle_partitions(spark)))
+    crowded = spark.sparkContext.broadcast(np.sort(np.array([r["p"] for r in sizes.where(F.col("size") > most).select("p").collect()], np.int64)))
+
+    def salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = crowded.value
+        for b in batches:
+            p, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            salt = np.zeros(len(p), np.int32)
+            if len(names):
+                here = names[np.minimum(np.searchsorted(names, p), len(names) - 1)] == p
+                salt = np.where(here, (mix(ids.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32), salt)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(salt)], ["p", "id", "salt"])
+
+    salts = F.when(F.col("size") > most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    laid = sizes.select("p", "size", F.explode(salts).alias("salt"))
+    return nodes.mapInArrow(lean(salted), "p long, id long, salt int").join(laid, ["p", "salt"]).select("p", "id", "size")
+
+
+def buckets(sets: DataFrame) -> DataFrame:
+    """(bucket, id, size): where the paths end, without buckets of one set and with one of those that hold the same sets."""
     found: DataFrame | None = None
-    left = walks
+    left = roots(sets)
     for d in range(1, DEPTH + 1):
-        size = left.groupBy(f"p{d}").agg(F.count("*").alias("size")).where("size > 1")
-        here = left.join(size, f"p{d}")
-        if d < DEPTH:
-            here = written(here, "walks")
-        ends = here if d == DEPTH else here.where(F.col("size") <= LIMIT)
-        ends = ends.select(F.col(f"p{d}").alias("bucket"), "id", "size")
+        here = written(sized(written(left, "paths")), "nodes")
+        ends = (here if d == DEPTH else here.where(F.col("size") <= LIMIT)).select(F.col("p").alias("bucket"), "id", "size")
         found = ends if found is None else found.union(ends)
-        left = here.where(F.col("size") > LIMIT).drop("size") if d < DEPTH else left
-    found = written(found, "buckets")
+        big = here.where(F.col("size") > LIMIT)
+        if d == DEPTH or big.isEmpty():
+            break
+        left = deeper(big, sets)
     same = found.groupBy("bucket").agg(F.first("size").alias("size"), F.sum(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.bit_xor(F.xxhash64("id")).alias("x"))
     one = same.groupBy("size", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
     return found.join(one, "bucket")
@@ -176,8 +263,8 @@ def cluster_edges(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[i : i + COORDS].tobytes() for i in range(0, len(m), COORDS)], pa.binary())], ["id", "sketch"])
+            m = _tokens_of(b.column(1)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in m], pa.binary())], ["id", "sketch"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[np.ndarray] = []
@@ -203,12 +290,12 @@ def cluster_edges(members: DataFrame, sets: DataFrame) -> DataFrame:
         if size:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    bytes8 = sets.select("id", "sketch").mapInArrow(narrow, "id long, sketch binary")
+    bytes8 = sets.select("id", "sketch").mapInArrow(lean(narrow), "id long, sketch binary")
     chunks = F.ceil(F.col("size") / BUCKET_ROWS).cast("int")
     rows = members.join(bytes8, "id")
     dealt = _block_pairs(rows.withColumn("chunks", chunks), "bucket")
     parts = shuffle_partitions(spark)
-    return dealt.select("bucket", "i", "j", "id", "sketch").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id").mapInArrow(go, "a long, b long")
+    return dealt.select("bucket", "i", "j", "id", "sketch").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id").mapInArrow(lean(go), "a long, b long")
 
 
 def _block_pairs(rows: DataFrame, group: str) -> DataFrame:
@@ -249,16 +336,16 @@ def exact_links(docs: DataFrame, clusters: DataFrame, size: int = SHINGLE, thres
     """Brute force within clusters (id, cluster, n, key, copies), key being a row that has the set: rows (a, b, links) - for b
     not null a spanning edge of links, else the number of documents that a's set is linked to in one pair of blocks."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(filter_of(clusters.select(F.col("key").alias("h"))))  # fixed size
+    bits = spark.sparkContext.broadcast(filter_of(clusters.select(F.xxhash64("key").alias("h"))))  # fixed size
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = bits.value
         for b in batches:
-            b = b.filter(pa.array(_in_filter(f, b.column(0).to_numpy().view(np.uint64))))
+            b = b.filter(pa.array(_in_filter(f, b.column(2).to_numpy().view(np.uint64))))
             for i, j, w in worded(b.column(1), lower=True):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(w, size)], pa.binary())], ["key", "tokens"])
 
-    sets = _source(docs).select("key", "text").mapInArrow(load, "key long, tokens binary").dropDuplicates(["key"])
+    sets = _source(docs).select("key", "text", F.xxhash64("key").alias("hash")).mapInArrow(lean(load), "key binary, tokens binary").dropDuplicates(["key"])
     many = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("*") / BLOCK_ROWS)).cast("int").alias("chunks"))
     rows = sets.join(clusters, "key").select("id", "cluster", "copies", "tokens").join(many, "cluster")
     dealt = _block_pairs(rows, "cluster")
@@ -304,7 +391,7 @@ def exact_links(docs: DataFrame, clusters: DataFrame, size: int = SHINGLE, thres
 
     parts = shuffle_partitions(spark)
     laid = dealt.select("cluster", "i", "j", "id", "own", "copies", "tokens").repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
-    return laid.mapInArrow(go, "a long, b long, links long")
+    return laid.mapInArrow(lean(go), "a long, b long, links long")
 
 
 def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -312,12 +399,8 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESH
     whose sets are at least ``threshold`` alike, copies included), n_shingles, keep (whether the row stays for its class: the
     one with the least doc_id; a repeated row stays if its twin does)."""
     docs = docs.select("doc_id", "text")
-    rows = written(sketches(docs, size), "sketches")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key")))
-    grouped_sets = rows.where("id IS NOT NULL").groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), first.alias("first"), F.count("*").alias("copies"))
-    sets = written(grouped_sets, "sets")
-    walks = written(paths(sets), "paths")
-    label = components(cluster_edges(buckets(walks), sets))
+    rows, sets = distinct_sets(written(sketches(docs, size), "sketches"))
+    label = components(cluster_edges(buckets(sets), sets))
     clusters = written(label.select("id", F.col("label").alias("cluster")).join(sets.select("id", "n", F.col("first.key").alias("key"), "copies"), "id"), "clusters")
     found = written(exact_links(docs, clusters, size, threshold), "links")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
