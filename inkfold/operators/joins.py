@@ -17,12 +17,14 @@ def _bucketed(df: DataFrame, off: str, length: str) -> DataFrame:
 
 
 def span_join(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Each line (doc_id, line_ix, off, len) with the overlapping block (doc_id, block_ix, off, len) of the least
-    (off, block_ix); lines that no block overlaps are left out. The least pair makes meeting in many buckets harmless."""
+    """Each line (doc_id, line_ix, off, len) with the overlapping block (doc_id, block_ix, off, len) that begins first, then has the
+    least block_ix; lines that no block overlaps are left out. Lines and blocks of several spans have a row for each; where a block's
+    lowest offset is not its row's it stands in a column low. The least pair makes meeting in many buckets harmless."""
     a = _bucketed(lines.select("doc_id", "line_ix", "off", "len"), "off", "len")
-    b = _bucketed(blocks.select("doc_id", "block_ix", F.col("off").alias("b_off"), F.col("len").alias("b_len")), "b_off", "b_len")
+    low = F.col("low" if "low" in blocks.columns else "off").alias("b_low")
+    b = _bucketed(blocks.select("doc_id", "block_ix", low, F.col("off").alias("b_off"), F.col("len").alias("b_len")), "b_off", "b_len")
     hit = a.join(b, ["doc_id", "_b"]).where(G.spans_overlap(F.col("off"), F.col("len"), F.col("b_off"), F.col("b_len")))
-    best = hit.groupBy("doc_id", "line_ix").agg(F.min(F.struct("b_off", "block_ix")).alias("m"))
+    best = hit.groupBy("doc_id", "line_ix").agg(F.min(F.struct("b_low", "block_ix")).alias("m"))
     return best.select("doc_id", "line_ix", F.col("m.block_ix").alias("block_ix"))
 
 

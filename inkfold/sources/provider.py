@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,29 +17,48 @@ ZONES = {"title": "title", "sectionHeading": "heading", "pageHeader": "furniture
 _POLY = "array<double>"
 _REGIONS = f"array<struct<pageNumber:int,polygon:{_POLY}>>"
 _SPANS = "array<struct<offset:bigint,length:bigint>>"
+_SPAN = "span:struct<offset:bigint,length:bigint>"
 _NODE = f"content:string,text:string,boundingRegions:{_REGIONS}"
 _LINE = f"content:string,text:string,polygon:{_POLY},boundingBox:{_POLY},bbox:{_POLY},spans:{_SPANS}"
 _CELL = f"struct<kind:string,cell_kind:string,rowIndex:int,row_index:int,columnIndex:int,column_index:int,rowSpan:int,row_span:int,columnSpan:int,column_span:int,{_NODE},bbox:{_POLY},spans:{_SPANS}>"
 _PAGE = f"pageNumber:int,width:double,height:double,unit:string,angle:double,selectionMarks:array<struct<state:string,polygon:{_POLY}>>,lines:array<struct<{_LINE}>>"
-_BODY = (
-    f"apiVersion:string,modelId:string,content:string,pages:array<struct<{_PAGE}>>,paragraphs:array<struct<{_NODE},role:string,spans:{_SPANS}>>,"
-    f"tables:array<struct<table_id:string,rowCount:int,columnCount:int,{_NODE},spans:{_SPANS},cells:array<{_CELL}>>>,"
-    f"selectionMarks:array<struct<state:string,boundingRegions:{_REGIONS}>>,keyValuePairs:array<struct<key:struct<{_NODE}>,value:struct<{_NODE}>,confidence:double>>,languages:array<struct<locale:string>>"
-)
-_READ = f"array<struct<page:int,pageNumber:int,width:double,height:double,unit:string,angle:double,language:string,lines:array<struct<{_LINE}>>>>"
-LAYOUT = f"struct<analyzeResult:struct<{_BODY},version:string,readResults:{_READ}>,{_BODY},version:string,readResults:{_READ}>"
+_READ_PAGE = f"page:int,pageNumber:int,width:double,height:double,unit:string,angle:double,language:string,lines:array<struct<{_LINE}>>"
+#: Lists of a layout and what is in them.
+LISTS = {
+    "pages": f"struct<{_PAGE}>",
+    "paragraphs": f"struct<{_NODE},role:string,spans:{_SPANS},{_SPAN}>",
+    "tables": f"struct<table_id:string,rowCount:int,columnCount:int,{_NODE},spans:{_SPANS},{_SPAN},cells:array<{_CELL}>>",
+    "sections": f"struct<elements:array<string>,spans:{_SPANS}>",
+    "figures": f"struct<id:string,elements:array<string>,{_NODE},caption:struct<elements:array<string>,{_NODE},spans:{_SPANS},{_SPAN}>>",
+    "selectionMarks": f"struct<state:string,boundingRegions:{_REGIONS}>",
+    "keyValuePairs": f"struct<key:struct<{_NODE}>,value:struct<{_NODE}>,confidence:double>",
+    "languages": "struct<locale:string>",
+    "readResults": f"struct<{_READ_PAGE}>",
+}
 
 
 def parsed(docs: DataFrame, json: str = "json") -> DataFrame:
-    """Adds doc (the layout, whichever wrapper it came in) and shape: read or layout; malformed JSON gives nulls."""
-    d = docs.withColumn("_j", F.from_json(F.col(json), LAYOUT, {"mode": "PERMISSIVE"}))
-    inner = F.col("_j.analyzeResult")
-    names = [x.split(":")[0] for x in ("apiVersion modelId content pages paragraphs tables selectionMarks keyValuePairs languages version readResults").split()]
-    whole = F.when(inner.isNotNull(), inner).otherwise(F.struct(*(F.col(f"_j.{n}").alias(n) for n in names)))
-    d = d.withColumn("doc", whole).drop("_j")
+    """Adds doc (the layout, whichever wrapper it came in) and shape: read or layout. What is not an object in a list is dropped, a
+    field of the wrong type is null, and malformed JSON gives nulls throughout: nothing raises, and no field spoils another."""
+    whole = F.try_parse_json(F.col(json))
+    inner = F.coalesce(F.try_variant_get(whole, "$.analyzeResult", "variant"), whole)
+    d = docs.withColumn("_v", inner)
+
+    def listed(name: str, kind: str) -> Column:
+        objects = F.filter(F.try_variant_get("_v", f"$.{name}", "array<variant>"), lambda e: F.schema_of_variant(e).startswith("OBJECT"))
+        return F.transform(objects, lambda e: F.from_json(F.to_json(e), kind)).alias(name)
+
+    said = lambda name: F.try_variant_get("_v", f"$.{name}", "string").alias(name)
+    d = d.withColumn("doc", F.struct(said("apiVersion"), said("modelId"), said("content"), said("version"), *(listed(k, t) for k, t in LISTS.items()))).drop("_v")
     return d.withColumn("shape", F.when(F.coalesce(F.size("doc.readResults"), F.lit(0)) > 0, "read").otherwise("layout"))
 
 
+def _spans_of(n: Column) -> Column:
+    """Spans with an offset of zero or more, stated as a list or as one."""
+    both = F.coalesce(F.when(F.size(n["spans"]) > 0, n["spans"]), F.when(n["span"].isNotNull(), F.array(n["span"])))
+    return F.filter(both, lambda s: s["offset"] >= 0)
+
+
 def _text(n: Column) -> Column:
     return F.coalesce(F.nullif(n["content"], F.lit("")), n["text"], F.lit(""))
 
@@ -60,10 +82,10 @@ def pages(p: DataFrame) -> DataFrame:
 
 
 def blocks(p: DataFrame) -> DataFrame:
-    """(doc_id, block_ix, page, text, role, zone, quad, off, len): paragraphs, or lines where there are none; zones by role, by
-    overlap with a table's spans, by a centre inside its rectangle."""
+    """(doc_id, block_ix, node_ix, page, text, role, zone, quad, spans): paragraphs, or lines where there are none, node_ix being their
+    place among them; zones by role, by overlap with a table's spans, by a centre inside its rectangle."""
     lay = p.where("shape = 'layout'")
-    para = lay.select("doc_id", F.posexplode("doc.paragraphs").alias("i", "n")).select("doc_id", "i", _page(F.col("n")).alias("page"), T.strip(_text(F.col("n"))).alias("text"), "n.role", _quad(F.col("n")).alias("quad"), F.col("n.spans").alias("spans"))
+    para = lay.select("doc_id", F.posexplode("doc.paragraphs").alias("i", "n")).select("doc_id", "i", _page(F.col("n")).alias("page"), T.strip(_text(F.col("n"))).alias("text"), "n.role", _quad(F.col("n")).alias("quad"), _spans_of(F.col("n")).alias("spans"))
     bare = lay.where(F.coalesce(F.size("doc.paragraphs"), F.lit(0)) <= 0).select("doc_id", F.posexplode("doc.pages").alias("pi", "g"))
     line = bare.select("doc_id", "pi", F.coalesce(F.nullif(F.col("g.pageNumber"), F.lit(0)), F.col("pi") + 1).alias("page"), F.posexplode("g.lines").alias("li", "n"))
     line = line.select("doc_id", (F.col("pi") * 1_000_000 + F.col("li")).alias("i"), "page", T.strip(_text(F.col("n"))).alias("text"), F.lit(None).cast("string").alias("role"), G.quad(F.col("n.polygon")).alias("quad"), F.col("n.spans").alias("spans"))
@@ -83,9 +105,7 @@ def blocks(p: DataFrame) -> DataFrame:
     zone = F.coalesce(*(F.when(F.col("role") == k, F.lit(v)) for k, v in ZONES.items()), F.when(F.coalesce(over, F.lit(False)) | F.coalesce(F.when(F.col("quad").isNotNull(), inside), F.lit(False)), F.lit("table")), F.lit("body"))
     zone = F.when(F.col("shape_") == "read", F.lit("body")).otherwise(zone)
     j = j.join(p.select("doc_id", F.col("shape").alias("shape_")), "doc_id")
-    off = F.array_min(F.transform("spans", lambda s: s["offset"]))
-    end = F.array_max(F.transform("spans", lambda s: s["offset"] + s["length"]))
-    return j.select("doc_id", "block_ix", "page", "text", "role", zone.alias("zone"), "quad", off.alias("off"), (end - off).alias("len"))
+    return j.select("doc_id", "block_ix", F.col("i").cast("long").alias("node_ix"), "page", "text", "role", zone.alias("zone"), "quad", "spans")
 
 
 def tables(p: DataFrame) -> DataFrame:
@@ -133,13 +153,88 @@ def languages(p: DataFrame) -> DataFrame:
 
 
 def attached_lines(p: DataFrame) -> DataFrame:
-    """(doc_id, block_ix, page, text, quad): lines of layouts joined to the block whose span they are in."""
+    """(doc_id, block_ix, line_ix, page, text, quad): lines of layouts joined to the block of which any span meets any of theirs, the
+    one that begins first if several do."""
     from ..operators.joins import span_join
 
     ln = p.where("shape = 'layout'").select("doc_id", F.posexplode("doc.pages").alias("pi", "g")).select("doc_id", "pi", F.coalesce(F.nullif(F.col("g.pageNumber"), F.lit(0)), F.col("pi") + 1).alias("page"), F.posexplode("g.lines").alias("li", "n"))
-    ln = ln.select("doc_id", (F.col("pi") * 1_000_000 + F.col("li")).alias("line_ix"), "page", T.strip(_text(F.col("n"))).alias("text"), G.quad(F.col("n.polygon")).alias("quad"), F.try_element_at("n.spans", F.lit(1))["offset"].alias("off"), F.try_element_at("n.spans", F.lit(1))["length"].alias("len")).where("text <> '' AND off IS NOT NULL")
-    hit = span_join(ln, blocks(p).where("zone <> 'table' AND off IS NOT NULL"))
-    return ln.join(hit, ["doc_id", "line_ix"]).select("doc_id", "block_ix", "line_ix", "page", "text", "quad")
+    ln = ln.select("doc_id", (F.col("pi") * 1_000_000 + F.col("li")).alias("line_ix"), "page", T.strip(_text(F.col("n"))).alias("text"), G.quad(F.col("n.polygon")).alias("quad"), F.filter("n.spans", lambda s: s["offset"] >= 0).alias("spans")).where("text <> ''")
+    each = lambda d, *names: d.select(*names, F.explode("spans").alias("s")).select(*names, F.col("s.offset").alias("off"), F.coalesce("s.length", F.lit(0).cast("long")).alias("len"))
+    b = blocks(p).where("zone <> 'table'").withColumn("low", F.array_min(F.transform("spans", lambda s: s["offset"])))
+    hit = span_join(each(ln, "doc_id", "line_ix"), each(b, "doc_id", "block_ix", "low"))
+    return ln.drop("spans").join(hit, ["doc_id", "line_ix"]).select("doc_id", "block_ix", "line_ix", "page", "text", "quad")
+
+
+# What a reference's first word points to.
+REFERENCES = {"paragraphs": "paragraph", "sections": "section", "tables": "table", "figures": "figure"}
+_REFS = "array<struct<kind:string,ix:int>>"
+
+
+def references(elements: Column) -> Column:
+    """References of the form /paragraphs/3 as kinds and numbers; others have no kind."""
+    part = lambda e, i: F.regexp_extract(e, r"\A/([a-z]+)/([0-9]{1,9})\z", i)
+    kind = lambda e: F.coalesce(*(F.when(part(e, 1) == k, F.lit(v)) for k, v in REFERENCES.items()))
+    return F.transform(elements, lambda e: F.struct(kind(e).alias("kind"), F.when(part(e, 2) != "", part(e, 2)).cast("int").alias("ix")))
+
+
+def harvest(p: DataFrame) -> DataFrame:
+    """(doc_id, seq, section_ix, parent_seq, depth, kind, ix, dangling, double_claims, cycles_cut): the elements of all sections in
+    document order, which is the order of a walk from section 0 through the references as they stand. What points nowhere is dropped,
+    an element keeps its first section, a section met again is not entered; how often each happened stands in every row of a document.
+    A document with sections has at least its root, kind section, seq 0. Sequential within a document, so it is walked in Arrow batches."""
+    size = lambda n: F.coalesce(F.greatest(F.size(f"doc.{n}"), F.lit(0)), F.lit(0)).alias(n)
+    refs = F.transform("doc.sections", lambda s: F.coalesce(references(s["elements"]), F.array().cast(_REFS)))
+    src = p.where(F.size("doc.sections") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), refs.alias("sections"), *(size(n) for n in REFERENCES if n != "sections"))
+    names = ["doc_id", "seq", "section_ix", "parent_seq", "depth", "kind", "ix", "dangling", "double_claims", "cycles_cut"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+
+    def walk(sections: list, most: dict[str, int]) -> tuple[list[tuple], list[int]]:
+        out: list[tuple] = [(0, None, None, 0, "section", 0)]
+        claimed = {("section", 0)}
+        faults = [0, 0, 0]
+        path = [(0, 0, iter(sections[0]))]  # seq and number of each open section, and what is left of it
+        while path:
+            at, number, rest = path[-1]
+            ref = next(rest, None)
+            if ref is None:
+                path.pop()
+                continue
+            key = (ref["kind"], ref["ix"])
+            if key[0] is None or key[1] is None or key[1] >= most[key[0]]:
+                faults[0] += 1
+            elif key in claimed:
+                faults[2 if key[0] == "section" else 1] += 1
+            else:
+                claimed.add(key)
+                seq = len(out)
+                out.append((seq, number, at, len(path), *key))
+                if key[0] == "section":
+                    path.append((seq, key[1], iter(sections[key[1]])))
+        return out, faults
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for doc, sections, *sizes in zip(*(c.to_pylist() for c in b.columns)):
+                most = dict(zip((v for k, v in REFERENCES.items() if k != "sections"), sizes)) | {"section": len(sections)}
+                found, faults = walk(sections, most)
+                rows += [(doc, *f, *faults) for f in found]
+            cols = list(zip(*rows)) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    return src.mapInArrow(go, "doc_id long, seq int, section_ix int, parent_seq int, depth int, kind string, ix int, dangling int, double_claims int, cycles_cut int")
+
+
+def captions(p: DataFrame) -> DataFrame:
+    """(doc_id, figure_ix, page, quad, paragraph_ix): the paragraph that is a figure's caption, by the caption's own reference, else the
+    first whose spans meet the caption's, else null."""
+    f = p.select("doc_id", F.posexplode("doc.figures").alias("figure_ix", "n"), F.size("doc.paragraphs").alias("many"))
+    own = F.filter(references(F.col("n.caption.elements")), lambda r: (r["kind"] == "paragraph") & (r["ix"] < F.col("many")))
+    f = f.select("doc_id", "figure_ix", _page(F.col("n")).alias("page"), _quad(F.col("n")).alias("quad"), F.try_element_at(own, F.lit(1))["ix"].alias("own"), _spans_of(F.col("n.caption")).alias("spans"))
+    para = p.select("doc_id", F.posexplode("doc.paragraphs").alias("ix", "m")).select("doc_id", "ix", F.explode(_spans_of(F.col("m"))).alias("s"))
+    mine = f.where("own IS NULL").select("doc_id", "figure_ix", F.explode("spans").alias("c"))
+    met = mine.join(para, "doc_id").where(G.spans_overlap(F.col("c.offset"), F.col("c.length"), F.col("s.offset"), F.col("s.length"))).groupBy("doc_id", "figure_ix").agg(F.min("ix").alias("met"))
+    return f.join(met, ["doc_id", "figure_ix"], "left").select("doc_id", "figure_ix", "page", "quad", F.coalesce("own", "met").alias("paragraph_ix"))
 
 
 def envelopes(docs: DataFrame, json: str = "json") -> DataFrame:
