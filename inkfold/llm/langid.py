@@ -8,7 +8,8 @@ soft-max share of that language, and a lead of less than ``AMBIGUOUS`` over the
 The classifiers are fitted on the driver to a bounded sample (``SAMPLE_DOCS`` whole documents over all languages, evenly, the
 lowest hashes of doc_id); counts for that sample and every prediction cover whole texts. Rows without text, language or
 doc_id teach nothing; null texts and texts without a letter are ``und`` with score 0; with nothing to learn from, so is
-every text. Ties go to the language that sorts first.
+every text. Ties go to the language that sorts first. Repeated rows are predicted each; an empty table gives no rows; other columns
+pass through, but those with the names of the operator's own. A long text's n-grams are counted ``STRETCH`` characters at a time.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SAMPLE_DOCS = 2_000
 DIM, ORDERS = 8_192, (1, 2, 3)
 AMBIGUOUS = 0.1
 UND = "und"
+#: Characters of a long text that are worked on at a time.
+STRETCH = 1 << 18
 _ROUNDS, _RIDGE = 120, 1e-4
 
 _letters: np.ndarray | None = None
@@ -42,17 +45,41 @@ def _letter_table() -> np.ndarray:
 
 def grams(texts: list[str | None], dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     """Shares of hashed letter n-grams (square roots, so rows have length one) and whether a text has a letter."""
-    table = _letter_table()
+    out = np.zeros((len(texts), dim))
     low = [(t or "").lower() for t in texts]
-    size = np.array([len(t) + 1 for t in low])
-    code = np.frombuffer((" ".join(["", *low, ""])).encode("utf-32-le"), np.uint32)[1:]
-    doc = np.repeat(np.arange(len(low)), size)
-    letter = table[np.minimum(code, 0x1FFFF)]
-    code = np.where(letter, code, 32).astype(np.uint64)
-    keep = letter.copy()
-    keep[1:] |= letter[:-1] & (doc[1:] == doc[:-1])
-    code, doc = code[keep], doc[keep]
-    out = np.zeros(len(low) * dim)
+    short = [i for i, t in enumerate(low) if len(t) <= STRETCH]
+    if short:
+        size = np.array([len(low[i]) + 1 for i in short])
+        code = np.frombuffer(" ".join([*(low[i] for i in short), ""]).encode("utf-32-le"), np.uint32)
+        doc = np.repeat(np.arange(len(short)), size)
+        code, keep = _letters_of(code, np.concatenate([[True], doc[1:] != doc[:-1]]))
+        out[short] = _counted(code[keep], doc[keep], len(short), dim)
+    for i in set(range(len(low))) - set(short):
+        text, tail, after = low[i] + " ", np.zeros(0, np.uint64), False
+        for a in range(0, len(text), STRETCH):
+            code, keep = _letters_of(np.frombuffer(text[a : a + STRETCH].encode("utf-32-le"), np.uint32), None, after)
+            after = bool(code[-1] != 32)
+            # the last two come again, so that no n-gram is lost, and what they make alone is taken off
+            stream = np.concatenate([tail, code[keep]])
+            out[i] += _counted(stream, np.zeros(len(stream), np.int64), 1, dim)[0] - _counted(tail, np.zeros(len(tail), np.int64), 1, dim)[0]
+            tail = stream[-2:]
+    total = out.sum(axis=1, keepdims=True)
+    return np.sqrt(out / np.maximum(total, 1)).astype(np.float32), total[:, 0] > 0
+
+
+def _letters_of(code: np.ndarray, first: np.ndarray | None, after: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Characters with all but letters as spaces, and which to keep: letters, and one space after a run of them. ``first`` marks the
+    beginnings of texts; ``after`` tells whether a letter went before."""
+    letter = _letter_table()[np.minimum(code, 0x1FFFF)]
+    before = np.concatenate([[after], letter[:-1]])
+    if first is not None:
+        before &= ~first
+    return np.where(letter, code, 32).astype(np.uint64), letter | before
+
+
+def _counted(code: np.ndarray, doc: np.ndarray, docs: int, dim: int) -> np.ndarray:
+    """Counts of hashed n-grams of each text."""
+    out = np.zeros(docs * dim)
     for n in ORDERS:
         if len(code) < n:
             break
@@ -63,9 +90,7 @@ def grams(texts: list[str | None], dim: int = DIM) -> tuple[np.ndarray, np.ndarr
         at = (h >> np.uint64(40)).astype(np.int64) % dim
         whole = doc[: len(at)] == doc[n - 1 :]
         out += np.bincount((doc[: len(at)] * dim + at)[whole], minlength=len(out))
-    x = out.reshape(len(low), dim)
-    total = x.sum(axis=1, keepdims=True)
-    return np.sqrt(x / np.maximum(total, 1)).astype(np.float32), total[:, 0] > 0
+    return out.reshape(docs, dim)
 
 
 def codewords(k: int, seed: int = 7) -> np.ndarray:
@@ -138,14 +163,12 @@ def fit(docs: DataFrame, teach: Column, dim: int = DIM, most: int = SAMPLE_DOCS)
     """Learns from the rows for which ``teach`` holds; None if there are none."""
     rows = docs.where(teach & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = counts.count()
+    if not langs:
         return None
-    each = max(1, most // len(counts))
-    cut = F.lit(None)
-    for lang, n in counts.items():
-        cut = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.3 * each / n))).otherwise(cut)
-    rough = rows.where(F.pmod("h", F.lit(1 << 20)) < cut * (1 << 20))
+    each = max(1, most // langs)
+    rough = rows.join(counts, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.least(F.lit(1.0), F.lit(1.3 * each) / F.col("n")) * (1 << 20))
     w = Window.partitionBy("lang").orderBy("h", "text")  # some 1.3 * most rows in all
     sample = rough.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= each).select("lang", "text")
 

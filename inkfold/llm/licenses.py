@@ -2,7 +2,8 @@
 
 A text's canonical form: lower case; without lines that begin with a copyright mark or say that all rights are reserved; its
 words (runs of letters and digits) joined by one space, with equivalent spellings made one. Its SHA-256 is hash-joined to the
-digests of known licence texts; each line's to those of known one-line notices. The known table is fixed and small.
+digests of known licence texts; each line's to those of known one-line notices. The known table holds permissive licences and short
+notices; a caller gives further texts, of any length, as a list or as a table of license_id and text.
 
 Null and empty texts have the digest of the empty form and no licence; repeated rows are scanned each; an empty table gives no
 rows; other columns are not read.
@@ -10,6 +11,8 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,6 +121,79 @@ TEXTS = [
     ("BSD-3-Clause", "BSD 3-Clause License " + _BSD_START + _BSD_THIRD + _BSD_END),
     ("Apache-2.0", _APACHE_NOTICE),
 ]
+_ZERO_WARRANTY = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+    "from the use of this software. "
+)
+TEXTS += [
+    ("MIT-0", _MIT.split(", subject to the following conditions:")[0] + ". " + _AS_IS),
+    ("MIT-0", "MIT No Attribution " + _MIT.split(", subject to the following conditions:")[0] + ". " + _AS_IS),
+    ("BSD-1-Clause", _BSD_START.split("2. Redistributions in binary")[0] + _BSD_END),
+    ("BSD-3-Clause-Clear", _BSD_START.replace("are permitted provided", "are permitted (subject to the limitations in the disclaimer below) provided") + _BSD_THIRD + _BSD_END),
+    (
+        "Zlib",
+        _ZERO_WARRANTY + "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that "
+        "you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is "
+        "not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This "
+        "notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In "
+        "jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the "
+        "public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+        "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _AS_IS.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS") + " For more information, please refer to <http://unlicense.org/>",
+    ),
+    (
+        "WTFPL",
+        "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004 Everyone is permitted to copy and distribute verbatim or modified copies of "
+        "this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS "
+        "FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.",
+    ),
+    (
+        "BSL-1.0",
+        "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a "
+        'copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and '
+        "transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all "
+        "subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and "
+        "the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless "
+        "such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS "
+        'PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A '
+        "PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "GPL-2.0-or-later",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+        "Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
+        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General "
+        "Public License for more details.",
+    ),
+    (
+        "GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+        "Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
+        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General "
+        "Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see "
+        "<https://www.gnu.org/licenses/>.",
+    ),
+    (
+        "AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that "
+        "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        "Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If "
+        "not, see <https://www.gnu.org/licenses/>.",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You "
+        "can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+]
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -145,24 +221,32 @@ def canonical(text: Column) -> Column:
     return _words(F.array_join(F.filter(lines, lambda x: ~x.rlike(_MARK)), " "))
 
 
-def known(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+def known(spark: SparkSession, rows: list[tuple[str, str]] | DataFrame) -> DataFrame:
     """license_id and digest of known texts, one row for each digest."""
-    t = spark.createDataFrame(rows, "license_id string, text string")
+    t = rows.select("license_id", "text") if isinstance(rows, DataFrame) else spark.createDataFrame(rows, "license_id string, text string")
     return t.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:
+def first_words(notices: list[tuple[str, str]]) -> list[str]:
+    """The words that a line of one of these notices can begin with: the notice's own first word and all spellings of it."""
+    own = {re.findall(r"[^\W_]+", text.lower())[0] for _, text in notices if re.search(r"[^\W_]", text)}
+    same = {SPELLINGS.get(w, w).split()[0] for w in own}
+    return sorted(own | same | {a for a, b in SPELLINGS.items() if b.split()[0] in same})
+
+
+def scan(docs: DataFrame, texts: list[tuple[str, str]] | DataFrame | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, digest, license_id of the entire text or null, notices: licences whose notice is a line, sorted, comma-joined."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = known(spark, texts or TEXTS)
+    table = known(spark, TEXTS if texts is None else texts)
     lines = known(spark, notices or NOTICES)
-    named = {r["digest"]: r["license_id"] for r in lines.collect()}  # the fixed list
-    # a line in lower case is compared word for word: its canonical digest decides
-    hits = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.when(F.lower(x).rlike(r"licen[sc]e|\Wcc\W"), F.sha2(_words(F.lower(x)), 256)))
+    named = {r["digest"]: r["license_id"] for r in lines.collect()}  # the given list
+    # only lines that begin with the first word of a notice, in any spelling, are compared: their canonical digest decides
+    begins = lambda x: F.regexp_extract(F.lower(x), r"[\p{L}\p{N}]+", 0).isin(*first_words(notices or NOTICES))
+    hits = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.when(begins(x), F.sha2(_words(F.lower(x)), 256)))
     found = F.array_sort(F.array_distinct(F.filter(F.transform(hits, lambda h: F.coalesce(*(F.when(h == k, F.lit(v)) for k, v in sorted(named.items())))), lambda v: v.isNotNull())))
     rows = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.array_join(found, ",").alias("notices"))
-    return rows.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "license_id", "notices")
+    return rows.join(table if isinstance(texts, DataFrame) else F.broadcast(table), "digest", "left").select("doc_id", "digest", "license_id", "notices")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +278,7 @@ marks AS (
   SELECT rid, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
   FROM (SELECT rid, sha256({_sql_words("lower(line)")}) AS digest
         FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs)
-        WHERE regexp_matches(lower(line), 'licen[sc]e|\\Wcc\\W')) JOIN lines USING (digest)
+        ) JOIN lines USING (digest)
   GROUP BY rid
 )
 SELECT d.doc_id, d.digest, k.license_id, coalesce(m.notices, '') AS notices

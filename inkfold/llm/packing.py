@@ -5,7 +5,8 @@ longest first, a length's gap is filled by single lengths, pairs and triples who
 the availability counts allow; what no exact sum fills is packed best-fit, longest first. The plan comes out as ranges of
 ranks within a length, so that each piece finds its sequence from its rank by one small, bounded broadcast join.
 
-Null texts are empty documents (their end id alone); repeated rows are packed once each; empty tables give no pieces.
+Null texts are empty documents (their end id alone); null ids are kept; repeated rows are packed once each; empty tables give no
+pieces; other columns are not read. A long text is tokenised piece by piece and held with its ids.
 """
 
 from __future__ import annotations
@@ -156,15 +157,16 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) ->
 
 
 def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to rows of (doc_id, piece, start, length, ids_crc32); reads them more than once, so
-    they should be a written table. A length may hold any share of the rows: ranks are dealt in salted groups."""
+    """Adds sequence_id and offset to rows of (doc_id, piece, start, length, ids_crc32, uid); reads them more than once, so they
+    should be a written table. A length may hold any share of the rows, and so may one document repeated: ranks are dealt in groups
+    salted by uid, which is another for each row."""
     spark = rows.sparkSession
     total = rows.count()
     target = max(LEAST_ROWS, total // MOST_SALTS)
     hist = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     salts = spark.createDataFrame([(k, -(-n // target)) for k, n in hist.items() if n > target] or [(-1, 1)], "length long, salts long")
     keyed = rows.join(F.broadcast(salts), "length", "left").withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce("salts", F.lit(1).cast("long")))
+        "salt", F.pmod(F.xxhash64("uid"), F.coalesce("salts", F.lit(1).cast("long")))
     )
     groups = sorted(((r["length"], r["salt"], r["n"]) for r in keyed.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()))  # capacity + MOST_SALTS rows at most
     bases, at, last = [], 0, None
@@ -175,7 +177,7 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs = Planner(hist, capacity).plan()
     base = spark.createDataFrame(bases or [(-1, 0, 0)], "length long, salt long, base long")
     plan = spark.createDataFrame([(a, b, c, d, e, f) for a, b, c, d, e, f in runs] or [(-1, 0, 0, 0, 0, 1)], "length long, lo long, hi long, seq long, off long, each long")
-    w = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    w = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32", "uid")
     ranked = keyed.withColumn("rn", F.row_number().over(w) - 1).join(F.broadcast(base), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("rn"))
     p = F.broadcast(plan.withColumnRenamed("length", "of"))
     hit = ranked.join(p, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
@@ -193,7 +195,7 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return place(written(pieces(docs, path, end_id, capacity), "pieces"), capacity)
+    return place(written(pieces(docs, path, end_id, capacity).withColumn("uid", F.monotonically_increasing_id()), "pieces"), capacity)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -505,3 +505,66 @@ def test_planner_random():
                 assert o == at
                 at += n
         assert len(fill) <= -(-sum(k * n for k, n in counts.items()) // cap) * 1.3 + 2
+
+
+def test_long_texts(spark, monkeypatch):
+    """Texts worked on in pieces give what they give whole."""
+    from inkfold.llm import words as W
+
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(50)}é" + rng.choice(["", ",", "\n", "\t "]) for _ in range(n))
+    shared = say(60)
+    rows = [(1, say(900) + " " + shared + " " + say(500)), (2, shared), (3, say(30)), (4, None), (5, "x" * 3_000 + " " + say(40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    go = lambda: (sorted(map(tuple, substrings.dedup(df).collect())), sorted(map(tuple, simhash.edited_prints(df).collect())))
+    whole = go()
+    assert dict((r[0], r[2]) for r in whole[0])[1] >= 60
+    monkeypatch.setattr(W, "SLICE_BYTES", 200)
+    monkeypatch.setattr(W, "STRETCH", 64)
+    h, off = W.Words(np.frombuffer(rows[0][1].encode(), np.uint8), np.array([0, len(rows[0][1].encode())])).hashes(), None
+    got = np.concatenate([p.h[len(p.h) - p.fresh :] for p in W.hashed(pa.array([rows[0][1]]), 34)])
+    assert np.array_equal(h, got) and len(h) == len(SPACE.findall(rows[0][1]))
+    x = pa.array([r[1] for r in rows])
+    small = [simhash.as_hex(simhash.fingerprints(x)), [np.sort(np.concatenate([substrings.Windows(p, 35, 12).anchor for p in W.hashed(x.slice(0, 1), 34)]))]]
+    monkeypatch.undo()
+    big = [simhash.as_hex(simhash.fingerprints(x)), [np.sort(np.concatenate([substrings.Windows(p, 35, 12).anchor for p in W.hashed(x.slice(0, 1), 34)]))]]
+    assert small[0] == big[0] and np.array_equal(small[1][0], big[1][0])
+    assert b"".join(W.joined(np.frombuffer(rows[0][1].encode(), np.uint8))).decode() == " ".join(SPACE.findall(rows[0][1]))
+
+
+def test_language_long_texts(monkeypatch):
+    some = ["Über  den, Wäldern... 12 ça " * 50, "x", None, "", "!!", "é"]
+    whole = langid.grams(some)
+    for n in (5, 64):
+        monkeypatch.setattr(langid, "STRETCH", n)
+        got = langid.grams(some)
+        assert np.allclose(got[0], whole[0]) and got[1].tolist() == whole[1].tolist() == [True, True, False, False, False, True]
+
+
+def test_packing_repeated_rows(spark, monkeypatch):
+    """One document many times over is dealt over many groups."""
+    monkeypatch.setattr(packing, "LEAST_ROWS", 4)
+    monkeypatch.setattr(packing, "MOST_SALTS", 8)
+    df = spark.createDataFrame([(7, "one two three")] * 60 + [(None, None)] * 3, "doc_id long, text string")
+    got = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), 1, 16).collect()
+    used = {}
+    for r in got:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(got) == 63
+    for places in used.values():
+        at = 0
+        for o, n in sorted(places):
+            assert o == at
+            at += n
+        assert at <= 16
+
+
+def test_license_table(spark):
+    """Whole texts behind copyright lines, in other spellings and layouts; texts given as a table; notices of any first word."""
+    rows = [(i, f"Copyright 2021 Somebody\n\n{t.upper() if i % 2 else t.replace('. ', '.\n  ')}") for i, (_, t) in enumerate(licenses.TEXTS)]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: k for i, (k, _) in enumerate(licenses.TEXTS)}
+    own = spark.createDataFrame([("X", "You may do what you like.")], "license_id string, text string")
+    df = spark.createDataFrame([(1, "you may DO what you like!"), (2, "a\nDedicated to the public domain\n"), (3, None)], "doc_id long, text string")
+    found = licenses.scan(df, texts=own, notices=[("PD", "Dedicated to the public domain.")]).orderBy("doc_id").collect()
+    assert [(r["license_id"], r["notices"]) for r in found] == [("X", ""), (None, "PD"), (None, "")]

@@ -69,3 +69,25 @@ def test_empty(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_other_columns_come_back(spark, tmp_path):
+    """Names that operators use themselves, in any case, beside repeated rows and a null id."""
+    extra = {"score": 0.25, "_key": "k", "key": 7, "at": "at", "n_words": -1, "n_removed": -2, "Keep": True, "row": "r", "lang_pred": "xx", "tag": 5, "h": 1, "id": "i"}
+    rows = make()
+    rows += [rows[3], rows[3], (None, rows[5][1] + " und mehr ça forêt nuit le", "fr", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    from pyspark.sql import functions as F
+
+    wide = docs.select(*docs.columns, *(F.lit(v).alias(k) for k, v in extra.items()))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain_rows = sorted(map(tuple, stage(spark, docs, str(tmp_path)).collect()), key=repr)
+        got = stage(spark, wide, str(tmp_path))
+        assert got.columns == wide.columns
+        out = got.collect()
+        assert all(r[k] == v for r in out for k, v in extra.items())
+        assert sorted((tuple(r)[:5] for r in out), key=repr) == plain_rows
+    upper = docs.withColumn("Score", F.lit(1.5))
+    assert {r["Score"] for r in corpus_pipeline.STAGES[0][1](spark, upper, str(tmp_path)).collect()} == {1.5}
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, str(tmp_path)).count() >= len(rows)
