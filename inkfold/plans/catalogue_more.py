@@ -30,18 +30,18 @@ def provider_languages(spark, sf):
     return provider.languages(provider.parsed(_read_json(spark, sf))).select("doc_id", F.array_join("languages", ",").alias("languages"))
 
 
-def _layout_json(spark, sf) -> DataFrame:
-    """Documents as layouts: paragraphs with roles and spans, lines of 78 characters, a table over every line with a pipe."""
+def _layout_json(spark, sf, more=lambda d: []) -> DataFrame:
+    """Documents as layouts: paragraphs with roles and spans, lines of 78 characters, a table over every line with a pipe; and more."""
     d = table(spark, sf, "documents").withColumn("p", F.split("text", "\n"))
     offs = F.aggregate("p", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
     d = d.withColumn("o", offs)
     span = lambda off, n: F.array(F.struct(off.alias("offset"), n.cast("long").alias("length")))
     para = F.transform("p", lambda t, i: F.struct(t.alias("content"), F.when(i == 0, "title").when(i % 5 == 4, "sectionHeading").alias("role"), span(F.get("o", i), F.length(t)).alias("spans")))
-    d = d.withColumn("paragraphs", para)
+    d = d.withColumn("paragraphs", para).withColumn("n", F.size("p"))
     tables = F.transform(F.filter("paragraphs", lambda x: x["content"].contains("|")), lambda x: F.struct(x["spans"].alias("spans"), F.array(F.struct(F.lit(0).alias("rowIndex"), F.lit(0).alias("columnIndex"), x["content"].alias("content"))).alias("cells")))
     cuts = F.flatten(F.transform("paragraphs", lambda x: F.transform(F.when(F.length(x["content"]) > 0, F.sequence(F.lit(0), F.floor((F.length(x["content"]) - 1) / 78).cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.substring(x["content"], i * 78 + 1, F.lit(78)).alias("content"), span(x["spans"][0]["offset"] + i * 78, F.least(F.lit(78), F.length(x["content"]) - i * 78)).alias("spans")))))
     page = F.struct(F.lit(1).alias("pageNumber"), F.lit(8.5).alias("width"), F.lit(11.0).alias("height"), F.lit("inch").alias("unit"), cuts.alias("lines"))
-    return d.select("doc_id", F.to_json(F.struct(F.array(page).alias("pages"), "paragraphs", tables.alias("tables"))).alias("json"))
+    return d.select("doc_id", F.to_json(F.struct(F.array(page).alias("pages"), "paragraphs", tables.alias("tables"), *more(d))).alias("json"))
 
 
 def provider_layout(spark, sf):

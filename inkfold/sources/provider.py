@@ -178,23 +178,23 @@ def references(elements: Column) -> Column:
 
 
 def harvest(p: DataFrame) -> DataFrame:
-    """(doc_id, seq, section_ix, parent_seq, depth, kind, ix, dangling, double_claims, cycles_cut): the elements of all sections in
-    document order, which is the order of a walk from section 0 through the references as they stand. What points nowhere is dropped,
+    """(doc_id, seq, section_ix, above, depth, kind, ix, dangling, double_claims, cycles_cut): the elements of all sections in
+    document order, each with the seq of all sections above it, which is the order of a walk from section 0 through the references as they stand. What points nowhere is dropped,
     an element keeps its first section, a section met again is not entered; how often each happened stands in every row of a document.
     A document with sections has at least its root, kind section, seq 0. Sequential within a document, so it is walked in Arrow batches."""
     size = lambda n: F.coalesce(F.greatest(F.size(f"doc.{n}"), F.lit(0)), F.lit(0)).alias(n)
     refs = F.transform("doc.sections", lambda s: F.coalesce(references(s["elements"]), F.array().cast(_REFS)))
     src = p.where(F.size("doc.sections") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), refs.alias("sections"), *(size(n) for n in REFERENCES if n != "sections"))
-    names = ["doc_id", "seq", "section_ix", "parent_seq", "depth", "kind", "ix", "dangling", "double_claims", "cycles_cut"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+    names = ["doc_id", "seq", "section_ix", "above", "depth", "kind", "ix", "dangling", "double_claims", "cycles_cut"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 
     def walk(sections: list, most: dict[str, int]) -> tuple[list[tuple], list[int]]:
-        out: list[tuple] = [(0, None, None, 0, "section", 0)]
+        out: list[tuple] = [(0, None, [], 0, "section", 0)]
         claimed = {("section", 0)}
         faults = [0, 0, 0]
         path = [(0, 0, iter(sections[0]))]  # seq and number of each open section, and what is left of it
         while path:
-            at, number, rest = path[-1]
+            _, number, rest = path[-1]
             ref = next(rest, None)
             if ref is None:
                 path.pop()
@@ -207,7 +207,7 @@ def harvest(p: DataFrame) -> DataFrame:
             else:
                 claimed.add(key)
                 seq = len(out)
-                out.append((seq, number, at, len(path), *key))
+                out.append((seq, number, [s for s, _, _ in path], len(path), *key))
                 if key[0] == "section":
                     path.append((seq, key[1], iter(sections[key[1]])))
         return out, faults
@@ -222,7 +222,7 @@ def harvest(p: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return src.mapInArrow(go, "doc_id long, seq int, section_ix int, parent_seq int, depth int, kind string, ix int, dangling int, double_claims int, cycles_cut int")
+    return src.mapInArrow(go, "doc_id long, seq int, section_ix int, above array<int>, depth int, kind string, ix int, dangling int, double_claims int, cycles_cut int")
 
 
 def captions(p: DataFrame) -> DataFrame:
