@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
-from ..operators import bands, emit, joins, trees, votes
+from ..operators import bands, emit, joins, ranks, trees, votes
 from ..session import written
 from ..sources import texts
 from .catalogue_text import _BLOCKS, _VOID, _WRAP, _LAST, table
@@ -136,9 +136,9 @@ _K = "l_quantity + l_discount * 50"
 
 def _spans(spark, sf):
     """Newline paragraphs and their 78-character cuts, as spans over the same text."""
-    d = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("p"))
-    offs = F.aggregate("p", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
-    b = d.select("doc_id", F.posexplode(F.arrays_zip("p", F.slice(offs, F.lit(1), F.size("p")).alias("off"))).alias("block_ix", "z")).select("doc_id", "block_ix", "z.off", F.length("z.p").cast("long").alias("len"))
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_ix", "s"))
+    before = Window.partitionBy("doc_id").orderBy("block_ix").rowsBetween(Window.unboundedPreceding, -1)
+    b = d.select("doc_id", "block_ix", F.coalesce(F.sum(F.length("s") + 1).over(before), F.lit(0)).cast("long").alias("off"), F.length("s").cast("long").alias("len"))
     b = b.where("len > 0")
     starts = b.select("doc_id", "off", "len", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("len") - 1) / 78))).alias("i"))
     lines = starts.select("doc_id", (F.col("off") + F.col("i") * 78).alias("off"), F.least(F.lit(78).cast("long"), F.col("len") - F.col("i") * 78).alias("len"))
@@ -243,11 +243,8 @@ def tree_paths(spark, sf):
 
 
 def tree_preorder(spark, sf):
-    """Pre-order ids by region: the sort is dealt by the first branch, each branch's start is a running sum."""
-    p = trees.sibling_paths(_nodes(spark, sf), 3).withColumn("branch", F.coalesce(F.try_element_at("order", F.lit(2)), F.lit(-1)))
-    inner = F.row_number().over(Window.partitionBy("branch").orderBy("order"))
-    before = p.groupBy("branch").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("branch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    return p.withColumn("rn", inner).join(before, "branch").select("id", (F.col("start") + F.col("rn") - 1).alias("pre_id"))
+    """Pre-order ids: the places of all nodes in the order of their sibling places."""
+    return ranks.ranked(trees.sibling_paths(_nodes(spark, sf), 3).select("id", "order"), ["order"], "pre_id").select("id", "pre_id")
 
 
 def tree_validate(spark, sf):
@@ -264,7 +261,9 @@ def body_merge(spark, sf):
     """Claimed documents by tier 0, the rest by tier 3, in one order within each language."""
     d, l = table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels").select("doc_id", F.lit(0).alias("tier"))
     j = d.join(l, "doc_id", "left").withColumn("tier", F.coalesce("tier", F.lit(3)))
-    return j.select("doc_id", "lang", "tier", F.row_number().over(Window.partitionBy("lang").orderBy("tier", "doc_id")).alias("pos"))
+    r = ranks.ranked(j.select("doc_id", "lang", "tier"), ["lang", "tier", "doc_id"])
+    first = r.groupBy(F.col("lang").alias("of")).agg(F.min("rank").alias("first"))
+    return r.join(first, F.col("lang").eqNullSafe(F.col("of"))).select("doc_id", "lang", "tier", (F.col("rank") - F.col("first") + 1).cast("int").alias("pos"))
 
 
 def splice_order(spark, sf):

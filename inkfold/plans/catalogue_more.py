@@ -170,6 +170,19 @@ SELECT l_orderkey, reason, reason NOT IN ('no_geometry', 'clean_single_column')
     "tree_markdown": f"""{_HTML}, n AS (SELECT *, CASE zone WHEN 'title' THEN 1 WHEN 'heading' THEN 2 END AS level FROM blocks),
 p AS (SELECT a.page_id, a.seq, a.text, a.level, CASE WHEN a.level IS NOT NULL AND EXISTS (SELECT 1 FROM n b WHERE b.page_id = a.page_id AND b.seq < a.seq AND b.level < a.level) THEN '### ' WHEN a.level IS NOT NULL THEN '## ' ELSE '' END AS hash FROM n a)
 SELECT page_id, sha256(string_agg(hash || CASE WHEN level IS NOT NULL AND text LIKE '#%' THEN chr(92) ELSE '' END || text, chr(10) || chr(10) ORDER BY seq)) AS sha256_markdown FROM p GROUP BY 1""",
-    "block_widths": f"WITH {_BLOCKS} SELECT doc_id, block_ix, CAST(length(text) AS BIGINT) AS cells, false AS rtl, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm FROM blocks",
+    "canvas_segments": f"""WITH RECURSIVE {_CANVAS}, c AS (SELECT page, row - min(row) OVER (PARTITION BY page) AS row, text, row_number() OVER (PARTITION BY page ORDER BY row) AS k FROM canvas),
+s AS (SELECT page, k, row AS lo, row AS hi, length(text) + 1 AS n, 0 AS segment, text FROM c WHERE k = 1
+  UNION ALL SELECT page, k, CASE WHEN fits THEN lo ELSE row END, row, CASE WHEN fits THEN grown ELSE length(text) + 1 END, segment + (NOT fits)::INT, CASE WHEN fits THEN repeat(chr(10), CAST(row - hi - 1 AS INTEGER)) ELSE '' END || text FROM (
+    SELECT c.page, c.k, c.row, c.text, s.lo, s.hi, s.segment, s.n + length(c.text) + 1 + (c.row - s.hi - 1) AS grown, c.row - s.lo + 1 <= 20 AND s.n + length(c.text) + 1 + (c.row - s.hi - 1) <= 1400 AS fits FROM s JOIN c ON c.page = s.page AND c.k = s.k + 1))
+SELECT page, CAST(segment AS INTEGER) AS segment, min(lo) AS row_lo, max(hi) AS row_hi, sha256(string_agg(text, chr(10) ORDER BY k)) AS sha256 FROM s GROUP BY 1, 2""",
+    "patch_apply": """WITH n AS (SELECT CAST(n_regionkey AS BIGINT) AS d, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation),
+h AS (SELECT d, k, 0 AS j, k * 10 AS old FROM n), p AS (SELECT d, k, unnest([1, 2, 3]) AS j FROM n),
+moved AS (SELECT d, CASE WHEN d % 2 = 0 AND k = 1 AND j = 1 THEN 2 ELSE k END AS k, CASE WHEN d % 2 = 0 AND k = 1 AND j = 1 THEN 9 ELSE j END AS j, k * 10 + j AS old FROM p),
+items AS (SELECT DISTINCT d, -1 AS k, 0 AS j, 0 AS old FROM n UNION ALL SELECT DISTINCT d, 0, 0, 1 FROM n UNION ALL SELECT * FROM h UNION ALL SELECT * FROM moved),
+ids AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY k, j) - 1 AS id, row_number() OVER (PARTITION BY d, k ORDER BY j) - 1 AS nth FROM items)
+SELECT a.d AS doc_id, CAST(a.old AS BIGINT) AS old_id, a.id, CASE WHEN a.k = -1 THEN NULL WHEN a.k = 0 THEN 0 WHEN a.j = 0 THEN 1 ELSE (SELECT id FROM ids b WHERE b.d = a.d AND b.k = a.k AND b.j = 0) END AS parent,
+  CASE WHEN a.k = -1 THEN '//doc' WHEN a.k = 0 THEN '//doc/body[1]' WHEN a.j = 0 THEN '//doc/body[1]/h[' || a.k || ']' ELSE '//doc/body[1]/h[' || a.k || ']/p[' || a.nth || ']' END AS path, CASE WHEN a.d % 2 = 0 THEN 'ok' ELSE '0:unknown_path' END AS status FROM ids a""",
+    "block_widths": f"""WITH {_BLOCKS} SELECT doc_id, block_ix, CAST(length(regexp_replace(text, '[\\p{{Mn}}\\p{{Me}}\\p{{Cf}}]', '', 'g')) + length(regexp_replace(text, '[^\\x{{1100}}-\\x{{115f}}\\x{{2e80}}-\\x{{303e}}\\x{{3041}}-\\x{{a4cf}}\\x{{ac00}}-\\x{{d7a3}}\\x{{f900}}-\\x{{faff}}\\x{{fe30}}-\\x{{fe6f}}\\x{{ff00}}-\\x{{ff60}}\\x{{ffe0}}-\\x{{ffe6}}\\x{{1f300}}-\\x{{1f64f}}\\x{{1f900}}-\\x{{1f9ff}}\\x{{20000}}-\\x{{3fffd}}]', '', 'g')) AS BIGINT) AS cells,
+  2 * length(regexp_replace(text, '[^\\x{{590}}-\\x{{8ff}}\\x{{fb1d}}-\\x{{fdff}}\\x{{fe70}}-\\x{{feff}}]', '', 'g')) > length(regexp_replace(text, '[^\\p{{L}}\\x{{590}}-\\x{{8ff}}\\x{{fb1d}}-\\x{{fdff}}\\x{{fe70}}-\\x{{feff}}]', '', 'g')) AS rtl, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm FROM blocks""",
     "verify_stateful": "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, CAST(i AS BIGINT) AS op_ix, v AS verdict FROM region, (VALUES (0, 'ACCEPT'), (1, 'REJECT_ORPHAN'), (2, 'ACCEPT'), (3, 'ACCEPT'), (4, 'REJECT_ORPHAN'), (5, 'REJECT_UNKNOWN_ID')) t(i, v)",
 }

@@ -240,6 +240,8 @@ SELECT doc_id, block_ix, CAST(length(text) AS BIGINT) AS char_count, {_LAST} IN
     "alignment": f"""WITH {_WRAP}, m AS (SELECT *, x0 - min(x0) OVER (PARTITION BY doc_id, page) AS l, max(x1) OVER (PARTITION BY doc_id, page) - x1 AS r FROM rects)
 SELECT doc_id, page, row, CASE WHEN l <= 10 AND r <= 10 THEN 'justified' WHEN l <= 10 THEN 'left' WHEN r <= 10 THEN 'right' WHEN abs(l - r) <= 10 THEN 'center' ELSE 'unknown' END AS alignment FROM m""",
     "dedupe_inputs": "SELECT sha256(text) AS sha256_input, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1",
-    "anchor_grade": f"WITH {_WRAP} SELECT doc_id, count(*) FILTER (text <> '') AS anchors, count(*) FILTER (text <> '') AS in_bounds, CAST(max(page) AS BIGINT) AS pages, true AS ascending FROM wrapped GROUP BY doc_id",
+    "anchor_grade": f"""WITH {_WRAP}, g AS (SELECT doc_id, count(*) AS anchors, count(*) FILTER (x0 >= 0 AND y0 >= 0 AND x1 <= 612 AND y1 <= 792 AND x0 <= x1 AND y0 <= y1) AS in_bounds FROM rects GROUP BY 1),
+m AS (SELECT doc_id, page, lag(page) OVER (PARTITION BY doc_id ORDER BY page) AS before FROM (SELECT DISTINCT doc_id, page FROM wrapped))
+SELECT m.doc_id, coalesce(any_value(g.anchors), 0) AS anchors, coalesce(any_value(g.in_bounds), 0) AS in_bounds, count(*) AS pages, bool_and(before IS NULL OR page > before) AS ascending FROM m LEFT JOIN g ON g.doc_id = m.doc_id GROUP BY m.doc_id""",
     "conversions_page": f"WITH {_WRAP} SELECT doc_id, CAST(max(page) AS BIGINT) AS pages, count(*) FILTER (text <> '') AS blocks, CAST(sum(length(text)) AS BIGINT) AS chars FROM wrapped GROUP BY doc_id ORDER BY chars DESC, doc_id LIMIT 25 OFFSET 10",
 }

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ..functions import geometry as G
 from ..functions import text as T
@@ -37,19 +38,28 @@ LISTS = {
 }
 
 
+def _objects(v: Column) -> Column:
+    return F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.schema_of_variant(e).startswith("OBJECT"))
+
+
+def _read(v: Column, kind: DataType) -> Column:
+    """A variant as the type, field by field: what has another type is null, what is no object in a list of objects is dropped."""
+    if isinstance(kind, StructType):
+        made = F.struct(*(_read(F.try_variant_get(v, f"$.{f.name}", "variant"), f.dataType).alias(f.name) for f in kind))
+        return F.when(F.schema_of_variant(v).startswith("OBJECT"), made)
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
+        return F.transform(_objects(v), lambda e: _read(e, kind.elementType))
+    return F.try_variant_get(v, "$", kind.simpleString())
+
+
 def parsed(docs: DataFrame, json: str = "json") -> DataFrame:
     """Adds doc (the layout, whichever wrapper it came in) and shape: read or layout. What is not an object in a list is dropped, a
     field of the wrong type is null, and malformed JSON gives nulls throughout: nothing raises, and no field spoils another."""
     whole = F.try_parse_json(F.col(json))
-    inner = F.coalesce(F.try_variant_get(whole, "$.analyzeResult", "variant"), whole)
-    d = docs.withColumn("_v", inner)
-
-    def listed(name: str, kind: str) -> Column:
-        objects = F.filter(F.try_variant_get("_v", f"$.{name}", "array<variant>"), lambda e: F.schema_of_variant(e).startswith("OBJECT"))
-        return F.transform(objects, lambda e: F.from_json(F.to_json(e), kind)).alias(name)
-
-    said = lambda name: F.try_variant_get("_v", f"$.{name}", "string").alias(name)
-    d = d.withColumn("doc", F.struct(said("apiVersion"), said("modelId"), said("content"), said("version"), *(listed(k, t) for k, t in LISTS.items()))).drop("_v")
+    d = docs.withColumn("_v", F.coalesce(F.try_variant_get(whole, "$.analyzeResult", "variant"), whole))
+    kinds = {**dict.fromkeys(("apiVersion", "modelId", "content", "version"), "string"), **{k: f"array<{t}>" for k, t in LISTS.items()}}
+    fields = [f for k, t in kinds.items() for f in StructType.fromDDL(f"{k} {t}")]
+    d = d.withColumn("doc", F.struct(*(_read(F.try_variant_get("_v", f"$.{f.name}", "variant"), f.dataType).alias(f.name) for f in fields))).drop("_v")
     return d.withColumn("shape", F.when(F.coalesce(F.size("doc.readResults"), F.lit(0)) > 0, "read").otherwise("layout"))
 
 
