@@ -29,6 +29,8 @@ SAMPLE_DOCS = 2_000
 DIM, ORDERS = 8_192, (1, 2, 3)
 AMBIGUOUS = 0.1
 UND = "und"
+#: Languages whose counts are broadcast.
+FEW_LANGS = 10_000
 #: Characters of a long text that are worked on at a time.
 STRETCH = 1 << 18
 _ROUNDS, _RIDGE = 120, 1e-4
@@ -168,7 +170,8 @@ def fit(docs: DataFrame, teach: Column, dim: int = DIM, most: int = SAMPLE_DOCS)
     if not langs:
         return None
     each = max(1, most // langs)
-    rough = rows.join(counts, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.least(F.lit(1.0), F.lit(1.3 * each) / F.col("n")) * (1 << 20))
+    # so few languages are broadcast; with more of them the texts are shuffled to their language's count
+    rough = rows.join(F.broadcast(counts) if langs <= FEW_LANGS else counts, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.least(F.lit(1.0), F.lit(1.3 * each) / F.col("n")) * (1 << 20))
     w = Window.partitionBy("lang").orderBy("h", "text")  # some 1.3 * most rows in all
     sample = rough.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= each).select("lang", "text")
 

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .memory import lean
-from .words import mix
+from .tokens import ColumnEncoder
+from .words import mix, text_buffers
 
 CACHE_WORDS = 600_000
 MARK = "▁"
@@ -109,10 +110,10 @@ class Model:
         score = np.full((n, size, longest + 1), -np.inf)
         piece = np.full((n, size, longest + 1), -1, np.int32)
         for length in range(1, longest + 1):
-            for i in range(size - length + 1):
-                at, hit = self._probe(sums[i + length] - sums[i] * power[length])
-                score[hit, i, length] = self.scores[at[hit]]
-                piece[hit, i, length] = self.ids[at[hit]]
+            starts = size - length + 1
+            at, hit = self._probe((sums[length:] - sums[:starts] * power[length]).T.ravel())
+            score[:, :starts, length] = np.where(hit, self.scores[at], -np.inf).reshape(n, starts)
+            piece[:, :starts, length] = np.where(hit, self.ids[at], -1).reshape(n, starts)
         after = np.tile(np.arange(1, size + 2), (n, 1))  # where the piece that starts here ends
         after[:, size] = size
         begins = np.ones((n, size), bool)
@@ -175,11 +176,17 @@ class Model:
         return [np.array(x[::-1], "<u4") for x in out]
 
 
-class Encoder:
+class Encoder(ColumnEncoder):
+    """Ids of text columns: words with one space or newline before them are known by their hashes; texts with other white space, or with
+    a word mark of their own, are cut into chunks one by one."""
+
+    special = [MARK]
+
     def __init__(self, model: Model, cache_words: int = CACHE_WORDS) -> None:
-        self.model, self.cache_words = model, cache_words
-        self.cache: dict[str, bytes] = {}
-        self.newline = model.byte_id[10:11].astype("<u4").tobytes()
+        super().__init__(np.dtype("<u4"), True, cache_words)
+        self.model = model
+        self.first_kind = int(model.prefix)
+        self.newline = model.byte_id[10:11].tolist()
 
     def chunks(self, text: str) -> list[str]:
         """Words that no piece joins, the newlines between lines as chunks of their own."""
@@ -191,23 +198,29 @@ class Encoder:
             out += _CHUNK.findall(line)
         return out
 
-    def batch(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        """Ids of each text."""
-        cut = [self.chunks(t) if t else [] for t in texts]
-        new = {c for x in cut for c in x if c not in self.cache}
-        if len(self.cache) + len(new) > self.cache_words:
-            self.cache.clear()
-            new = {c for x in cut for c in x}
-        by: dict[int, list[str]] = {}
-        for c in new:
-            by.setdefault(len(c), []).append(c)
-        for size, words in by.items():
+    def _ids(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of each chunk; those of one length together."""
+        by: dict[int, list[int]] = {}
+        for i, c in enumerate(chunks):
+            by.setdefault(len(c), []).append(i)
+        out: list = [None] * len(chunks)
+        for size, places in by.items():
             step = max(1, (1 << 20) // (size * min(size, self.model.longest) + 1))
-            for i in range(0, len(words), step):
-                part = words[i : i + step]
-                self.cache.update((c, ids.tobytes()) for c, ids in zip(part, self.model.ids_of(part)))
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)), "<u4") for x in cut]
+            for i in range(0, len(places), step):
+                part = places[i : i + step]
+                for k, ids in zip(part, self.model.ids_of([chunks[k] for k in part])):
+                    out[k] = ids
+        return out
+
+    def _fresh(self, raw: bytes, known: np.ndarray, start: list[int], end: list[int], kind: list[int], whole: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        got = self._ids([(MARK if k == 1 else "") + raw[s:e].decode() for s, e, k in zip(start, end, kind)])
+        got = [np.concatenate([np.array(self.newline, self.dtype), x]) if k == 2 else x for x, k in zip(got, kind)]
+        return np.concatenate(got).astype(self.dtype), np.array([len(x) for x in got], np.int64)
+
+    def _apart(self, text: str) -> np.ndarray:
+        chunks = self.chunks(text)
+        own = {c: x for c, x in zip(new, self._ids(new))} if (new := list(dict.fromkeys(chunks))) else {}
+        return np.concatenate([own[c] for c in chunks]).astype(self.dtype) if chunks else np.zeros(0, self.dtype)
 
 
 def decode(model: Model, ids: Iterable[int]) -> str:
@@ -231,15 +244,24 @@ def _encoder(proto: bytes) -> Encoder:
     return _encoders[key]
 
 
-def _decoder(model: Model):
-    """Decodes whole arrays by looking pieces up as bytes."""
-    table = [bytes([model.byte_of[i]]) if i in model.byte_of else b"" if i in model.hidden else p.replace(MARK, " ").encode() for i, p in enumerate(model.pieces)]
+class Decoder:
+    """Bytes of whole arrays of ids at once."""
 
-    def go(ids: np.ndarray) -> str:
-        text = b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
-        return text[1:] if model.prefix and text.startswith(" ") else text
+    def __init__(self, model: Model) -> None:
+        each = [bytes([model.byte_of[i]]) if i in model.byte_of else b"" if i in model.hidden else p.replace(MARK, " ").encode() for i, p in enumerate(model.pieces)]
+        self.size = np.array([len(x) for x in each])
+        self.start = np.cumsum(self.size) - self.size
+        self.pool = np.frombuffer(b"".join(each), np.uint8)
+        self.prefix = model.prefix
 
-    return go
+    def texts(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes that each array stands for."""
+        all_ = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        size = self.size[all_]
+        end = np.cumsum(size)
+        out = self.pool[np.repeat(self.start[all_] - (end - size), size) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        cut = np.concatenate([[0], end])[np.cumsum([0, *(len(x) for x in ids)])].tolist()
+        return [out[a + (self.prefix and out[a : a + 1] == b" ") : e] if e > a else b"" for a, e in zip(cut, cut[1:])]
 
 
 def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
@@ -250,16 +272,18 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared.value)
-        back = _decoder(enc.model)
+        back = Decoder(enc.model)
         for b in batches:
             for i in range(0, b.num_rows, 512):
-                texts = b.column(1).slice(i, 512).to_pylist()
+                texts = b.column(1).slice(i, 512)
                 ids = enc.batch(texts)
+                data, off = text_buffers(texts)
+                plain = [data[a:e].tobytes().replace(MARK.encode(), b" ") for a, e in zip(off[:-1], off[1:])]
                 cols = [
                     b.column(0).slice(i, 512),
                     pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                    pa.array([back(x) == (t or "").replace(MARK, " ") for x, t in zip(ids, texts)], pa.bool_()),
+                    pa.array([x == y for x, y in zip(back.texts(ids), plain)], pa.bool_()),
                 ]
                 names = ["doc_id", "n_pieces", "ids_crc32", "round_trip"]
                 if with_ids:

@@ -116,10 +116,143 @@ class WordTable:
         self._link(np.arange(first, end, dtype=np.int32))
 
 
-class TextEncoder:
-    """ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids`` with special tokens' strings taken
+class ColumnEncoder:
+    """Ids of whole text columns by a table of words or their parts. A kind of encoder says how a word falls into parts, which ids a
+    part has that the table lacks, and what to do with texts that must not be taken word by word."""
+
+    #: How a word is known: 0 as it stands, 1 behind a space, 2 behind a newline; and the first of a text.
+    first_kind = 0
+    #: Strings on which white space is another than here, and strings that make a text uneven.
+    wide: tuple[bytes, ...] = ()
+    special: list[str] = []
+    parted: str | None = None
+
+    def __init__(self, dtype: np.dtype, keep_space: bool, cache_words: int) -> None:
+        self.dtype, self.keep_space, self.cache_words = dtype, keep_space, cache_words
+        self.table = WordTable(dtype)
+
+    def _parts(self, data: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words' parts: the bytes they are known by, where each begins and ends, its word, and whether it is a whole word
+        for the library's own pattern."""
+        return data, w.start, w.end, np.arange(len(w.start)), np.ones(len(w.start), bool)
+
+    def _fresh(self, raw: bytes, known: np.ndarray, start: list[int], end: list[int], kind: list[int], whole: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def _apart(self, text: str) -> np.ndarray:
+        raise NotImplementedError
+
+    def _words(self, data: np.ndarray, off: np.ndarray, before: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words of some plain texts in a row, and n+1 offsets into them; ``before`` is the byte in front."""
+        table = self.table
+        if table.n > self.cache_words or table.used > 16 * self.cache_words:
+            table.clear()
+        w = Words(data, off)
+        front = np.zeros(len(w.start), np.int64)
+        if self.keep_space and len(front):
+            prev = data[np.maximum(w.start - 1, 0)].astype(np.int64)
+            prev = np.where(w.start == 0, before, prev)
+            prev[w.word_off[:-1][(w.counts > 0) & (off[:-1] > 0)]] = -1  # first words of texts
+            front = np.where(prev == 0x20, 1, np.where(prev == 0x0A, 2, np.where(prev == -1, self.first_kind, 0)))
+        known, begin, end, word, whole = self._parts(data, w)
+        n = len(begin)
+        kind = np.where(begin == w.start[word], front[word], 0) if n else np.zeros(0, np.int64)
+        a, b = lanes(known, begin, end)
+        a = mix(a ^ _KINDS[kind])
+        at = table.find(a, b)
+        have = at >= 0
+        lost = np.flatnonzero(~have)
+        start, size = np.empty(n, np.int64), np.empty(n, np.int64)
+        start[have], size[have] = table.start[at[have]], table.size[at[have]]
+        if len(lost):
+            order = lost[np.lexsort((b[lost], a[lost]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+            one = order[new]
+            ids, many = self._fresh(data.tobytes(), known, begin[one].tolist(), end[one].tolist(), kind[one].tolist(), whole[one].tolist())
+            first = table.hold(ids) + np.cumsum(many) - many
+            which = np.cumsum(new) - 1
+            start[order], size[order] = first[which], many[which]
+            short = end[one] - begin[one] <= LONGEST
+            table.add(a[one[short]], b[one[short]], first[short], many[short])
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = table.pool[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
+        return ids, total[np.searchsorted(begin, off)]
+
+    def _uneven(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Whether a text must not be taken word by word."""
+        out = np.zeros(len(off) - 1, bool)
+        raw = None
+        if self.keep_space and len(data):
+            space = SPACE[data]
+            bad = space & (data != 0x20) & (data != 0x0A)
+            bad[1:] |= space[1:] & space[:-1]
+            bad[off[:-1][off[:-1] < len(data)]] |= space[off[:-1][off[:-1] < len(data)]]
+            bad[off[1:][off[1:] > 0] - 1] |= space[off[1:][off[1:] > 0] - 1]
+            out = np.diff(np.concatenate([[0], np.cumsum(bad)])[off]) > 0
+            if self.wide and _LEAD[data].any():
+                raw = data.tobytes()
+                out |= self._holds(raw, off, self.wide)
+        raw = data.tobytes() if raw is None else raw
+        return out | self._holds(raw, off, tuple(s.encode() for s in self.special))
+
+    @staticmethod
+    def _holds(raw: bytes, off: np.ndarray, strings: tuple[bytes, ...]) -> np.ndarray:
+        out = np.zeros(len(off) - 1, bool)
+        for s in strings:
+            at = raw.find(s)
+            while at >= 0:
+                i = int(np.searchsorted(off, at, "right")) - 1
+                if at + len(s) <= off[i + 1]:
+                    out[i] = True
+                    at = raw.find(s, int(off[i + 1]))
+                else:
+                    at = raw.find(s, at + 1)
+        return out
+
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        """A plain text of any length, in pieces that begin at words."""
+        out, before = [], -1
+        for a, e in stretches(data, SLICE_BYTES):
+            if a:  # white space
+                before, a = int(data[a]), a + 1
+            out.append(self._words(data[a:e], np.array([0, e - a]), before)[0])
+        return np.concatenate(out) if out else np.zeros(0, self.dtype)
+
+    def batch(self, texts: pa.Array | Iterable[str | None], end_id: int | None = None) -> list[np.ndarray]:
+        """The ids of each text, then the end id."""
+        col = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(list(texts), pa.large_string())
+        data, off = text_buffers(col)
+        tail = np.zeros(0, self.dtype) if end_id is None else np.asarray([end_id], self.dtype)
+        out: list[np.ndarray] = []
+        for i, j in slices(off):
+            part, cuts = data[off[i] : off[j]], off[i : j + 1] - off[i]
+            uneven = self._uneven(part, cuts)
+            if j == i + 1 and len(part) > SLICE_BYTES:
+                ids = self._apart(part.tobytes().decode()) if uneven[0] else self._long(part)
+                out.append(np.concatenate([ids, tail]))
+                continue
+            ids, at = self._words(part, cuts)
+            n = np.diff(at)
+            full = np.repeat(np.arange(j - i) * len(tail), n) + np.arange(len(ids))
+            laid = np.empty(len(ids) + (j - i) * len(tail), self.dtype)
+            laid[full] = ids
+            ends = at + np.arange(j - i + 1) * len(tail)
+            if len(tail):
+                laid[ends[1:] - 1] = tail[0]
+            got = np.split(laid, ends[1:-1]) if j > i else []
+            for k in np.flatnonzero(uneven).tolist():
+                got[k] = np.concatenate([self._apart(part[cuts[k] : cuts[k + 1]].tobytes().decode()), tail])
+            out += got
+        return out
+
+
+class TextEncoder(ColumnEncoder):
+    """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids`` with special tokens' strings taken
     as ordinary text; None counts as empty."""
 
+    wide = _WIDE
+
     def __init__(self, path: str, keep_space: bool, end_of_text: str = "<|endoftext|>", cache_words: int = CACHE_WORDS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -129,10 +262,8 @@ class TextEncoder:
         self.apart = Tokenizer.from_file(path)
         self.sep, self.sep_id = end_of_text, self.apart.token_to_id(end_of_text)
         self.special = [t.content for t in self.apart.get_added_tokens_decoder().values()]
-        self.dtype = np.dtype("<u2" if self.apart.get_vocab_size() <= 1 << 16 else "<u4")
-        self.keep_space, self.cache_words = keep_space, cache_words
+        super().__init__(np.dtype("<u2" if self.apart.get_vocab_size() <= 1 << 16 else "<u4"), keep_space, cache_words)
         self.parted = self._known_pattern(path)
-        self.table = WordTable(self.dtype)
         self.newline = self._whole("\n") if keep_space else np.zeros(0, self.dtype)
 
     @staticmethod
@@ -177,8 +308,6 @@ class TextEncoder:
         return np.concatenate(each), np.array([len(x) for x in each])
 
     def _parts(self, data: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the words' parts: the bytes they are known by, where each begins and ends, its word, and whether it is a whole word
-        for the library's own pattern."""
         n = len(w.start)
         if self.parted is None or not n:
             return data, w.start, w.end, np.arange(n), np.ones(n, bool)
@@ -237,43 +366,6 @@ class TextEncoder:
         count = np.array([len(x) for x in out], np.int64)
         return np.array([v for x in out for v in x], self.dtype), count
 
-    def _words(self, data: np.ndarray, off: np.ndarray, before: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words of some plain texts in a row, and n+1 offsets into them; ``before`` is the byte in front."""
-        table = self.table
-        if table.n > self.cache_words or table.used > 16 * self.cache_words:
-            table.clear()
-        w = Words(data, off)
-        front = np.zeros(len(w.start), np.int64)
-        if self.keep_space and len(front):
-            prev = data[np.maximum(w.start - 1, 0)].astype(np.int64)
-            prev = np.where(w.start == 0, before, prev)
-            prev[w.word_off[:-1][(w.counts > 0) & (off[:-1] > 0)]] = -1  # first words of texts
-            front = np.where(prev == 0x20, 1, np.where(prev == 0x0A, 2, 0))
-        known, begin, end, word, whole = self._parts(data, w)
-        n = len(begin)
-        kind = np.where(begin == w.start[word], front[word], 0) if n else np.zeros(0, np.int64)
-        a, b = lanes(known, begin, end)
-        a = mix(a ^ _KINDS[kind])
-        at = table.find(a, b)
-        have = at >= 0
-        lost = np.flatnonzero(~have)
-        start, size = np.empty(n, np.int64), np.empty(n, np.int64)
-        start[have], size[have] = table.start[at[have]], table.size[at[have]]
-        if len(lost):
-            order = lost[np.lexsort((b[lost], a[lost]))]
-            new = np.ones(len(order), bool)
-            new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
-            one = order[new]
-            ids, many = self._fresh(data.tobytes(), known, begin[one].tolist(), end[one].tolist(), kind[one].tolist(), whole[one].tolist())
-            first = table.hold(ids) + np.cumsum(many) - many
-            which = np.cumsum(new) - 1
-            start[order], size[order] = first[which], many[which]
-            short = end[one] - begin[one] <= LONGEST
-            table.add(a[one[short]], b[one[short]], first[short], many[short])
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = table.pool[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
-        return ids, total[np.searchsorted(begin, off)]
-
     def _apart(self, text: str) -> np.ndarray:
         """A text that is not plain."""
         if any(s in text for s in self.special) or (self.keep_space and any(x in text for x in _ODD)):
@@ -281,74 +373,6 @@ class TextEncoder:
         chunks = _BYTE_LEVEL.findall(text) if self.keep_space else [text]
         return np.concatenate([self._encode(chunks[i : i + _CALL])[0] for i in range(0, len(chunks), _CALL)]) if chunks else np.zeros(0, self.dtype)
 
-    def _uneven(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Whether a text must not be taken word by word."""
-        out = np.zeros(len(off) - 1, bool)
-        raw = None
-        if self.keep_space and len(data):
-            space = SPACE[data]
-            bad = space & (data != 0x20) & (data != 0x0A)
-            bad[1:] |= space[1:] & space[:-1]
-            bad[off[:-1][off[:-1] < len(data)]] |= space[off[:-1][off[:-1] < len(data)]]
-            bad[off[1:][off[1:] > 0] - 1] |= space[off[1:][off[1:] > 0] - 1]
-            out = np.diff(np.concatenate([[0], np.cumsum(bad)])[off]) > 0
-            if _LEAD[data].any():
-                raw = data.tobytes()
-                out |= self._holds(raw, off, _WIDE)
-        raw = data.tobytes() if raw is None else raw
-        return out | self._holds(raw, off, tuple(s.encode() for s in self.special))
-
-    @staticmethod
-    def _holds(raw: bytes, off: np.ndarray, strings: tuple[bytes, ...]) -> np.ndarray:
-        out = np.zeros(len(off) - 1, bool)
-        for s in strings:
-            at = raw.find(s)
-            while at >= 0:
-                i = int(np.searchsorted(off, at, "right")) - 1
-                if at + len(s) <= off[i + 1]:
-                    out[i] = True
-                    at = raw.find(s, int(off[i + 1]))
-                else:
-                    at = raw.find(s, at + 1)
-        return out
-
-    def _long(self, data: np.ndarray) -> np.ndarray:
-        """A plain text of any length, in pieces that begin at words."""
-        out, before = [], -1
-        for a, e in stretches(data, SLICE_BYTES):
-            if a:  # white space
-                before, a = int(data[a]), a + 1
-            out.append(self._words(data[a:e], np.array([0, e - a]), before)[0])
-        return np.concatenate(out) if out else np.zeros(0, self.dtype)
-
-    def batch(self, texts: pa.Array | Iterable[str | None], end_id: int | None = None) -> list[np.ndarray]:
-        """The ids of each text, then the end id."""
-        col = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(list(texts), pa.large_string())
-        data, off = text_buffers(col)
-        tail = np.zeros(0, self.dtype) if end_id is None else np.asarray([end_id], self.dtype)
-        out: list[np.ndarray] = []
-        for i, j in slices(off):
-            part, cuts = data[off[i] : off[j]], off[i : j + 1] - off[i]
-            uneven = self._uneven(part, cuts)
-            if j == i + 1 and len(part) > SLICE_BYTES:
-                ids = self._apart(part.tobytes().decode()) if uneven[0] else self._long(part)
-                out.append(np.concatenate([ids, tail]))
-                continue
-            ids, at = self._words(part, cuts)
-            n = np.diff(at)
-            full = np.repeat(np.arange(j - i) * len(tail), n) + np.arange(len(ids))
-            laid = np.empty(len(ids) + (j - i) * len(tail), self.dtype)
-            laid[full] = ids
-            ends = at + np.arange(j - i + 1) * len(tail)
-            if len(tail):
-                laid[ends[1:] - 1] = tail[0]
-            got = np.split(laid, ends[1:-1]) if j > i else []
-            for k in np.flatnonzero(uneven).tolist():
-                got[k] = np.concatenate([self._apart(part[cuts[k] : cuts[k + 1]].tobytes().decode()), tail])
-            out += got
-        return out
-
-
 _encoders: dict[tuple, TextEncoder] = {}
 
 
