@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import tree_build
+from ..operators import emit, tree_build
+from ..session import written
 from ..sources import media, provider
 from .catalogue_more import _layout_json
 from .catalogue_text import table
@@ -86,7 +87,30 @@ def mail_bodies(spark, sf):
     return got.select(F.col("id").alias("doc_id"), F.sha2(F.rtrim(F.col("body"), F.lit("\n")), 256).alias("sha256_body"), "warning")
 
 
-_FUNCS = (harvest_refs, harvest_faults, figure_captions, provider_tables, provider_marks, provider_pairs, provider_tree, tree_report, mail_bodies)
+def _placed(spark, sf) -> DataFrame:
+    """Documents as layouts with rectangles: a row for each line, its table, mark or pair a little lower."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL").withColumn("p", F.split("text", "\n"))
+    thousandth = lambda v: v / F.lit(1000.0)
+    region = lambda i, down, n: F.array(F.struct(F.lit(1).alias("pageNumber"), F.array(*(thousandth(x) for x in (F.lit(1000), 1000 + 200 * i + down, 1000 + 10 * n, 1150 + 200 * i + down))).alias("polygon")))
+    line = F.transform("p", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    d = d.withColumn("l", line)
+    paragraphs = F.transform("l", lambda x: F.struct(F.when(x["t"].contains("|"), "").otherwise(x["t"]).alias("content"), F.when(x["i"] == 0, "title").when(x["i"] % 5 == 4, "sectionHeading").when(x["i"] % 11 == 7, "pageFooter").alias("role"), F.when(x["i"] % 6 != 5, region(x["i"], 0, F.length(x["t"]))).alias("boundingRegions")))
+    tables = F.transform(F.filter("l", lambda x: x["t"].contains("|")), lambda x: F.struct(F.lit(2).alias("rowCount"), F.lit(2).alias("columnCount"), region(x["i"], 50, F.lit(9)).alias("boundingRegions"), F.array(*(F.struct(F.lit(r).alias("rowIndex"), F.lit(c).alias("columnIndex"), t.alias("content")) for r, c, t in ((0, 0, x["t"]), (1, 1, F.lit("old")), (1, 1, F.lit("new")), (2, 0, F.lit("beyond"))))).alias("cells")))
+    marks = F.transform(F.filter("l", lambda x: x["i"] % 7 == 3), lambda x: F.struct(F.when(F.length(x["t"]) % 2 == 0, "selected").alias("state"), region(x["i"], 100, F.lit(5)).alias("boundingRegions")))
+    said = lambda t, r: F.struct(t.alias("content"), r.alias("boundingRegions"))
+    pairs = F.transform(F.filter("l", lambda x: x["t"].contains(":")), lambda x: F.struct(said(F.substring_index(x["t"], ":", 1), region(x["i"], 150, F.lit(3))).alias("key"), said(F.substring_index(x["t"], ":", -1), region(x["i"], 160, F.lit(40))).alias("value")))
+    page = F.struct(F.lit(1).alias("pageNumber"), F.lit(8.5).alias("width"), F.lit(11.0).alias("height"), F.lit("inch").alias("unit"))
+    return d.select("doc_id", F.to_json(F.struct(F.array(page).alias("pages"), paragraphs.alias("paragraphs"), tables.alias("tables"), marks.alias("selectionMarks"), pairs.alias("keyValuePairs"))).alias("json"))
+
+
+def view_markdown(spark, sf):
+    """Layouts with tables, marks and pairs as position-anchored markdown."""
+    p = written(provider.parsed(_placed(spark, sf)), "layouts")
+    md = emit.view_markdown(provider.pages(p), provider.blocks(p), provider.tables(p), provider.marks(p), provider.key_values(p), "layout-v4")
+    return md.select("doc_id", "pages", F.length("markdown").cast("long").alias("chars"), F.sha2("markdown", 256).alias("sha256_markdown"))
+
+
+_FUNCS = (view_markdown, harvest_refs, harvest_faults, figure_captions, provider_tables, provider_marks, provider_pairs, provider_tree, tree_report, mail_bodies)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 _DOC = """d AS (SELECT doc_id, text, len(string_split(text, chr(10))) AS n, CAST(ceil(len(string_split(text, chr(10))) / 5.0) AS INTEGER) AS k FROM documents WHERE text IS NOT NULL),
@@ -116,7 +140,21 @@ tok AS (SELECT *, CASE kind WHEN 'document' THEN 'doc' ELSE CASE kind WHEN 'furn
   || '[' || row_number() OVER (PARTITION BY doc_id, parent, kind ORDER BY id) || ']' END AS token FROM up),
 tree AS (SELECT t.doc_id, t.id, t.parent, t.kind, '//' || concat_ws('/', d.token, c.token, b.token, a.token, t.token) AS path, t.block_ix, t.table_ix, t.figure_ix FROM tok t
   LEFT JOIN tok a ON a.doc_id = t.doc_id AND a.id = t.parent LEFT JOIN tok b ON b.doc_id = t.doc_id AND b.id = a.parent LEFT JOIN tok c ON c.doc_id = t.doc_id AND c.id = b.parent LEFT JOIN tok d ON d.doc_id = t.doc_id AND d.id = c.parent)"""
+_TIDY = "trim(replace({}, '<!--', '<! --'))"
 SQL = {
+    "view_markdown": f"""WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i + 1] AS t FROM (SELECT doc_id, text, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
+el AS (
+  SELECT doc_id, CASE WHEN i % 6 <> 5 THEN '<!-- @1 [1000,' || 1000 + 200 * i || ',' || 1000 + 10 * length(t) || ',' || 1150 + 200 * i || '] ' || CASE WHEN i = 0 THEN 'title' WHEN i % 5 = 4 THEN 'heading' WHEN i % 11 = 7 THEN 'furniture:pageFooter' ELSE 'p' END || ' -->' || chr(10) ELSE '' END
+    || CASE WHEN i = 0 THEN '# ' WHEN i % 5 = 4 THEN '## ' ELSE '' END || CASE WHEN (i = 0 OR i % 5 = 4) AND {_TIDY.format('t')} LIKE '#%' THEN chr(92) ELSE '' END || {_TIDY.format('t')} AS md, i, 3 AS kind, i % 6 <> 5 AS placed FROM l WHERE trim(t) <> '' AND NOT contains(t, '|')
+  UNION ALL SELECT doc_id, '<!-- @1 [1000,' || 1050 + 200 * i || ',1090,' || 1200 + 200 * i || '] table 2x2 -->' || chr(10) || '| ' || replace({_TIDY.format('t')}, '|', chr(92) || '|') || ' |  |' || chr(10) || '| --- | --- |' || chr(10) || '|  | new |', i, 0, true FROM l WHERE contains(t, '|')
+  UNION ALL SELECT doc_id, '<!-- @1 [1000,' || 1100 + 200 * i || ',1050,' || 1250 + 200 * i || '] mark -->' || chr(10) || CASE WHEN length(t) % 2 = 0 THEN '- [x]' ELSE '- [ ]' END, i, 1, true FROM l WHERE i % 7 = 3
+  UNION ALL SELECT doc_id, '<!-- @1 [1000,' || 1150 + 200 * i || ',1400,' || 1310 + 200 * i || '] kv -->' || chr(10) || rtrim('**' || {_TIDY.format("string_split(t, ':')[1]")} || ':** ' || {_TIDY.format("string_split(t, ':')[-1]")}), i, 2, true FROM l WHERE contains(t, ':') AND trim(string_split(t, ':')[1]) <> ''
+), slots AS (SELECT e.*, CASE WHEN kind = 3 THEN 2 * i ELSE 2 * coalesce((SELECT min(b.i) FROM el b WHERE b.doc_id = e.doc_id AND b.kind = 3 AND (NOT b.placed OR b.i > e.i)), 1000000) - 1 END AS slot FROM el e),
+bodies AS (SELECT doc_id, string_agg(md, chr(10) || chr(10) ORDER BY slot, i, kind) AS body FROM slots GROUP BY 1),
+n AS (SELECT doc_id, count(*) FILTER (trim(t) <> '' AND NOT contains(t, '|')) AS blocks, count(*) FILTER (contains(t, '|')) AS tables, count(*) FILTER (i % 7 = 3) AS marks, count(*) FILTER (contains(t, ':') AND trim(string_split(t, ':')[1]) <> '') AS kvs, coalesce(sum(length(trim(t))) FILTER (trim(t) <> '' AND NOT contains(t, '|')), 0) AS chars FROM l GROUP BY 1),
+md AS (SELECT n.doc_id, '---' || chr(10) || 'format: inkfold/1' || chr(10) || 'generator: inkfold' || chr(10) || 'source: layout' || chr(10) || 'provider: layout-v4' || chr(10) || 'doc_id: ' || n.doc_id || chr(10) || 'pages: 1' || chr(10) || 'blocks: ' || blocks || chr(10) || 'tables: ' || tables || chr(10) || 'marks: ' || marks || chr(10) || 'key_values: ' || kvs || chr(10) || 'chars: ' || chars || chr(10) || '---' || chr(10) || chr(10)
+  || rtrim('<!-- page 1 size=8500x11000 unit=inch scale=1000 -->' || coalesce(chr(10) || chr(10) || body, ''), ' ' || chr(10)) || chr(10) AS m FROM n LEFT JOIN bodies b ON b.doc_id = n.doc_id)
+SELECT doc_id, 1::BIGINT AS pages, CAST(length(m) AS BIGINT) AS chars, sha256(m) AS sha256_markdown FROM md""",
     "harvest_refs": f"WITH {_DOC} SELECT doc_id, CAST(seq AS INTEGER) AS seq, CAST(CASE WHEN seq = 0 THEN NULL WHEN kind = 'section' THEN 0 ELSE s END AS INTEGER) AS section_ix, CASE WHEN seq = 0 THEN 0 WHEN kind = 'section' THEN 1 ELSE 2 END AS depth, kind, CAST(ix AS INTEGER) AS ix FROM h",
     "harvest_faults": f"WITH {_DOC} SELECT doc_id, (doc_id % 2 = 0)::INTEGER AS dangling, (doc_id % 3 = 0 AND met = k)::INTEGER AS double_claims, (doc_id % 4 = 0 AND met = k)::INTEGER AS cycles_cut FROM m",
     "figure_captions": f"WITH {_DOC} SELECT doc_id, 0 AS figure_ix, 1 AS page, CASE WHEN doc_id % 3 = 0 AND n > 1 THEN 1 WHEN n > 2 THEN 2 END AS paragraph_ix FROM m WHERE doc_id % 2 = 1",

@@ -119,7 +119,7 @@ def blocks(p: DataFrame) -> DataFrame:
 
 
 def tables(p: DataFrame) -> DataFrame:
-    """(doc_id, table_ix, table_id, page, row_count, col_count, cells): counts from the cells where none are stated."""
+    """(doc_id, table_ix, table_id, page, quad, row_count, col_count, cells): counts from the cells where none are stated."""
     t = p.select("doc_id", F.posexplode("doc.tables").alias("table_ix", "n"))
     first = lambda c, *names: F.coalesce(*(c[n] for n in names))
     cell = lambda c: F.struct(
@@ -130,12 +130,12 @@ def tables(p: DataFrame) -> DataFrame:
         T.strip(F.replace(_text(c), F.lit("\n"), F.lit(" "))).alias("text"),
         F.coalesce(c["kind"], c["cell_kind"], F.lit("content")).isin("columnHeader", "rowHeader").alias("is_header"),
     )
-    t = t.select("doc_id", "table_ix", F.col("n.table_id").alias("stated"), _page(F.col("n")).alias("page"), F.col("n.rowCount").alias("rc"), F.col("n.columnCount").alias("cc"), F.coalesce(F.transform("n.cells", cell), F.array().cast("array<struct<row:int,col:int,row_span:int,col_span:int,text:string,is_header:boolean>>")).alias("cells"))
+    t = t.select("doc_id", "table_ix", F.col("n.table_id").alias("stated"), _page(F.col("n")).alias("page"), _quad(F.col("n")).alias("quad"), F.col("n.rowCount").alias("rc"), F.col("n.columnCount").alias("cc"), F.coalesce(F.transform("n.cells", cell), F.array().cast("array<struct<row:int,col:int,row_span:int,col_span:int,text:string,is_header:boolean>>")).alias("cells"))
     nth = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("table_ix")) - 1
     reach = lambda a, b: F.coalesce(F.array_max(F.transform("cells", lambda c: c[a] + c[b])), F.lit(0))
     t = t.withColumn("nth", nth)
     return t.select(
-        "doc_id", "table_ix", F.coalesce("stated", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("-tbl"), F.col("nth").cast("string"))).alias("table_id"), "page",
+        "doc_id", "table_ix", F.coalesce("stated", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("-tbl"), F.col("nth").cast("string"))).alias("table_id"), "page", "quad",
         F.coalesce(F.nullif("rc", F.lit(0)), reach("row", "row_span")).alias("row_count"), F.coalesce(F.nullif("cc", F.lit(0)), reach("col", "col_span")).alias("col_count"), "cells",
     )
 
