@@ -180,3 +180,20 @@ def test_claims(spark):
     kv = spark.createDataFrame([(1, "Key", "v  1"), (1, "Key", "zz"), (2, "a", "b")], "page long, key string, value string")
     at = spark.createDataFrame([(1, "the KEY is"), (1, "v 1 x")], "page long, text string")
     assert sorted((r["page"], r["value"], r["on_canvas"]) for r in claims.said_on_canvas(kv, at, ["page"]).collect()) == [(1, "v  1", True), (1, "zz", False), (2, "b", False)]
+
+
+def test_canvas_breaks(spark):
+    """An atom that drifts too far, or leaves its frame, goes on in a row of its own; right-to-left texts snap by their ends."""
+    from inkfold.operators import canvas
+
+    atoms = [(1, 0, "line", "abcdefgh", 0, 0, 8_000, 1_000), (1, 1, "line", "x", 1_000, 100, 2_000, 1_100), (1, 2, "line", "right", 20_000, 0, 25_000, 1_000), (1, 3, "line", "next", 0, 4_000, 4_000, 5_000)]
+    schema = f"page long, atom_ix long, kind string, text string, {RECT}"
+    banded = bands.bands(spark.createDataFrame(atoms, schema), ["page"])
+    fr = spark.createDataFrame([(1, 0, 0, 10_000, 1_000, 10, 0), (1, 1, 20_000, 25_000, 1_000, 5, 13)], "page long, frame_ix int, frame_x0 long, frame_x1 long, adv long, cells long, col_start long")
+    em = spark.createDataFrame([(1, 1_000)], "page long, em long")
+    got = canvas.rows(bands.tab_stops(banded, fr, ["page"]), banded, fr, em, ["page"]).orderBy("row").collect()
+    assert [(r["row"], r["text"]) for r in got] == [(0, "abcdefgh"), (1, "x" + " " * 12 + "right"), (4, "next")]
+    hebrew = [(1, i, "line", t, x1 - 1_000 * len(t), i * 2_000, x1, i * 2_000 + 1_000) for i, (t, x1) in enumerate([("שלום", 9_000), ("שלום עולם", 9_000), ("של", 8_000), ("abc", 4_000)])]
+    b = bands.bands(spark.createDataFrame(hebrew, schema), ["page"])
+    stops = {r["atom_ix"]: (r["col"], r["stop"]) for r in bands.tab_stops(b, fr.where("frame_ix = 0"), ["page"]).collect()}
+    assert stops == {0: (5, 5), 1: (0, 0), 2: (6, 7), 3: (1, 1)}
