@@ -181,7 +181,7 @@ def roots(sets: DataFrame) -> DataFrame:
         for b in batches:
             m, ids = _tokens_of(b.column(1)), b.column(0).to_numpy()
             for r, c in enumerate(_ROOTS):
-                yield _nodes(_child(start[r], m[:, c], c), ids)
+                yield _nodes(_child(start[r : r + 1], m[:, c], c), ids)
 
     return sets.select("id", "sketch").mapInArrow(lean(go), _NODE)
 
