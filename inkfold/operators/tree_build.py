@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..session import written
 from ..sources import provider
-from . import patch
+from . import emit, patch
 
 _NODE = ["doc_id", "seq", "above", "kind", "page", "block_ix", "table_ix", "figure_ix"]
 
@@ -101,3 +102,24 @@ def report(tree: DataFrame) -> DataFrame:
     deep = F.max(F.size(F.split("path", "/")) - 2)
     return tree.groupBy("doc_id").agg(F.count("*").alias("nodes"), kind("section").alias("sections"), deep.cast("long").alias("depth"), F.count("block_ix").alias("blocks"), kind("figure").alias("figures"), kind("table").alias("tables"))
 
+
+
+def tree_markdown(tree: DataFrame, elements: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, elements, markdown) of trees: their leaves in reading order, each under an anchor with its path, headings by how many
+    sections they are in, a page's marker where the page is first met; furniture comes after everything else. elements: from
+    ``emit.view_elements``; pages: doc_id, page, width, height, unit."""
+    leaf = tree.where("block_ix IS NOT NULL OR table_ix IS NOT NULL").withColumn("e_kind", F.when(F.col("block_ix").isNotNull(), 3).otherwise(0)).withColumn("ix", F.coalesce("block_ix", "table_ix"))
+    e = leaf.drop("kind").join(elements.withColumnRenamed("kind", "e_kind").drop("page", "y"), ["doc_id", "e_kind", "ix"])
+    depth = F.size(F.filter(F.split("path", "/"), lambda t: t.startswith("sect")))
+    own = F.regexp_extract("md", r"(?s)^## (.*)$", 1)
+    md = F.when((F.col("e_kind") == 3) & F.col("md").startswith("## "), F.concat(F.repeat(F.lit("#"), 1 + F.least(F.greatest(depth, F.lit(1)), F.lit(5))), F.lit(" "), own)).otherwise(F.col("md"))
+    anchor = F.regexp_replace("anchor", " -->$", F.concat(F.lit(" path="), F.regexp_replace("path", r"\\", ""), F.lit(" -->")))
+    info = pages.withColumn("_s", emit.page_scale(F.col("unit")))
+    marker = info.select("doc_id", "page", T.page_marker(F.col("page"), F.col("width") * F.col("_s"), F.col("height") * F.col("_s"), F.col("unit"), F.col("_s")).alias("marker"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("id")) == 1
+    e = e.withColumns({"md": md, "anchor": anchor, "_first": first}).join(marker, ["doc_id", "page"], "left")
+    shown = F.concat_ws("\n", "anchor", "md")
+    text = F.when(F.col("_first"), F.concat_ws("\n\n", F.coalesce("marker", T.page_marker(F.col("page"))), shown)).otherwise(shown)
+    d = e.groupBy("doc_id").agg(F.count("*").alias("elements"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("body"))
+    front = emit.front_matter({"format": F.lit("inkfold-tree/1"), "generator": F.lit("inkfold"), "doc_id": F.col("doc_id"), "elements": F.col("elements")})
+    return d.select("doc_id", "elements", F.concat(front, T.rstrip(F.col("body")), F.lit("\n")).alias("markdown"))

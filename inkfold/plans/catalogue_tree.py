@@ -79,6 +79,14 @@ def tree_report(spark, sf):
     return tree_build.report(tree_build.provider_tree(_parsed(spark, sf)))
 
 
+def tree_anchored(spark, sf):
+    """Trees of layouts with sections as markdown, every element under its path."""
+    p = written(_parsed(spark, sf), "layouts")
+    e = emit.view_elements(provider.pages(p), provider.blocks(p), provider.tables(p), provider.marks(p), provider.key_values(p))
+    md = tree_build.tree_markdown(tree_build.provider_tree(p), e, provider.pages(p))
+    return md.select("doc_id", "elements", F.length("markdown").cast("long").alias("chars"), F.sha2("markdown", 256).alias("sha256_markdown"))
+
+
 def mail_bodies(spark, sf):
     """Documents as messages: the text comes back, the envelope does not."""
     d = table(spark, sf, "documents")
@@ -110,7 +118,7 @@ def view_markdown(spark, sf):
     return md.select("doc_id", "pages", F.length("markdown").cast("long").alias("chars"), F.sha2("markdown", 256).alias("sha256_markdown"))
 
 
-_FUNCS = (view_markdown, harvest_refs, harvest_faults, figure_captions, provider_tables, provider_marks, provider_pairs, provider_tree, tree_report, mail_bodies)
+_FUNCS = (view_markdown, harvest_refs, harvest_faults, figure_captions, provider_tables, provider_marks, provider_pairs, provider_tree, tree_report, tree_anchored, mail_bodies)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 _DOC = """d AS (SELECT doc_id, text, len(string_split(text, chr(10))) AS n, CAST(ceil(len(string_split(text, chr(10))) / 5.0) AS INTEGER) AS k FROM documents WHERE text IS NOT NULL),
@@ -163,5 +171,12 @@ SELECT doc_id, 1::BIGINT AS pages, CAST(length(m) AS BIGINT) AS chars, sha256(m)
     "provider_pairs": f"WITH {_DOC}, p AS (SELECT doc_id, i, trim(string_split(s, ':')[1]) AS key, trim(string_split(s, ':')[-1]) AS value FROM para WHERE contains(s, ':')) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS kv_ix, key, value, 1 AS page, CAST(0.5 AS DOUBLE) AS confidence FROM p WHERE key <> ''",
     "provider_tree": f"WITH {_TREE} SELECT doc_id, id, parent, kind, path, block_ix, table_ix, figure_ix FROM tree",
     "tree_report": f"WITH {_TREE} SELECT doc_id, count(*) AS nodes, count(*) FILTER (kind = 'section') AS sections, max(len(string_split(path, '/')) - 2) AS depth, count(block_ix) AS blocks, count(*) FILTER (kind = 'figure') AS figures, count(*) FILTER (kind = 'table') AS tables FROM tree GROUP BY 1",
+    "tree_anchored": f"""WITH {_TREE}, e AS (SELECT t.doc_id, t.id, CASE
+    WHEN t.table_ix IS NOT NULL THEN '| ' || replace({_TIDY.format('q.s')}, '|', chr(92) || '|') || ' |' || chr(10) || '| --- |'
+    ELSE CASE WHEN p.i = 0 THEN '# ' WHEN p.i % 5 = 4 THEN '## ' ELSE '' END || CASE WHEN (p.i = 0 OR p.i % 5 = 4) AND {_TIDY.format('p.s')} LIKE '#%' THEN chr(92) ELSE '' END || {_TIDY.format('p.s')} END AS md
+  FROM tree t LEFT JOIN blk b ON b.doc_id = t.doc_id AND b.block_ix = t.block_ix LEFT JOIN para p ON p.doc_id = b.doc_id AND p.i = b.i
+  LEFT JOIN (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS table_ix FROM para WHERE contains(s, '|')) q ON q.doc_id = t.doc_id AND q.table_ix = t.table_ix WHERE t.block_ix IS NOT NULL OR t.table_ix IS NOT NULL),
+md AS (SELECT doc_id, count(*) AS n, '---' || chr(10) || 'format: inkfold-tree/1' || chr(10) || 'generator: inkfold' || chr(10) || 'doc_id: ' || doc_id || chr(10) || 'elements: ' || count(*) || chr(10) || '---' || chr(10) || chr(10) || '<!-- page 1 size=8500x11000 unit=inch scale=1000 -->' || chr(10) || chr(10) || rtrim(string_agg(md, chr(10) || chr(10) ORDER BY id), ' ' || chr(10)) || chr(10) AS m FROM e GROUP BY 1)
+SELECT doc_id, n AS elements, CAST(length(m) AS BIGINT) AS chars, sha256(m) AS sha256_markdown FROM md""",
     "mail_bodies": "SELECT doc_id, sha256(rtrim(coalesce(text, ''), chr(10))) AS sha256_body, 'envelope discarded' AS warning FROM documents",
 }
