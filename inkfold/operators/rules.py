@@ -10,7 +10,7 @@ from ..functions import geometry as G
 #: More than one in fifty of slope is skewed; roles that a leaf does not keep, since its kind says them.
 STEEPEST = 50
 SAID_BY_KIND = ("title", "sectionHeading", "footnote")
-INPUTS = ("document", "azure_read", "azure_layout", "des_ocr")
+INPUTS = ("document", "read", "layout", "envelope")
 
 
 def distinct_atoms(atoms: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

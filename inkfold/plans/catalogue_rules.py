@@ -88,7 +88,7 @@ def store_keys(spark, sf):
     i = F.col("event_id").cast("string")
     sha8 = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("."), F.substring(F.sha2(i, 256), 1, 8))).otherwise("")
     k = lambda p, x, s: catalog.store_key(p, F.col("at"), x, s)
-    return e.select("event_id", k("pmd", i, "md").alias("markdown"), k("tree", i, "tree.json").alias("tree"), k("treemd", F.concat(i, sha8), "md").alias("tree_markdown"), k("arr", F.concat(i, F.lit("."), (F.col("event_id") % 3).cast("string")), "arr.json").alias("arrangement"))
+    return e.select("event_id", k("md", i, "md").alias("markdown"), k("tree", i, "tree.json").alias("tree"), k("treemd", F.concat(i, sha8), "md").alias("tree_markdown"), k("arr", F.concat(i, F.lit("."), (F.col("event_id") % 3).cast("string")), "arr.json").alias("arrangement"))
 
 
 _FUNCS = (distinct_atoms, page_skew, safe_names, one_input, figure_ids, tag_histogram, tree_headings, fences, height_classes, statuses, store_keys)
@@ -103,7 +103,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY abs(rise) / CAST(r
 SELECT page, CAST(rise AS BIGINT) AS rise, CAST(run AS BIGINT) AS run, abs(rise) * 50 > run AS skewed FROM r WHERE k = (n - 1) // 2 + 1""",
     "safe_names": """SELECT event_id, CASE WHEN event_id % 4 = 2 AND regexp_full_match(event_type, '[A-Za-z][A-Za-z0-9_.-]{0,63}') THEN event_type END AS role, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'doc:' || event_id END AS doc_id, event_id % 5 IN (0, 1) AS addressable FROM events""",
     "one_input": """WITH g AS (SELECT event_id, event_id % 2 = 0 AS a, event_id % 3 = 0 AS b, event_id % 5 = 0 AS c, event_id % 7 = 0 AS d FROM events), n AS (SELECT *, a::INT + b::INT + c::INT + d::INT AS n FROM g)
-SELECT event_id, CASE WHEN n <> 1 THEN NULL WHEN a THEN 'document' WHEN b THEN 'azure_read' WHEN c THEN 'azure_layout' ELSE 'des_ocr' END AS source, CASE WHEN n = 1 THEN 200 ELSE 400 END AS status FROM n""",
+SELECT event_id, CASE WHEN n <> 1 THEN NULL WHEN a THEN 'document' WHEN b THEN 'read' WHEN c THEN 'layout' ELSE 'envelope' END AS source, CASE WHEN n = 1 THEN 200 ELSE 400 END AS status FROM n""",
     "figure_ids": """WITH i AS (SELECT l_orderkey AS doc, l_linenumber AS figure_ix, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2), f AS (SELECT doc, figure_ix, figure_ix % 3 AS page, CASE WHEN q % 4 = 0 THEN 0 ELSE q % 6 END AS y, CASE WHEN q % 4 = 0 THEN 0 ELSE q % 5 END AS x FROM i)
 SELECT doc, figure_ix, 'fig-' || page || '-' || (1 + (SELECT count(*) FROM f b WHERE b.doc = a.doc AND b.page = a.page AND (b.y, b.x, b.figure_ix) < (a.y, a.x, a.figure_ix))) AS figure_id FROM f a""",
     "tag_histogram": f"WITH {_WRAP} SELECT 'p' AS tag, count(*) AS n FROM rects",
@@ -114,5 +114,5 @@ SELECT doc_id, CAST(ix AS INTEGER) AS ix, sha256(repeat('#', CAST(1 + least(grea
 SELECT CASE WHEN em <= 0 OR h <= 0 THEN 'body' WHEN h / CAST(em AS DOUBLE) < 0.85 THEN 'small' WHEN h >= 1.8 * em THEN 'display' WHEN h >= 1.25 * em THEN 'large' ELSE 'body' END AS height_class, count(*) AS n FROM h GROUP BY 1""",
     "statuses": "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 200 ELSE [504, 502, 415, 400, 422, 413, 500][event_id % 7 + 1] END AS status FROM events",
     "store_keys": """WITH e AS (SELECT event_id, strftime(ts, '%Y/%m') AS m FROM events)
-SELECT event_id, 'pmd/' || m || '/' || event_id || '.md' AS markdown, 'tree/' || m || '/' || event_id || '.tree.json' AS tree, 'treemd/' || m || '/' || event_id || CASE WHEN event_id % 2 = 0 THEN '.' || sha256(event_id::VARCHAR)[1:8] ELSE '' END || '.md' AS tree_markdown, 'arr/' || m || '/' || event_id || '.' || event_id % 3 || '.arr.json' AS arrangement FROM e""",
+SELECT event_id, 'md/' || m || '/' || event_id || '.md' AS markdown, 'tree/' || m || '/' || event_id || '.tree.json' AS tree, 'treemd/' || m || '/' || event_id || CASE WHEN event_id % 2 = 0 THEN '.' || sha256(event_id::VARCHAR)[1:8] ELSE '' END || '.md' AS tree_markdown, 'arr/' || m || '/' || event_id || '.' || event_id % 3 || '.arr.json' AS arrangement FROM e""",
 }
