@@ -212,13 +212,13 @@ def continuity_edges(spark, sf):
     """Blocks of a document that go on in the next: score and evidence; equal heights and widths are taken as given."""
     d = table(spark, sf, "documents")
     u, c = T.case_counts(F.col("text"))
-    b = d.withColumn("voided", T.case_voided(u, c)).withColumn("marks", F.transform(texts.blocks_of(F.col("text")), lambda t: F.struct(T.last_mark(t).alias("m"), T.starts_lowercase(t, F.col("voided")).alias("s"))))
-    # neighbours are in one row: no shuffle, and only edges leave it
-    after = lambda i, n: F.get("marks", i + 1)[n]
-    edge = lambda x, i: F.struct(i.alias("src_ix"), (i + 1).alias("dst_ix"), trees.continuation(T.is_hyphen(x["m"]), T.is_terminal(x["m"]), after(i, "s"), F.lit(True), F.lit(False), F.lit(True)).alias("k"))
-    edges = F.filter(F.transform(F.slice("marks", F.lit(1), F.greatest(F.size("marks") - 1, F.lit(0))), edge), lambda e: e["k"]["score"] >= trees.CONFIRM_LEAST)
-    e = b.select("doc_id", F.explode(edges).alias("e"))
-    return e.select("doc_id", "e.src_ix", "e.dst_ix", F.col("e.k.score").alias("score"), F.col("e.k.evidence").alias("evidence"))
+    b = d.withColumn("voided", T.case_voided(u, c)).select("doc_id", "voided", F.posexplode(texts.blocks_of(F.col("text"))).alias("block_ix", "text"))
+    b = b.withColumn("mark", T.last_mark(F.col("text")))
+    b = b.select("doc_id", "block_ix", T.is_hyphen(F.col("mark")).alias("h"), T.is_terminal(F.col("mark")).alias("e"), T.starts_lowercase(F.col("text"), F.col("voided")).alias("s"))
+    w = Window.partitionBy("doc_id").orderBy("block_ix")
+    b = b.withColumns({"dst_ix": F.lead("block_ix").over(w), "s": F.lead("s").over(w)}).where("dst_ix IS NOT NULL")
+    k = trees.continuation(F.col("h"), F.col("e"), F.col("s"), F.lit(True), F.lit(False), F.lit(True))
+    return b.select("doc_id", F.col("block_ix").alias("src_ix"), "dst_ix", k.alias("k")).select("doc_id", "src_ix", "dst_ix", F.col("k.score").alias("score"), F.col("k.evidence").alias("evidence")).where(F.col("score") >= trees.CONFIRM_LEAST)
 
 
 def heading_nesting(spark, sf):
