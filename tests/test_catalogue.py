@@ -41,7 +41,7 @@ def test_every_query_is_known():
 
 
 #: Queries over layouts that read no later table of their own.
-LAYOUTS = ["provider_lines", "provider_layout", "provider_marks"]
+LAYOUTS = ["provider_lines", "provider_layout", "provider_marks", "figure_captions"]
 
 
 @pytest.mark.parametrize("name", LAYOUTS)
