@@ -10,6 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from inkfold.llm import chosen_path, langid, packing, substrings
 from inkfold.session import written
@@ -27,8 +28,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: none predicted, or none with half of the weight. Null and letterless texts go, and so does
     everything if no row has text, language and id to learn from."""
     model = langid.fit(docs, F.lit(True))
-    got = langid.predict(_boxed(docs), model)
-    return got.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    # a text that is a string goes to the workers once, beside the other columns and not among them
+    once = {c for c in docs.columns if c.lower() == "text" and docs.schema[c].dataType == StringType()}
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in once]).alias("row"), F.col("text").cast("string").alias("text"))
+    got = langid.predict(boxed, model).where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE))
+    return got.select(*[F.col("text").alias(c) if c in once else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,3 +91,12 @@ def test_other_columns_come_back(spark, tmp_path):
     upper = docs.withColumn("Score", F.lit(1.5))
     assert {r["Score"] for r in corpus_pipeline.STAGES[0][1](spark, upper, str(tmp_path)).collect()} == {1.5}
     assert corpus_pipeline.STAGES[-1][1](spark, wide, str(tmp_path)).count() >= len(rows)
+
+
+def test_language_sends_texts_once(spark, monkeypatch):
+    docs = spark.createDataFrame(make(), "doc_id long, Text string, lang string, source string, n_chars long")
+    seen, predict = [], corpus_pipeline.langid.predict
+    monkeypatch.setattr(corpus_pipeline.langid, "predict", lambda d, m: seen.append(d.schema.simpleString().lower()) or predict(d, m))
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.schema == docs.schema and seen[0].count("text:") == 1
+    assert {tuple(r) for r in got.collect()} == {r for r in make() if any(c.isalpha() for c in r[1] or "")}
