@@ -218,3 +218,8 @@ def test_order_does_not_depend_on_input(spark, parts):
     one = {r["doc_id"]: r["sha256_markdown"] for r in emit.wrapped_markdown(df).collect()}
     two = {r["doc_id"]: r["sha256_markdown"] for r in registry.QUERIES["convert_text"](spark, "/root/testdata/sf0.001").collect()}
     assert one == two
+
+
+def test_references_without_semicolon(spark):
+    got = html.html_blocks(spark.createDataFrame([(1, "<h1>a &amp;&amp</h1><p>b &am</p>")], "page_id long, html string")).orderBy("seq").collect()
+    assert [r["text"] for r in got] == ["a &&", "b &am"]
