@@ -36,30 +36,38 @@ LISTS = {
     "languages": "struct<locale:string>",
     "readResults": f"struct<{_READ_PAGE}>",
 }
+#: What `captions` needs of them.
+CAPTIONS = {"paragraphs": f"struct<spans:{_SPANS},{_SPAN}>", "figures": LISTS["figures"]}
 
 
-def _objects(v: Column) -> Column:
-    return F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.schema_of_variant(e).startswith("OBJECT"))
+def _lists(kind: DataType) -> bool:
+    """Whether a list of objects is in it."""
+    if isinstance(kind, ArrayType):
+        return isinstance(kind.elementType, StructType)
+    return isinstance(kind, StructType) and any(_lists(f.dataType) for f in kind)
 
 
-def _read(v: Column, kind: DataType) -> Column:
-    """A variant as the type, field by field: what has another type is null, what is no object in a list of objects is dropped."""
+def _kept(x: Column, kind: DataType) -> Column:
+    """What was read as the type, less what stood in lists of objects and was none: it was read as null."""
+    if not _lists(kind):
+        return x
     if isinstance(kind, StructType):
-        made = F.struct(*(_read(F.try_variant_get(v, f"$.{f.name}", "variant"), f.dataType).alias(f.name) for f in kind))
-        return F.when(F.schema_of_variant(v).startswith("OBJECT"), made)
-    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
-        return F.transform(_objects(v), lambda e: _read(e, kind.elementType))
-    return F.try_variant_get(v, "$", kind.simpleString())
+        return F.when(x.isNotNull(), F.struct(*(_kept(x[f.name], f.dataType).alias(f.name) for f in kind)))
+    objects = F.filter(x, lambda e: e.isNotNull())
+    return F.transform(objects, lambda e: _kept(e, kind.elementType)) if _lists(kind.elementType) else objects
 
 
-def parsed(docs: DataFrame, json: str = "json") -> DataFrame:
+def parsed(docs: DataFrame, json: str = "json", lists: dict[str, str] = LISTS) -> DataFrame:
     """Adds doc (the layout, whichever wrapper it came in) and shape: read or layout. What is not an object in a list is dropped, a
-    field of the wrong type is null, and malformed JSON gives nulls throughout: nothing raises, and no field spoils another."""
-    whole = F.try_parse_json(F.col(json))
-    d = docs.withColumn("_v", F.coalesce(F.try_variant_get(whole, "$.analyzeResult", "variant"), whole))
-    kinds = {**dict.fromkeys(("apiVersion", "modelId", "content", "version"), "string"), **{k: f"array<{t}>" for k, t in LISTS.items()}}
-    fields = [f for k, t in kinds.items() for f in StructType.fromDDL(f"{k} {t}")]
-    d = d.withColumn("doc", F.struct(*(_read(F.try_variant_get("_v", f"$.{f.name}", "variant"), f.dataType).alias(f.name) for f in fields))).drop("_v")
+    field of the wrong type is null, and malformed JSON gives nulls throughout: nothing raises, and no field spoils another. A caller
+    who needs some lists only, or some fields of what is in them, names those: doc has no others, and all their entries."""
+    d = docs.withColumn("_v", F.try_parse_json(F.col(json)))
+    d = d.withColumn("_v", F.coalesce(F.try_variant_get("_v", "$.analyzeResult", "variant"), F.col("_v")))
+    kinds = {**dict.fromkeys(("apiVersion", "modelId", "content", "version"), "string"), **{k: f"array<{t}>" for k, t in ({"readResults": "struct<page:int>"} | lists).items()}}
+    kind = StructType.fromDDL(",".join(f"{k} {t}" for k, t in kinds.items()))
+    # one walk through the variant: read field by field, its parts are copied, and their types worked out, once more for each level
+    d = d.withColumn("_v", F.try_variant_get("_v", "$", kind.simpleString()))
+    d = d.withColumn("doc", F.struct(*(_kept(F.col("_v")[f.name], f.dataType).alias(f.name) for f in kind))).drop("_v")
     return d.withColumn("shape", F.when(F.coalesce(F.size("doc.readResults"), F.lit(0)) > 0, "read").otherwise("layout"))
 
 
@@ -238,13 +246,12 @@ def harvest(p: DataFrame) -> DataFrame:
 def captions(p: DataFrame) -> DataFrame:
     """(doc_id, figure_ix, page, quad, paragraph_ix): the paragraph that is a figure's caption, by the caption's own reference, else the
     first whose spans meet the caption's, else null."""
-    f = p.select("doc_id", F.posexplode("doc.figures").alias("figure_ix", "n"), F.size("doc.paragraphs").alias("many"))
+    f = p.select("doc_id", F.posexplode("doc.figures").alias("figure_ix", "n"), F.size("doc.paragraphs").alias("many"), F.transform("doc.paragraphs", _spans_of).alias("spans"))
     own = F.filter(references(F.col("n.caption.elements")), lambda r: (r["kind"] == "paragraph") & (r["ix"] < F.col("many")))
-    f = f.select("doc_id", "figure_ix", _page(F.col("n")).alias("page"), _quad(F.col("n")).alias("quad"), F.try_element_at(own, F.lit(1))["ix"].alias("own"), _spans_of(F.col("n.caption")).alias("spans"))
-    para = p.select("doc_id", F.posexplode("doc.paragraphs").alias("ix", "m")).select("doc_id", "ix", F.explode(_spans_of(F.col("m"))).alias("s"))
-    mine = f.where("own IS NULL").select("doc_id", "figure_ix", F.explode("spans").alias("c"))
-    met = mine.join(para, "doc_id").where(G.spans_overlap(F.col("c.offset"), F.col("c.length"), F.col("s.offset"), F.col("s.length"))).groupBy("doc_id", "figure_ix").agg(F.min("ix").alias("met"))
-    return f.join(met, ["doc_id", "figure_ix"], "left").select("doc_id", "figure_ix", "page", "quad", F.coalesce("own", "met").alias("paragraph_ix"))
+    f = f.select("doc_id", "figure_ix", _page(F.col("n")).alias("page"), _quad(F.col("n")).alias("quad"), F.try_element_at(own, F.lit(1))["ix"].alias("own"), _spans_of(F.col("n.caption")).alias("said"), "spans")
+    meets = lambda a: F.exists("said", lambda c: F.exists(a, lambda s: G.spans_overlap(c["offset"], c["length"], s["offset"], s["length"])))
+    met = F.array_min(F.transform("spans", lambda a, i: F.when(meets(a), i)))
+    return f.select("doc_id", "figure_ix", "page", "quad", F.coalesce("own", met).alias("paragraph_ix"))
 
 
 def envelopes(docs: DataFrame, json: str = "json") -> DataFrame:

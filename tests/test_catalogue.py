@@ -54,3 +54,14 @@ def test_layouts_are_parsed_before(spark, name):
 def test_trees_read_written_layouts(spark):
     plan = catalogue_tree._parsed(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "to_json" not in plan.lower() and "variant" not in plan.lower()
+
+
+def held(spark, name):
+    """What the table that a query over layouts reads holds, and the query's plan."""
+    df = registry.QUERIES[name](spark, SF)
+    return spark.read.parquet(df.inputFiles()[0]).schema.simpleString(), df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_captions_read_what_they_need(spark):
+    kind, plan = held(spark, "figure_captions")
+    assert "json" not in kind and "lines" not in kind and "Join" not in plan

@@ -2,11 +2,13 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkfold.operators import bands, claims, joins, layout, ranks, review, tree_build, trees
+from inkfold.plans import catalogue_more
 from inkfold.sources import media, provider
 
 RECT = "x0 long, y0 long, x1 long, y1 long"
@@ -197,3 +199,32 @@ def test_canvas_breaks(spark):
     b = bands.bands(spark.createDataFrame(hebrew, schema), ["page"])
     stops = {r["atom_ix"]: (r["col"], r["stop"]) for r in bands.tab_stops(b, fr.where("frame_ix = 0"), ["page"]).collect()}
     assert stops == {0: (5, 5), 1: (0, 0), 2: (6, 7), 3: (1, 1)}
+
+
+def test_captions_within_a_layout(spark):
+    """The first paragraph by number whose spans meet the caption's, unless the caption names one that there is."""
+    spans = lambda *s: {"spans": [{"offset": a, "length": n} for a, n in s]}
+    figure = lambda refs, *s: {"caption": {"elements": refs, **spans(*s)}}
+    paragraphs = [3, {"content": "a"}, {"content": "b", **spans((50, 5), (0, 5))}, {"content": "c", "span": {"offset": 2, "length": 9}}, {"content": "d", **spans((-4, 90))}]
+    figures = [figure([], (8, 1), (3, 1)), figure([], (10, 1)), figure(["/paragraphs/4", "/tables/0", "/paragraphs/3"], (0, 1)), figure(["/paragraphs/4"]), "none", {"caption": 1}, figure([], (70, 5))]
+    rows = [(1, json.dumps({"paragraphs": paragraphs, "figures": figures})), (2, json.dumps({"figures": [figure(["/paragraphs/0"], (0, 9))]})), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, json string")
+    want = [(1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 3, None), (1, 4, None), (1, 5, None), (2, 0, None)]
+    for lists in (provider.LISTS, provider.CAPTIONS):
+        got = provider.captions(provider.parsed(df, lists=lists)).orderBy("doc_id", "figure_ix").collect()
+        assert [(r["doc_id"], r["figure_ix"], r["paragraph_ix"]) for r in got] == want
+
+
+def test_lines_of_long_paragraphs(spark, tmp_path):
+    """Pieces of 78 characters with their offsets, in time that grows with the text and not with its square."""
+    texts = ["ab\n" + "😀\r" * 100 + "\n\nx", "é" * 2_000_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.monotonic()
+    got = {r["doc_id"]: json.loads(r["json"]) for r in catalogue_more._layout_json(spark, str(tmp_path)).collect()}
+    assert time.monotonic() - began < 30
+    for k, text in enumerate(texts):
+        want, at = [], 0
+        for line in text.split("\n"):
+            want += [(line[i : i + 78], at + i, len(line[i : i + 78])) for i in range(0, len(line), 78)]
+            at += len(line) + 1
+        assert [(x["content"], x["spans"][0]["offset"], x["spans"][0]["length"]) for x in got[k]["pages"][0]["lines"]] == want
