@@ -36,7 +36,8 @@ LISTS = {
     "languages": "struct<locale:string>",
     "readResults": f"struct<{_READ_PAGE}>",
 }
-#: What `captions` needs of them.
+#: What `marks` and `captions` need of them.
+MARKS = {"pages": f"struct<pageNumber:int,selectionMarks:array<struct<state:string,polygon:{_POLY}>>>", "selectionMarks": LISTS["selectionMarks"]}
 CAPTIONS = {"paragraphs": f"struct<spans:{_SPANS},{_SPAN}>", "figures": LISTS["figures"]}
 
 

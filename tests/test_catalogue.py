@@ -65,3 +65,8 @@ def held(spark, name):
 def test_captions_read_what_they_need(spark):
     kind, plan = held(spark, "figure_captions")
     assert "json" not in kind and "lines" not in kind and "Join" not in plan
+
+
+def test_marks_read_what_they_need(spark):
+    kind, _ = held(spark, "provider_marks")
+    assert "json" not in kind and "lines" not in kind and "paragraphs" not in kind

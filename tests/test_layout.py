@@ -228,3 +228,14 @@ def test_lines_of_long_paragraphs(spark, tmp_path):
             want += [(line[i : i + 78], at + i, len(line[i : i + 78])) for i in range(0, len(line), 78)]
             at += len(line) + 1
         assert [(x["content"], x["spans"][0]["offset"], x["spans"][0]["length"]) for x in got[k]["pages"][0]["lines"]] == want
+
+
+def test_marks_of_pages_and_layouts(spark):
+    pages = [{"selectionMarks": [{"state": "selected"}, 7, {}], "lines": [1]}, "no", {"pageNumber": 5, "selectionMarks": [{"state": 3}]}]
+    rows = [(1, json.dumps({"pages": pages, "selectionMarks": [None, {"boundingRegions": [4, {"pageNumber": 8}]}]})), (2, json.dumps({"readResults": [{"page": 1}]})), (3, "{")]
+    df = spark.createDataFrame(rows, "doc_id long, json string")
+    want = [(1, 0, 1, "selected"), (1, 1, 1, "unselected"), (1, 2, 5, "3"), (1, 3, 8, "unselected")]
+    for lists in (provider.LISTS, provider.MARKS):
+        p = provider.parsed(df, lists=lists)
+        assert [tuple(r)[:4] for r in provider.marks(p).orderBy("doc_id", "mark_ix").collect()] == want
+        assert [r["shape"] for r in p.orderBy("doc_id").collect()] == ["layout", "read", "layout"]
