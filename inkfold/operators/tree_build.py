@@ -27,7 +27,8 @@ def provider_tree(p: DataFrame) -> DataFrame:
 
     Under the body come the provider's top sections and elements, each at its first page, in their own order, and after those of a
     page its unclaimed blocks and tables; a section without anything in it is left out. A figure's caption is its child and nowhere
-    else; blocks within tables are their table's; running heads and feet are leaves of the furniture, by page, role and index."""
+    else; blocks within tables are their table's; running heads and feet are leaves of the furniture, by page, role and index. A
+    document without blocks has its document, body and furniture too, and between them what else its layout holds."""
     b = written(provider.blocks(p).select("doc_id", "block_ix", "node_ix", "page", "zone", "role"), "blocks")
     t = written(provider.tables(p).select("doc_id", "table_ix", "page"), "tables")
     cap = written(provider.captions(p).select("doc_id", "figure_ix", F.col("page").alias("f_page"), "paragraph_ix"), "captions")
@@ -59,7 +60,7 @@ def provider_tree(p: DataFrame) -> DataFrame:
     body = told.unionByName(rest).withColumn("top", F.when(F.size("above") > 1, F.col("above")[1]).otherwise(F.col("seq")))
     top = body.where("seq = top").groupBy("doc_id", "top").agg(F.min(F.struct("page", "tier", "seq")).alias("o"))
     body = body.join(top, ["doc_id", "top"])
-    head = b.select("doc_id").distinct()
+    head = p.select("doc_id").distinct()
     fixed = lambda kind, seq, above, tier: head.select("doc_id", F.lit(seq).alias("seq"), above.alias("above"), F.lit(kind).alias("kind"), F.lit(1).alias("page"), *_none("block_ix", "table_ix", "figure_ix"), F.struct(F.lit(0).alias("page"), F.lit(tier).alias("tier"), F.lit(seq).alias("seq")).alias("o"))
     none = F.array().cast("array<int>")
     last = (1 << 30) - 1

@@ -70,3 +70,20 @@ def test_captions_read_what_they_need(spark):
 def test_marks_read_what_they_need(spark):
     kind, _ = held(spark, "provider_marks")
     assert "json" not in kind and "lines" not in kind and "paragraphs" not in kind
+
+
+#: Queries over trees, on documents of which some say nothing.
+TREES = ["provider_tree"]
+
+
+@pytest.mark.parametrize("name", TREES)
+def test_trees_of_blank_documents(spark, tmp_path, name):
+    texts = ["", " ", "\n", "\n \n\n", "a", "\n\nb\n|\n", None]
+    rows = [(i, texts[i % len(texts)], "en") for i in range(30 * len(texts))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(registry.SQL[name])
+    names = [d[0] for d in want.description]
+    got = sorted((tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).select(*names).collect()), key=repr)
+    assert got == sorted(want.fetchall(), key=repr)

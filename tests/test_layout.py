@@ -239,3 +239,15 @@ def test_marks_of_pages_and_layouts(spark):
         p = provider.parsed(df, lists=lists)
         assert [tuple(r)[:4] for r in provider.marks(p).orderBy("doc_id", "mark_ix").collect()] == want
         assert [r["shape"] for r in p.orderBy("doc_id").collect()] == ["layout", "read", "layout"]
+
+
+def test_trees_without_blocks(spark):
+    """Figures and tables of a layout that says nothing hang in a whole tree, as in any other; an empty layout has its three nodes."""
+    bare = {"sections": [{"elements": ["/sections/1"]}, {"elements": ["/figures/0", "/paragraphs/0"]}], "paragraphs": [{"content": " "}], "figures": [{}], "tables": [{}]}
+    p = provider.parsed(spark.createDataFrame([(1, json.dumps(bare)), (2, "{}"), (3, None)], "doc_id long, json string"))
+    tree = tree_build.provider_tree(p).orderBy("doc_id", "id").collect()
+    paths = {d: [r["path"] for r in tree if r["doc_id"] == d] for d in (1, 2, 3)}
+    assert paths[1] == ["//doc", "//doc/body[1]", "//doc/body[1]/sect[1]", "//doc/body[1]/sect[1]/fig[1]", "//doc/body[1]/tbl[1]", "//doc/furn[1]"]
+    assert paths[2] == paths[3] == ["//doc", "//doc/body[1]", "//doc/furn[1]"]
+    assert [r["parent"] for r in tree if r["doc_id"] == 1] == [None, 0, 1, 2, 1, 0]
+    assert review.violations(tree_build.provider_tree(p), spark.createDataFrame([], "doc_id long, src long, dst long"), ["doc_id"]).count() == 0
